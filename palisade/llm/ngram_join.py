@@ -13,8 +13,8 @@ A document is the set of its distinct word n-grams (as 64-bit hashes); two docum
    lists are set apart, the short ones are merged by a heap, members that occur in enough of those are looked up in the
    long lists by binary probes, and those that reach the needed overlap link.  A query's members are dealt over blocks of
    bounded size, and components of the links are found.
-4. Buckets whose members still lie in several components are searched whole, block against block, in the same
-   way; pairs of one component need no search.  Nothing is capped: the number of block pairs follows the bucket.
+4. Buckets whose members still lie in several components are joined to clusters where they share members; in a cluster, every pair of
+   components of close sizes is searched in the same way, part against part.  Nothing is capped: a large cluster has more parts.
 
 Cases: a null or empty text, or one without words, has an empty set and no link, and is its own component.  With fewer than n
 words the whole sequence is the one n-gram.  Rows that share a doc_id are one document with the links of each of its texts; a null
@@ -24,7 +24,6 @@ doc_id gives a null component unless it links with another.  An empty table give
 from __future__ import annotations
 
 import heapq
-from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +36,8 @@ from . import common
 from .components import components
 
 BLOCK = 256
+#: N-grams of a part of a cluster in step 4.
+BLOCK_GRAMS = 400_000
 SEEDS = 6
 _NULL_ID = 2**63 - 1
 _MASK = (1 << 64) - 1
@@ -115,55 +116,73 @@ class Segments:
         return np.concatenate(out)
 
 
-def needed(a: int, b: int, percent: int) -> int:
+def needed(a, b, percent: int):
     """The least overlap of sets of sizes a and b whose Jaccard similarity reaches percent."""
     return -(-percent * (a + b) // (100 + percent))
 
 
-def divide_skip(query: np.ndarray, lists: dict[int, list[int]], sizes: list[int], percent: int, weight: float = 0.03) -> list[int]:
-    """Members that link with the query.  lists: n-gram -> ascending members that hold it; sizes: of the members' sets."""
-    found = [p for g in query.tolist() if (p := lists.get(g))]
-    q = len(query)
-    fit = [s for s in sizes if 100 * min(s, q) >= percent * max(s, q)]
-    if not found or not fit:
+class Index:
+    """Inverted lists of a block's sets: for each n-gram, the ascending members that hold it."""
+
+    def __init__(self, members: list[np.ndarray]):
+        self.sizes = np.array([len(m) for m in members], np.int64)
+        grams = np.concatenate(members) if members else np.zeros(0, np.uint64)
+        order = np.argsort(grams, kind="stable")
+        self.members = np.repeat(np.arange(len(members)), self.sizes)[order]
+        self.grams, first = np.unique(grams[order], return_index=True)
+        self.ends = np.append(first, len(grams))
+
+    def lists(self, query: np.ndarray) -> list[np.ndarray]:
+        """The non-empty lists of the query's n-grams, shortest first."""
+        at = np.searchsorted(self.grams, query)
+        at = at[(at < len(self.grams)) & (self.grams[np.minimum(at, len(self.grams) - 1)] == query)] if len(self.grams) else at[:0]
+        at = at[np.argsort(self.ends[at + 1] - self.ends[at], kind="stable")]
+        return [self.members[a:b] for a, b in zip(self.ends[at].tolist(), self.ends[at + 1].tolist(), strict=True)]
+
+
+def divide_skip(query: np.ndarray, index: Index, percent: int, weight: float = 0.03) -> list[int]:
+    """Members whose overlap with the query makes their Jaccard similarity reach percent.
+
+    With the n_long longest lists set apart, a member of overlap T is in at least T - n_long of the others.  If T - 1 lists can
+    be set apart so that few entries are left, they are; otherwise their number balances merging and probing.
+    """
+    found, q = index.lists(query), len(query)
+    fit = (100 * np.minimum(index.sizes, q) >= percent * np.maximum(index.sizes, q)) & (index.sizes > 0)
+    if not found or not fit.any():
         return []
-    least = needed(q, min(fit), percent)
+    least = needed(q, int(index.sizes[fit].min()), percent)
     if len(found) < least:
         return []
-    found.sort(key=len)
-    n_long = min(least - 1, int(least / (weight * np.log2(len(found[-1]) + 1) + 1)))
+    n_long = least - 1
+    if sum(map(len, found[: len(found) - n_long])) > 4 * len(found):
+        n_long = min(n_long, int(least / (weight * np.log2(len(found[-1]) + 1) + 1)))
     short, long = found[: len(found) - n_long], found[len(found) - n_long :]
-    out, at, seen = [], -1, 0
-    for m in heapq.merge(*short, [len(sizes)]):
+    at, seen, who, often = -1, 0, [], []
+    for m in heapq.merge(*[p.tolist() for p in short], [len(index.sizes)]):
         if m == at:
             seen += 1
             continue
-        if at >= 0 and seen >= least - n_long and _reaches(at, seen, long, needed(q, sizes[at], percent)):
-            out.append(at)
+        if at >= 0 and seen >= least - n_long and fit[at]:
+            who.append(at)
+            often.append(seen)
         at, seen = m, 1
-    return out
-
-
-def _reaches(member: int, seen: int, long: list[list[int]], need: int) -> bool:
-    left = len(long)
-    for p in long:
-        if seen >= need:
-            return True
-        if seen + left < need:
-            return False
-        left -= 1
-        i = bisect_left(p, member)
-        seen += i < len(p) and p[i] == member
-    return seen >= need
+    return _probe(np.array(who, np.int64), np.array(often, np.int64), long, needed(q, index.sizes[who], percent))
 
 
-def inverted(members: list[np.ndarray], only: np.ndarray | None = None) -> dict[int, list[int]]:
-    """n-gram -> ascending members; only: the n-grams that will be asked for."""
-    lists: dict[int, list[int]] = {}
-    for i, grams in enumerate(members):
-        for g in (grams if only is None else np.intersect1d(grams, only, assume_unique=True)).tolist():
-            lists.setdefault(g, []).append(i)
-    return lists
+def _probe(who: np.ndarray, seen: np.ndarray, long: list[np.ndarray], need: np.ndarray) -> list[int]:
+    """Looks the candidates up in the long lists by binary search, all that are still undecided at once."""
+    out: list[int] = []
+    for i in range(0, len(long), 16):
+        done = seen >= need
+        out += who[done].tolist()
+        left = ~done & (seen + len(long) - i >= need)
+        who, seen, need = who[left], seen[left], need[left]
+        if not len(who):
+            break
+        for p in long[i : i + 16]:
+            at = np.searchsorted(p, who)
+            seen += p[np.minimum(at, len(p) - 1)] == who
+    return out + who[seen >= need].tolist()
 
 
 def described(docs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -230,9 +249,8 @@ def search(blocks: DataFrame, percent: int) -> DataFrame:
             grams = [np.frombuffer(r[6], np.uint64) for r in rows]
             asked = [i for i, r in enumerate(rows) if r[3] != 1]
             told = [i for i, r in enumerate(rows) if r[3] != 0]
-            lists = inverted([grams[i] for i in told], grams[asked[0]] if len(asked) == 1 else None)
-            sizes = [len(grams[i]) for i in told]
-            links = {(min(p), max(p)) for i in asked for j in divide_skip(grams[i], lists, sizes, percent) if (p := (rows[i][4], rows[told[j]][4]))[0] != p[1] and rows[i][5] != rows[told[j]][5]}
+            index = Index([grams[i] for i in told])
+            links = {(min(p), max(p)) for i in asked for j in divide_skip(grams[i], index, percent) if (p := (rows[i][4], rows[told[j]][4]))[0] != p[1] and rows[i][5] != rows[told[j]][5]}
             if links:
                 a, b = zip(*sorted(links), strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=_LINK)
@@ -264,16 +282,23 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     found = components(links)
 
     # Step 4: buckets that are still in several components.
-    labelled = met.join(found, met.d == found.node, "left").select("sig", "d", F.coalesce("component", "d").alias("c"))
-    open_ = labelled.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("size"), F.sum(F.xxhash64("d") % (1 << 40)).alias("who")).where("lo != hi")
-    open_ = common.stored(open_.groupBy("who", "size").agg(F.min("sig").alias("sig")), "open")
-    if open_.limit(1).count():
-        parts = F.ceil(F.col("size") / BLOCK).cast("long")
-        mine = labelled.join(open_.select("sig", parts.alias("parts")), "sig").withColumn("p", F.pmod(F.xxhash64("d"), F.col("parts")))
-        # A member of part p meets every part q once: in block (min, max).
-        pairs = mine.withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-        side = F.when(F.col("p") == F.col("q"), 2).when(F.col("p") < F.col("q"), 0).otherwise(1)
-        blocks = pairs.select(F.col("sig").alias("k1"), F.least("p", "q").alias("k2"), F.greatest("p", "q").alias("k3"), side.alias("side"), "d", "c").join(sets, "d").select("k1", "k2", "k3", "side", "d", "c", "grams")
+    labelled = met.join(found, met.d == found.node, "left").select("leader", "sig", "d", F.coalesce("component", "d").alias("c"))
+    open_ = labelled.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").withColumn("n_left", F.lit(2))
+    members = common.stored(common.spread_join(labelled, open_, ["sig"], "inner", total).select("leader", "d", "c").distinct(), "open")
+    if members.limit(1).count():
+        clusters = components(members.select(F.col("leader").alias("a"), F.col("d").alias("b"))).withColumnRenamed("node", "d").withColumnRenamed("component", "k1")
+        own = members.groupBy("d").agg(F.first("c").alias("c")).join(sets, "d").join(clusters, "d")
+        # Size groups: sets that can link are in one or in neighbouring groups, each dealt to parts of bounded weight.
+        size = F.length("grams") / 8
+        own = common.stored(own.withColumn("g", F.floor(F.log(size) / np.log(100 / percent) + 1e-9).cast("long")), "own")
+        weight = own.groupBy("k1", "g").agg(F.ceil(F.sum(size) / BLOCK_GRAMS).cast("long").alias("parts"))
+        near = weight.select("k1", F.explode(F.array(F.col("g") - 1, F.col("g"), F.col("g") + 1)).alias("g"), F.col("g").alias("h"), F.col("parts").alias("theirs"))
+        mine = own.join(weight, ["k1", "g"]).withColumn("p", F.pmod(F.xxhash64("d"), F.col("parts"))).join(near, ["k1", "g"])
+        # A member of part p of group g meets each part q of a group h near it in one block, whose key is the two in order.
+        pairs = mine.withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("theirs") - 1)))
+        me, it = F.col("g") * (1 << 32) + F.col("p"), F.col("h") * (1 << 32) + F.col("q")
+        side = F.when(me == it, 2).when(me < it, 0).otherwise(1)
+        blocks = pairs.select("k1", F.least(me, it).alias("k2"), F.greatest(me, it).alias("k3"), side.alias("side"), "d", "c", "grams")
         more = common.stored(search(blocks, percent), "links")
         if more.limit(1).count():
             found = components(links.union(more))
