@@ -196,36 +196,38 @@ class Lexicon:
 
 
 class Encoder:
-    """Whole texts to ids.  A worker remembers the results for chunks between white space, up to a bound on memory."""
+    """Whole texts to ids.  A worker remembers the results for chunks between white space: those of late in ``seen``, and the ones before
+    in ``older``, each up to a bound on memory."""
 
-    REMEMBERED = 400_000
+    REMEMBERED = 150_000
 
     def __init__(self, bpe: Bpe, lexicon: Lexicon):
-        self.bpe, self.lexicon, self.seen = bpe, lexicon, {}
+        self.bpe, self.lexicon, self.seen, self.older = bpe, lexicon, {}, {}
 
-    def chunk(self, chunk: str) -> tuple[list[int], str, str]:
+    def chunk(self, chunk: str) -> tuple[str, str]:
         ids: list[int] = []
         for w in self.bpe.words(chunk):
             ids += self.lexicon.get(w) or self.bpe.merge(w)
-        return ids, " ".join(map(str, ids)), " ".join(map(self.bpe.tokens.__getitem__, ids))
+        return " ".join(map(str, ids)), " ".join(map(self.bpe.tokens.__getitem__, ids))
 
-    def parts(self, text: str) -> list[tuple[list[int], str, str]]:
-        """(ids, ids as text, tokens as text) of the text's pieces, in order."""
+    def parts(self, text: str) -> list[tuple[str, str]]:
+        """(ids, tokens) of the text's pieces, in order, each joined by spaces."""
         if "<" in text and self.bpe.cut.search(text):
             out = []
             for piece in self.bpe.cut.split(text):
                 if piece in self.bpe.special:
-                    out.append(([i := self.bpe.special[piece]], str(i), piece))
+                    out.append((str(self.bpe.special[piece]), piece))
                 elif piece:
                     out += self.parts(piece)
             return out
-        seen, chunks = self.seen, self.bpe.chunks(text)
-        if new := set(chunks).difference(seen):
-            if len(seen) + len(new) > self.REMEMBERED:
-                seen.clear()
+        chunks = self.bpe.chunks(text)
+        if new := set(chunks).difference(self.seen):
+            if len(self.seen) + len(new) > self.REMEMBERED:
+                self.seen, self.older = {}, self.seen
                 new = set(chunks)
             for c in new:
-                seen[c] = self.chunk(c)
+                self.seen[c] = self.older.get(c) or self.chunk(c)
+        seen = self.seen
         return [p for c in chunks if (p := seen[c])[0]]
 
 
@@ -251,7 +253,7 @@ def word_counts(docs: DataFrame, spec: str) -> DataFrame:
                 for piece in bpe.cut.split(t) if "<" in t else [t]:
                     if piece not in bpe.special:
                         seen.update(bpe.chunks(piece))
-            if len(seen) > 1_000_000:
+            if len(seen) > 250_000:
                 yield from flush()
         yield from flush()
 
@@ -268,13 +270,13 @@ def build(docs: DataFrame, tokenizer_path: str, lexicon_words: int = 40_000) ->
     return spec, compile_lexicon({r["word"]: bpe.merge(r["word"]) for r in top})
 
 
-#: What encode() can return, as (type, from the parts of a text).
+#: What encode() can return, as (type, made of the text's ids and tokens, both joined by spaces).
 _OUTPUTS = {
-    "n_tokens": ("long", lambda parts: sum(len(p[0]) for p in parts)),
-    "ids": ("array<int>", lambda parts: [i for p in parts for i in p[0]]),
-    "decoded": ("string", lambda parts: " ".join([p[2] for p in parts])),
-    "ids_sha256": ("string", lambda parts: hashlib.sha256(" ".join([p[1] for p in parts]).encode()).hexdigest()),
-    "decoded_sha256": ("string", lambda parts: hashlib.sha256(" ".join([p[2] for p in parts]).encode()).hexdigest()),
+    "n_tokens": ("long", lambda ids, _: ids.count(" ") + 1 if ids else 0),
+    "ids": ("array<int>", lambda ids, _: [*map(int, ids.split())]),
+    "decoded": ("string", lambda _, tokens: tokens),
+    "ids_sha256": ("string", lambda ids, _: hashlib.sha256(ids.encode()).hexdigest()),
+    "decoded_sha256": ("string", lambda _, tokens: hashlib.sha256(tokens.encode()).hexdigest()),
 }
 
 
@@ -290,8 +292,13 @@ def encode(docs: DataFrame, built: tuple[str, bytes], outputs: tuple[str, ...] =
         enc = _encoder(sent.value)
 
         def of(batch):
-            parts = [enc.parts(t) for t in common.texts(batch, "__text")]
-            return {f.name: batch.column(i) for i, f in enumerate(fields)} | {k: [_OUTPUTS[k][1](p) for p in parts] for k in outputs}
+            out = {k: [] for k in outputs}
+            for t in common.texts(batch, "__text"):
+                parts = enc.parts(t)
+                ids, tokens = " ".join([p[0] for p in parts]), " ".join([p[1] for p in parts])
+                for k in outputs:
+                    out[k].append(_OUTPUTS[k][1](ids, tokens))
+            return {f.name: batch.column(i) for i, f in enumerate(fields)} | out
 
         return of
 

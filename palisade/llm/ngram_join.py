@@ -9,7 +9,7 @@ A document is the set of its distinct word n-grams (as 64-bit hashes); two docum
    classes that share one meet in a bucket.  (Sets of close sizes share a size group; a set also speaks to the group below where a partner can be.
    Segments without n-grams say nothing: a few more segments are dealt, and a set with too many empty ones deals again
    with another hash; only after the last does it send empty ones.)
-3. Every bucket's least member is a query against the other members: a T-occurrence search over their inverted lists.  The longest
+3. Every bucket's least member leads it.  A leader is a query against the members that have no lesser leader: a T-occurrence search over their inverted lists.  The longest
    lists are set apart, the short ones are merged by a heap, members that occur in enough of those are looked up in the
    long lists by binary probes, and those that reach the needed overlap link.  A query's members are dealt over blocks of
    bounded size, and components of the links are found.
@@ -61,7 +61,7 @@ class Shingler:
         if not words:
             return np.zeros(0, np.uint64)
         known = self.known
-        if len(known) > 1_000_000:
+        if len(known) > 250_000:
             known.clear()
         for w in set(words).difference(known):
             known[w] = xxhash.xxh64_intdigest(w)
@@ -261,18 +261,25 @@ def search(blocks: DataFrame, percent: int) -> DataFrame:
 
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of docs."""
-    rows = common.stored(described(docs, n, percent), "shingles")
-    classes = common.stored(rows.where("n_shingles > 0").groupBy("f1", "f2").agg(F.min("d").alias("rep"), F.count(F.lit(1)).alias("n_left")), "classes")
-    total = rows.count()
+    full = common.stored(described(docs, n, percent), "shingles")
+    total = full.count()
+    classes = common.stored(full.where("n_shingles > 0").groupBy("f1", "f2").agg(F.min("d").alias("rep"), F.count(F.lit(1)).alias("n_left")), "classes")
     # One row stands for a class, whatever number of rows has its id.
-    reps = rows.join(classes.select(F.col("f1"), F.col("f2"), F.col("rep").alias("d")), ["f1", "f2", "d"], "left_semi").dropDuplicates(["f1", "f2"])
+    reps = full.join(classes.select(F.col("f1"), F.col("f2"), F.col("rep").alias("d")), ["f1", "f2", "d"], "left_semi").dropDuplicates(["f1", "f2"])
+    reps = common.stored(reps.select("d", "sigs"), "reps")
+    rows = common.stored(full.drop("sigs"), "rows")
+    common.unstore(full)
     sent = reps.select("d", F.explode("sigs").alias("sig"))
     buckets = sent.groupBy("sig").agg(F.min("d").alias("leader"), F.count(F.lit(1)).alias("n_left")).where("n_left > 1")
-    met = common.stored(common.spread_join(sent, common.stored(buckets, "buckets"), ["sig"], "inner", total), "met")
-
-    # Step 3: each bucket's least member against the others, in blocks.
-    first = met.where("d != leader").select("leader", "d").distinct()
-    sets = common.stored(sets_of(docs, first.select("d").union(first.select("leader")).distinct(), n), "sets")
+    buckets = common.stored(buckets, "buckets")
+    # Buckets with one leader act as one from here on: a member stands once under each leader that it meets.
+    met = common.stored(common.spread_join(sent, buckets, ["sig"], "inner", total).select("leader", "d").distinct(), "met")
+    common.unstore(reps)
+    common.unstore(buckets)
+
+    # Step 3: the least leader that a member meets anywhere asks for it, in blocks; so each set travels once here.
+    first = met.where("d != leader").groupBy("d").agg(F.min("leader").alias("leader")).select("leader", "d")
+    sets = common.stored(sets_of(docs, met.select("d").distinct(), n), "sets")
     deal = F.pmod(F.xxhash64("d"), F.greatest(F.lit(1), F.ceil(F.col("size") / BLOCK)))
     sized = first.join(first.groupBy("leader").agg(F.count(F.lit(1)).alias("size")), "leader").withColumn("k2", deal.cast("long"))
     asked = sized.select("leader", "k2").distinct().select("leader", "k2", F.lit(0).alias("side"), F.col("leader").alias("d"))
@@ -282,9 +289,9 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     found = components(links)
 
     # Step 4: buckets that are still in several components.
-    labelled = met.join(found, met.d == found.node, "left").select("leader", "sig", "d", F.coalesce("component", "d").alias("c"))
-    open_ = labelled.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").withColumn("n_left", F.lit(2))
-    members = common.stored(common.spread_join(labelled, open_, ["sig"], "inner", total).select("leader", "d", "c").distinct(), "open")
+    labelled = common.stored(met.join(found, met.d == found.node, "left").select("leader", "d", F.coalesce("component", "d").alias("c")), "labelled")
+    open_ = labelled.groupBy("leader").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("n_left")).where("lo != hi").select("leader", "n_left")
+    members = common.stored(common.spread_join(labelled, open_, ["leader"], "inner", total).select("leader", "d", "c"), "open")
     if members.limit(1).count():
         clusters = components(members.select(F.col("leader").alias("a"), F.col("d").alias("b"))).withColumnRenamed("node", "d").withColumnRenamed("component", "k1")
         own = members.groupBy("d").agg(F.first("c").alias("c")).join(sets, "d").join(clusters, "d")
@@ -303,7 +310,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
         if more.limit(1).count():
             found = components(links.union(more))
     label = classes.join(found, classes.rep == found.node, "left").select("f1", "f2", "n_left", F.coalesce("component", "rep").alias("component"))
-    out = common.spread_join(rows.where("n_shingles > 0").drop("sigs"), label, ["f1", "f2"], "inner", total).select("d", "n_shingles", "component")
+    out = common.spread_join(rows.where("n_shingles > 0"), label, ["f1", "f2"], "inner", total).select("d", "n_shingles", "component")
     out = out.union(rows.where("n_shingles = 0").select("d", "n_shingles", "d"))
     real = lambda c: F.when(F.col(c) != _NULL_ID, F.col(c))
     return out.select(real("d").alias("doc_id"), "n_shingles", real("component").alias("component_id"))
