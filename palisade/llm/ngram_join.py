@@ -294,18 +294,20 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     members = common.stored(common.spread_join(labelled, open_, ["leader"], "inner", total).select("leader", "d", "c"), "open")
     if members.limit(1).count():
         clusters = components(members.select(F.col("leader").alias("a"), F.col("d").alias("b"))).withColumnRenamed("node", "d").withColumnRenamed("component", "k1")
-        own = members.groupBy("d").agg(F.first("c").alias("c")).join(sets, "d").join(clusters, "d")
-        # Size groups: sets that can link are in one or in neighbouring groups, each dealt to parts of bounded weight.
-        size = F.length("grams") / 8
-        own = common.stored(own.withColumn("g", F.floor(F.log(size) / np.log(100 / percent) + 1e-9).cast("long")), "own")
-        weight = own.groupBy("k1", "g").agg(F.ceil(F.sum(size) / BLOCK_GRAMS).cast("long").alias("parts"))
+        own = members.groupBy("d").agg(F.first("c").alias("c")).join(sets.groupBy("d").agg(F.sum(F.length("grams") / 8).alias("size")), "d").join(clusters, "d")
+        # A cluster of bounded weight is one block.  A larger one is cut by size first: sets that can link are in one size group or in
+        # neighbouring ones, each dealt to parts of bounded weight.
+        whole = own.groupBy("k1").agg((F.sum("size") <= BLOCK_GRAMS).alias("whole"))
+        group = F.when(F.col("whole"), 0).otherwise(F.floor(F.log("size") / np.log(100 / percent) + 1e-9)).cast("long")
+        own = common.stored(own.join(whole, "k1").select("d", "c", "k1", "size", group.alias("g")), "own")
+        weight = own.groupBy("k1", "g").agg(F.ceil(F.sum("size") / BLOCK_GRAMS).cast("long").alias("parts"))
         near = weight.select("k1", F.explode(F.array(F.col("g") - 1, F.col("g"), F.col("g") + 1)).alias("g"), F.col("g").alias("h"), F.col("parts").alias("theirs"))
         mine = own.join(weight, ["k1", "g"]).withColumn("p", F.pmod(F.xxhash64("d"), F.col("parts"))).join(near, ["k1", "g"])
         # A member of part p of group g meets each part q of a group h near it in one block, whose key is the two in order.
         pairs = mine.withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("theirs") - 1)))
         me, it = F.col("g") * (1 << 32) + F.col("p"), F.col("h") * (1 << 32) + F.col("q")
         side = F.when(me == it, 2).when(me < it, 0).otherwise(1)
-        blocks = pairs.select("k1", F.least(me, it).alias("k2"), F.greatest(me, it).alias("k3"), side.alias("side"), "d", "c", "grams")
+        blocks = pairs.select("k1", F.least(me, it).alias("k2"), F.greatest(me, it).alias("k3"), side.alias("side"), "d", "c").join(sets, "d").select("k1", "k2", "k3", "side", "d", "c", "grams")
         more = common.stored(search(blocks, percent), "links")
         if more.limit(1).count():
             found = components(links.union(more))
