@@ -1,4 +1,168 @@
-"""Registered queries and the SQL that states their results."""
+"""Registered queries and the SQL that states their results.  Log operators run on the supplied tables: ``events`` is the event store."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import scalar
+from ..operators import aggregates, detection, lookups, matching
+from . import search_language as search
 
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def _add(name: str, make, sql: str) -> None:
+    QUERIES[name], ORACLES[name] = make, sql
+
+
+EVENT_FIELDS = lambda: search.Fields({"user.name": F.col("user_id"), "event.action": F.col("event_type"), "event.severity": F.col("value")}, numbers=frozenset({"event.severity"}), other=lambda n: F.get_json_object("props", f"$['{n}']"))
+
+# Searches over events: name -> (query, the same as SQL).
+_SEARCHES = {
+    "kql_eq": ("event.action:PURCHASE", "lower(event_type) = 'purchase'"),
+    "kql_and": ("event.action:purchase AND user.name:7", "lower(event_type) = 'purchase' AND user_id = 7"),
+    "kql_or": ("event.action:purchase OR event.action:error", "event_type IN ('purchase', 'error')"),
+    "kql_not": ("NOT event.action:purchase", "event_type <> 'purchase'"),
+    "kql_group": ("(event.action:purchase OR event.action:error) event.severity:>50", "event_type IN ('purchase', 'error') AND value > 50"),
+    "kql_value_group_or": ("event.action:(purchase OR click)", "event_type IN ('purchase', 'click')"),
+    "kql_value_group_and": ("event.severity:(>20 AND <=60)", "value > 20 AND value <= 60"),
+    "kql_wildcard": ("event.action:p*e", "lower(event_type) LIKE 'p%e'"),
+    "kql_cmp": ("event.severity:>=75", "value >= 75"),
+    "kql_num_eq": ("k:7", "json_extract_string(props, '$.k') = '7'"),
+    "kql_exists": ("k:* AND NOT missing:*", "json_extract_string(props, '$.k') IS NOT NULL AND json_extract_string(props, '$.missing') IS NULL"),
+    "kql_json_field": ("k:>50 AND event.action:click", "TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) > 50 AND event_type = 'click'"),
+}
+for _name, (_text, _where) in _SEARCHES.items():
+    _add(_name, lambda s, d, t=_text: _events(s, d).where(search.compile_query(t, EVENT_FIELDS())).select("event_id", "user_id", "event_type", "value"), f"SELECT event_id, user_id, event_type, value FROM events WHERE {_where}")
+
+_TOKENS = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
+
+
+def _full_text(query: str):
+    def run(s: SparkSession, d: str) -> DataFrame:
+        docs = _table(s, d, "conversations").withColumn("tok", search.tokens_of(F.col("text")))
+        fields = search.Fields({"role": F.col("role")}, lists={"word": F.col("tok")}, tokens=F.col("tok"))
+        return docs.where(search.compile_query(query, fields)).select("conv_id", "turn")
+
+    return run
+
+
+for _name, _text, _where in (
+    ("fts_word", "the", "list_contains(tok, 'the')"),
+    ("fts_and", "the and", "list_contains(tok, 'the') AND list_contains(tok, 'and')"),
+    ("fts_prefix", "th*", "len(list_filter(tok, lambda x: starts_with(x, 'th'))) > 0"),
+    ("fts_phrase", "of-the", "contains(' ' || array_to_string(tok, ' ') || ' ', ' of the ')"),
+    ("kql_list_eq", "word:THE", "list_contains(tok, 'the')"),
+    ("kql_list_wildcard", "NOT word:t?e*", "len(list_filter(tok, lambda x: x LIKE 't_e%')) = 0"),
+):
+    _add(_name, _full_text(_text), f"SELECT conv_id, turn FROM (SELECT *, {_TOKENS} AS tok FROM conversations) WHERE {_where}")
+
+_add("time_range", lambda s, d: _events(s, d).where(F.col("ts").between("2024-01-05", "2024-01-10")).select("event_id"), "SELECT event_id FROM events WHERE ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-10'")
+_add("search_page", lambda s, d: _events(s, d).where("event_type = 'error'").orderBy(F.desc("ts"), "event_id").select("event_id", "user_id").offset(20).limit(50), "SELECT event_id, user_id FROM events WHERE event_type = 'error' ORDER BY ts DESC, event_id LIMIT 50 OFFSET 20")
+_add("count_query", lambda s, d: _events(s, d).where(search.compile_query("event.action:login", EVENT_FIELDS())).agg(F.count(F.lit(1)).alias("n")), "SELECT count(*) AS n FROM events WHERE event_type = 'login'")
+_add("topk_terms", lambda s, d: aggregates.terms(_events(s, d), F.col("user_id"), 10), "SELECT user_id AS value, count(*) AS n FROM events GROUP BY 1 ORDER BY n DESC, value LIMIT 10")
+_add("terms_list", lambda s, d: aggregates.terms(_table(s, d, "conversations"), search.tokens_of(F.col("text")), 25, is_list=True), f"SELECT w AS value, count(*) AS n FROM (SELECT unnest({_TOKENS}) AS w FROM conversations) GROUP BY 1 ORDER BY n DESC, value LIMIT 25")
+_add("histogram_filled", lambda s, d: aggregates.histogram(_events(s, d), F.col("ts"), F.to_timestamp(F.lit("2023-12-30")), F.to_timestamp(F.lit("2024-02-02")), 6 * 3600), """
+SELECT b AS bucket, coalesce(n, 0) AS n FROM (SELECT unnest(range(0, 137)) AS b) LEFT JOIN (
+  SELECT floor((epoch(ts) - epoch(TIMESTAMP '2023-12-30')) / 21600)::BIGINT AS b, count(*) AS n FROM events WHERE ts BETWEEN TIMESTAMP '2023-12-30' AND TIMESTAMP '2024-02-02' GROUP BY 1) USING (b)""")
+_add("histogram_outcomes", lambda s, d: _events(s, d).groupBy(F.to_date("ts").alias("day")).agg(F.count_if(F.col("event_type") == "error").alias("failed"), F.count_if(F.col("event_type") == "login").alias("passed")), "SELECT ts::DATE AS day, count(*) FILTER (WHERE event_type = 'error') AS failed, count(*) FILTER (WHERE event_type = 'login') AS passed FROM events GROUP BY 1")
+_add("db_stats", lambda s, d: _events(s, d).agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("lo"), F.max("event_id").alias("hi")), "SELECT count(*) AS n, min(event_id) AS lo, max(event_id) AS hi FROM events")
+
+# Predicates over part: name -> (field test, the same as SQL).
+_MATCHES = {
+    "match_contains": ({"p_name|contains": ["Green", "blue"]}, "contains(lower(p_name), 'green') OR contains(lower(p_name), 'blue')"),
+    "match_startswith": ({"p_type|startswith": "promo"}, "starts_with(lower(p_type), 'promo')"),
+    "match_endswith": ({"p_type|endswith": "Steel"}, "ends_with(lower(p_type), 'steel')"),
+    "match_regex": ({"p_type|re": "^(standard|small) .*(tin|brass)$"}, "regexp_matches(p_type, '^(standard|small) .*(tin|brass)$', 'i')"),
+    "match_glob": ({"p_type": "*brush*"}, "p_type ILIKE '%brush%'"),
+    "match_cs": ({"p_type|contains|cs": "ECONOMY"}, "contains(p_type, 'ECONOMY')"),
+    "match_numeric": ({"p_size|gte": 20, "p_size|lt": 30}, "p_size >= 20 AND p_size < 30"),
+    "match_exists": ({"p_brand|exists": True}, "p_brand IS NOT NULL"),
+    "match_null": ({"p_brand": None}, "p_brand IS NULL"),
+    "match_all": ({"p_type|contains|all": ["promo", "copper"]}, "p_type ILIKE '%promo%' AND p_type ILIKE '%copper%'"),
+    "match_not": ({"p_type|contains|not": ["promo", "copper"]}, "NOT (coalesce(p_type ILIKE '%promo%', false) OR coalesce(p_type ILIKE '%copper%', false))"),
+    "match_int": ({"p_size": [7, 9]}, "p_size IN (7, 9)"),
+}
+for _name, (_spec, _where) in _MATCHES.items():
+    _add(_name, lambda s, d, x=_spec: _table(s, d, "part").where(matching.selection(x, F.col)).select("p_partkey"), f"SELECT p_partkey FROM part WHERE {_where}")
+_add("prefilter_dotted", lambda s, d: _events(s, d).where(matching.source_filter(F.concat(F.col("event_type"), F.lit(".web")), "ERROR")).select("event_id"), "SELECT event_id FROM events WHERE event_type = 'error'")
+
+# Conditions over lineitem: name -> (condition, the same as SQL).
+_SEL = {"sel_a": {"l_quantity|gt": 40}, "sel_b": {"l_discount|gte": 0.05}, "sel_c": {"l_returnflag": "R"}, "filter": {"l_linenumber": 1}}
+_A, _B, _C, _X = "l_quantity > 40", "l_discount >= 0.05", "l_returnflag = 'R'", "l_linenumber = 1"
+for _name, _cond, _where in (
+    ("cond_1_of", "1 of sel_*", f"{_A} OR {_B} OR {_C}"),
+    ("cond_n_of", "2 of sel_*", f"({_A})::INT + ({_B})::INT + ({_C})::INT >= 2"),
+    ("cond_all_of", "all of them", f"{_A} AND {_B} AND {_C} AND {_X}"),
+    ("cond_filter", "(sel_a or sel_b) AND NOT filter", f"({_A} OR {_B}) AND NOT ({_X})"),
+    ("cond_empty", "", f"{_A} AND {_B} AND {_C} AND {_X}"),
+):
+    _add(_name, lambda s, d, c=_cond: _table(s, d, "lineitem").where(matching.condition(c, {k: matching.selection(v, F.col) for k, v in _SEL.items()})).select("l_orderkey", "l_linenumber"), f"SELECT l_orderkey, l_linenumber FROM lineitem WHERE {_where}")
+
+_DAY = 86400.0
+_add("rolling_count", lambda s, d: detection.rolling_count(_events(s, d), "user_id", "ts", _DAY).select("event_id", "n"), "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW) AS n FROM events")
+_add("rolling_distinct", lambda s, d: detection.rolling_distinct(_events(s, d), "user_id", "ts", "event_type", _DAY).select("event_id", "n"), "SELECT event_id, count(DISTINCT event_type) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW) AS n FROM events")
+
+_HITS = """
+WITH RECURSIVE o AS (SELECT user_id, ts, row_number() OVER w AS rn, lag(ts, 3) OVER w AS first FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+k AS (SELECT * FROM o WHERE first IS NOT NULL AND ts - first <= INTERVAL 12 HOUR),
+h AS (
+  SELECT user_id, rn, ts, ts AS last_fire, true AS fired FROM k WHERE (user_id, rn) IN (SELECT user_id, min(rn) FROM k GROUP BY user_id)
+  UNION ALL
+  SELECT user_id, rn, ts, CASE WHEN ts - last_fire >= INTERVAL 24 HOUR THEN ts ELSE last_fire END, ts - last_fire >= INTERVAL 24 HOUR
+  FROM (SELECT k.user_id, k.rn, k.ts, h.last_fire, row_number() OVER (PARTITION BY k.user_id, h.rn ORDER BY k.rn) AS n FROM h JOIN k ON k.user_id = h.user_id AND k.rn >= h.rn + 4) WHERE n = 1)"""
+_hits = lambda s, d: detection.threshold_hits(_events(s, d), "user_id", "ts", "event_id", 4, 12 * 3600, _DAY)
+_add("threshold_hits", lambda s, d: _hits(s, d).select("user_id", F.col("rn").cast("long").alias("rn"), "fired"), _HITS + " SELECT user_id, rn, fired FROM h")
+_SESSIONS = """
+, g AS (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, rn) AS before FROM h),
+n AS (SELECT *, sum((before IS NULL OR ts - before > INTERVAL 24 HOUR)::INT) OVER (PARTITION BY user_id ORDER BY ts, rn) AS s FROM g)
+SELECT user_id, epoch_us(min(ts)) AS first_us, epoch_us(max(ts)) AS last_us, sum(CASE WHEN fired THEN 4 ELSE 1 END)::BIGINT AS count FROM n GROUP BY user_id, s"""
+_micros = lambda df: df.select("user_id", F.unix_micros("first_seen").alias("first_us"), F.unix_micros("last_seen").alias("last_us"), "count")
+_add("threshold_alerts", lambda s, d: _micros(detection.threshold_alerts(_events(s, d), "user_id", "ts", "event_id", 4, 12 * 3600, _DAY)), _HITS + _SESSIONS)
+_add("alert_sessions", lambda s, d: _micros(detection.alert_sessions(_events(s, d).where("event_type = 'error'").withColumnRenamed("event_id", "rn"), "user_id", "ts", _DAY, F.lit(1))), """
+WITH g AS (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events WHERE event_type = 'error'),
+n AS (SELECT *, sum((before IS NULL OR ts - before > INTERVAL 24 HOUR)::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM g)
+SELECT user_id, epoch_us(min(ts)) AS first_us, epoch_us(max(ts)) AS last_us, count(*) AS count FROM n GROUP BY user_id, s""")
+# No SQL: the greedy fold has no closed form; tests compare it with a plain loop.
+QUERIES["sequence_alerts"] = lambda s, d: detection.sequence_alerts(_events(s, d), "user_id", "ts", "event_id", [(F.col("event_type") == "error", 2), (F.col("event_type") == "purchase", 1)], 3 * _DAY)
+
+_add("join_asset", lambda s, d: lookups.by_key(_table(s, d, "supplier"), _table(s, d, "nation"), "s_nationkey", "n_nationkey", ["n_name"]).select("s_suppkey", "n_name"), "SELECT s_suppkey, n_name FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey")
+
+
+def _bands(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(0, 50_000, "small", 1), (40_000, 150_000, "middle", 2), (100_000, 10_000_000, "large", 3), (120_000, 121_000, "special", 4)], "lo long, hi long, band string, ord int")
+
+
+_BANDS = "(VALUES (0, 50000, 'small', 1), (40000, 150000, 'middle', 2), (100000, 10000000, 'large', 3), (120000, 121000, 'special', 4)) AS b(lo, hi, band, ord)"
+_orders = lambda s, d: _table(s, d, "orders").withColumn("price", F.floor("o_totalprice"))
+for _name, _order, _longest in (("join_zone_range", "ord", False), ("join_longest_prefix", "hi - lo, ord", True)):
+    _add(_name, lambda s, d, x=_longest: lookups.by_range(_orders(s, d), _bands(s), "price", "lo", "hi", "band", "ord", "o_orderkey", 1 << 20, x), f"SELECT o_orderkey, (SELECT arg_min(band, row(r, ord)) FROM (SELECT *, {'hi - lo' if _longest else 'ord'} AS r FROM {_BANDS}) WHERE floor(o_totalprice) BETWEEN lo AND hi) AS band FROM orders")
+_HOST = "regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)"
+_LISTED = ("example.com", "site1.example.org", "example.org", "test")
+_add("join_suffix_domain", lambda s, d: lookups.by_suffix(_table(s, d, "pages").withColumn("host", F.regexp_extract("url", "^[a-z]+://([^/:?#]+)", 1)), s.createDataFrame([(x,) for x in _LISTED], "indicator string"), "host", "indicator", "page_id"), f"""
+WITH p AS (SELECT page_id, string_split(lower({_HOST}), '.') AS l FROM pages),
+x AS (SELECT page_id, i, array_to_string(l[i:], '.') AS s FROM (SELECT page_id, l, unnest(range(1, len(l))) AS i FROM p)),
+m AS (SELECT page_id, arg_min(s, i) AS indicator FROM x WHERE s IN {_LISTED} GROUP BY page_id)
+SELECT page_id, indicator FROM pages LEFT JOIN m USING (page_id)""")
+_add("dedup_events", lambda s, d: aggregates.first_by_id(_events(s, d), "user_id", ["ts", "event_id"]).select("user_id", "event_id"), "SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events) WHERE n = 1")
+_add("agg_open_alerts", lambda s, d: _table(s, d, "orders").where("o_orderstatus != 'F'").groupingSets([["o_orderstatus"], ["o_orderpriority"]], "o_orderstatus", "o_orderpriority").agg(F.count(F.lit(1)).alias("n")), "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders WHERE o_orderstatus <> 'F' GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority))")
+_add("agg_tactic_distinct", lambda s, d: _events(s, d).select("user_id", F.explode(F.split("event_type", "i")).alias("tactic")).groupBy("tactic").agg(F.count_distinct("user_id").alias("n")), "SELECT tactic, count(DISTINCT user_id) AS n FROM (SELECT user_id, unnest(string_split(event_type, 'i')) AS tactic FROM events) GROUP BY 1")
+_add("parse_url", lambda s, d: _table(s, d, "pages").select("page_id", F.regexp_extract("url", "^([a-z]+)://", 1).alias("scheme"), F.regexp_extract("url", "^[a-z]+://([^/:?#]+)", 1).alias("host"), F.regexp_extract("url", "^[a-z]+://[^/?#]+([^?#]*)", 1).alias("path")), f"SELECT page_id, regexp_extract(url, '^([a-z]+)://', 1) AS scheme, {_HOST} AS host, regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) AS path FROM pages")
+_add("registered_domain", lambda s, d: _table(s, d, "pages").select("page_id", scalar.registered_domain(F.regexp_extract("url", "^[a-z]+://([^/:?#]+)", 1)).alias("domain")), f"SELECT page_id, CASE WHEN len(l) >= 2 THEN array_to_string(l[-2:], '.') END AS domain FROM (SELECT page_id, string_split(lower({_HOST}), '.') AS l FROM pages)")
+_add("parse_json_flat", lambda s, d: _events(s, d).select("event_id", F.get_json_object("props", "$.k").try_cast("long").alias("k")), "SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+_add("parse_kv", lambda s, d: _events(s, d).select("event_id", scalar.key_values(F.concat(F.lit("type="), "event_type", F.lit(" user="), F.col("user_id").cast("string"), F.lit(" user=\"last one\""))).alias("m")).select("event_id", F.col("m")["type"].alias("type"), F.col("m")["user"].alias("user")), "SELECT event_id, event_type AS type, 'last one' AS user FROM events")
+_add("parse_ts", lambda s, d: _events(s, d).select("event_id", F.unix_seconds(scalar.timestamp(F.date_format("ts", "dd/MMM/yyyy:HH:mm:ss +0000"), 2024)).alias("s")), "SELECT event_id, floor(epoch(ts))::BIGINT AS s FROM events")
+_add("ecs_canon", lambda s, d: _table(s, d, "part").select("p_partkey", scalar.canonical(F.col("p_type"), {"promo_plated_tin": "tin"}).alias("kind")), "SELECT p_partkey, CASE WHEN c = 'promo_plated_tin' THEN 'tin' ELSE c END AS kind FROM (SELECT p_partkey, translate(lower(trim(p_type)), '- ', '__') AS c FROM part)")
+_add("severity_boost", lambda s, d: _table(s, d, "lineitem").select("l_orderkey", "l_linenumber", scalar.boosted_severity(F.col("l_quantity").cast("int") * 2, F.when(F.col("l_returnflag") == "R", "critical").when(F.col("l_returnflag") == "A", "high"), F.col("l_linenumber") == 3).cast("int").alias("score")), """
+SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 3 THEN greatest(r, 75) ELSE r END AS score FROM (
+  SELECT *, least(q + CASE WHEN q <= 10 THEN 0 WHEN l_returnflag = 'R' THEN 20 WHEN l_returnflag = 'A' THEN 10 ELSE 0 END, 100) AS r FROM (SELECT *, l_quantity::INT * 2 AS q FROM lineitem))""")
