@@ -106,6 +106,8 @@ class _Parser:
                 self.close()
                 return out
             return self.value(value)
+        if kind == "word" and value.endswith(":"):
+            raise QueryError(f"{value} has no value")
         if kind in ("word", "quoted") and value not in ("AND", "OR"):
             return self.full_text(unquoted(value) if kind == "quoted" else value)
         raise QueryError(f"a term is missing before {value!r}" if kind else "a term is missing at the end")
