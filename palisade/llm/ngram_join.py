@@ -16,6 +16,9 @@ A document is the set of its distinct word n-grams (as 64-bit hashes); two docum
 4. Buckets whose members still lie in several components are joined to clusters where they share members; in a cluster, every pair of
    components of close sizes is searched in the same way, part against part.  Nothing is capped: a large cluster has more parts.
 
+Before the sets of a block travel, sketches of them do (two to four bits for an n-gram): a bit is the parity of the n-grams dealt to it, so sets
+differ in at least as many n-grams as sketches in bits.  Members without a partner that this bound allows stay at home; no link is lost.
+
 Cases: a null or empty text, or one without words, has an empty set and no link, and is its own component.  With fewer than n
 words the whole sequence is the one n-gram.  Rows that share a doc_id are one document with the links of each of its texts; a null
 doc_id gives a null component unless it links with another.  An empty table gives an empty table.  Extra columns are left aside.
@@ -37,7 +40,7 @@ from .components import components
 
 BLOCK = 256
 #: N-grams of a part of a cluster in step 4.
-BLOCK_GRAMS = 400_000
+BLOCK_GRAMS = 1_000_000
 SEEDS = 6
 _NULL_ID = 2**63 - 1
 _MASK = (1 << 64) - 1
@@ -121,6 +124,44 @@ def needed(a, b, percent: int):
     return -(-percent * (a + b) // (100 + percent))
 
 
+def sketch(grams: np.ndarray) -> np.ndarray:
+    """Parities of the n-grams over a power of two of bits, two for an n-gram at least; halves added by xor give the sketch of half as many bits."""
+    bits = max(64, 1 << (2 * len(grams) - 1).bit_length()) if len(grams) else 64
+    at = (mix(grams ^ np.uint64(0x9E6C63D0876A9A47)) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+class Sketches:
+    """The sketches of a block's sets by their length."""
+
+    def __init__(self, sketches: list[np.ndarray], sizes: np.ndarray):
+        self.own, self.sizes = sketches, sizes
+        self.at: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for n in {len(x) for x in sketches}:
+            who = [i for i, x in enumerate(sketches) if len(x) == n]
+            self.at[n] = np.array(who), np.stack([sketches[i] for i in who])
+
+    @staticmethod
+    def folded(x: np.ndarray, n: int) -> np.ndarray:
+        while x.shape[-1] > n:
+            half = x.shape[-1] // 2
+            x = x[..., :half] ^ x[..., half:]
+        return x
+
+    def partners(self, i: int, percent: int) -> np.ndarray:
+        """Members whose set may reach the similarity; of two sketches the longer is folded to the other's length."""
+        q, size, out = self.own[i], self.sizes[i], []
+        for n, (who, rows) in self.at.items():
+            fit = 100 * np.minimum(self.sizes[who], size) >= percent * np.maximum(self.sizes[who], size)
+            if not fit.any():
+                continue
+            who, rows = who[fit], rows[fit]
+            differ = np.bitwise_count(self.folded(rows, len(q)) ^ self.folded(q, n)).sum(axis=1, dtype=np.int64)
+            both = self.sizes[who] + size
+            out.append(who[both - differ >= 2 * needed(self.sizes[who], size, percent)])
+        return np.concatenate(out) if out else np.zeros(0, np.int64)
+
+
 class Index:
     """Inverted lists of a block's sets: for each n-gram, the ascending members that hold it."""
 
@@ -186,7 +227,7 @@ def _probe(who: np.ndarray, seen: np.ndarray, long: list[np.ndarray], need: np.n
 
 
 def described(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """(d, n_shingles, f1, f2, sigs): each row's id, set size, 128-bit id of the set, and signatures."""
+    """(d, n_shingles, f1, f2, sigs): each row's id, set size, 128-bit id of the set, signatures, and sketch."""
 
     def make():
         shingle, segments = Shingler(n), Segments(percent)
@@ -195,12 +236,12 @@ def described(docs: DataFrame, n: int, percent: int) -> DataFrame:
             sets = [shingle(t) for t in common.texts(batch)]
             ids = [xxhash.xxh128_digest(s.tobytes()) for s in sets]
             f = np.frombuffer(b"".join(ids), np.int64).reshape(-1, 2)
-            return {"d": batch.column(0), "n_shingles": [len(s) for s in sets], "f1": f[:, 0], "f2": f[:, 1], "sigs": [segments(s).view(np.int64) for s in sets]}
+            return {"d": batch.column(0), "n_shingles": [len(s) for s in sets], "f1": f[:, 0], "f2": f[:, 1], "sigs": [segments(s).view(np.int64) for s in sets], "sketch": [sketch(s).tobytes() for s in sets]}
 
         return of
 
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("d"), F.col("text").cast("string").alias("text"))
-    return common.arrow_map(rows, "d long, n_shingles long, f1 long, f2 long, sigs array<long>", make)
+    return common.arrow_map(rows, "d long, n_shingles long, f1 long, f2 long, sigs array<long>, sketch binary", make)
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
@@ -233,6 +274,33 @@ def _groups(batches) -> Iterator[list[tuple]]:
         yield rows
 
 
+_SEEN = "k1 long, k2 long, k3 long, side int, d long, c long"
+
+
+def likely(blocks: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Those rows of blocks (k1, k2, k3, side, d, c) that may link with another one of their block by the sketches (d, n_shingles, sketch)."""
+    dealt = blocks.join(sketches, "d").select("k1", "k2", "k3", "side", "d", "c", "n_shingles", "sketch")
+    dealt = dealt.repartition("k1", "k2", "k3").sortWithinPartitions("k1", "k2", "k3", "side", "d")
+    types = common.pa_schema(_SEEN)
+
+    def run(batches):
+        for rows in _groups(batches):
+            side, c = np.array([r[3] for r in rows]), np.array([r[5] for r in rows], np.int64)
+            known = Sketches([np.frombuffer(r[7], np.uint64) for r in rows], np.array([r[6] for r in rows], np.int64))
+            stays = np.zeros(len(rows), bool)
+            for i in np.flatnonzero(side != 1).tolist():
+                j = known.partners(i, percent)
+                j = j[(side[j] != 0) & (c[j] != c[i])]
+                stays[j] = True
+                stays[i] |= len(j) > 0
+            if stays.any():
+                kept = dict.fromkeys(rows[i][:6] for i in np.flatnonzero(stays).tolist())
+                yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*kept, strict=True), types, strict=True)], schema=types)
+
+    dealt.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(common.BATCH_ROWS))
+    return dealt.mapInArrow(run, _SEEN)
+
+
 _LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -266,8 +334,9 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     classes = common.stored(full.where("n_shingles > 0").groupBy("f1", "f2").agg(F.min("d").alias("rep"), F.count(F.lit(1)).alias("n_left")), "classes")
     # One row stands for a class, whatever number of rows has its id.
     reps = full.join(classes.select(F.col("f1"), F.col("f2"), F.col("rep").alias("d")), ["f1", "f2", "d"], "left_semi").dropDuplicates(["f1", "f2"])
+    sketches = common.stored(reps.select("d", "n_shingles", "sketch"), "sketches")
     reps = common.stored(reps.select("d", "sigs"), "reps")
-    rows = common.stored(full.drop("sigs"), "rows")
+    rows = common.stored(full.drop("sigs", "sketch"), "rows")
     common.unstore(full)
     sent = reps.select("d", F.explode("sigs").alias("sig"))
     buckets = sent.groupBy("sig").agg(F.min("d").alias("leader"), F.count(F.lit(1)).alias("n_left")).where("n_left > 1")
@@ -277,15 +346,21 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     common.unstore(reps)
     common.unstore(buckets)
 
-    # Step 3: the least leader that a member meets anywhere asks for it, in blocks; so each set travels once here.
+    def linked(blocks: DataFrame, name: str) -> DataFrame:
+        near = common.stored(likely(blocks, sketches, percent), "likely")
+        sets = common.stored(sets_of(docs, near.select("d").distinct(), n), "sets")
+        links = common.stored(search(near.join(sets, "d").select("k1", "k2", "k3", "side", "d", "c", "grams"), percent), name)
+        common.unstore(near)
+        common.unstore(sets)
+        return links
+
+    # Step 3: the least leader that a member meets anywhere asks for it, in blocks; so each sketch, and each set at most, travels once here.
     first = met.where("d != leader").groupBy("d").agg(F.min("leader").alias("leader")).select("leader", "d")
-    sets = common.stored(sets_of(docs, met.select("d").distinct(), n), "sets")
     deal = F.pmod(F.xxhash64("d"), F.greatest(F.lit(1), F.ceil(F.col("size") / BLOCK)))
     sized = first.join(first.groupBy("leader").agg(F.count(F.lit(1)).alias("size")), "leader").withColumn("k2", deal.cast("long"))
     asked = sized.select("leader", "k2").distinct().select("leader", "k2", F.lit(0).alias("side"), F.col("leader").alias("d"))
     told = sized.select("leader", "k2", F.lit(1).alias("side"), "d")
-    blocks = asked.union(told).join(sets, "d").select(F.col("leader").alias("k1"), "k2", F.lit(0).cast("long").alias("k3"), "side", "d", F.col("d").alias("c"), "grams")
-    links = common.stored(search(blocks, percent), "links")
+    links = linked(asked.union(told).select(F.col("leader").alias("k1"), "k2", F.lit(0).cast("long").alias("k3"), "side", "d", F.col("d").alias("c")), "links")
     found = components(links)
 
     # Step 4: buckets that are still in several components.
@@ -294,7 +369,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     members = common.stored(common.spread_join(labelled, open_, ["leader"], "inner", total).select("leader", "d", "c"), "open")
     if members.limit(1).count():
         clusters = components(members.select(F.col("leader").alias("a"), F.col("d").alias("b"))).withColumnRenamed("node", "d").withColumnRenamed("component", "k1")
-        own = members.groupBy("d").agg(F.first("c").alias("c")).join(sets.groupBy("d").agg(F.sum(F.length("grams") / 8).alias("size")), "d").join(clusters, "d")
+        own = members.groupBy("d").agg(F.first("c").alias("c")).join(sketches.groupBy("d").agg(F.sum("n_shingles").alias("size")), "d").join(clusters, "d")
         # A cluster of bounded weight is one block.  A larger one is cut by size first: sets that can link are in one size group or in
         # neighbouring ones, each dealt to parts of bounded weight.
         whole = own.groupBy("k1").agg((F.sum("size") <= BLOCK_GRAMS).alias("whole"))
@@ -307,8 +382,8 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
         pairs = mine.withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("theirs") - 1)))
         me, it = F.col("g") * (1 << 32) + F.col("p"), F.col("h") * (1 << 32) + F.col("q")
         side = F.when(me == it, 2).when(me < it, 0).otherwise(1)
-        blocks = pairs.select("k1", F.least(me, it).alias("k2"), F.greatest(me, it).alias("k3"), side.alias("side"), "d", "c").join(sets, "d").select("k1", "k2", "k3", "side", "d", "c", "grams")
-        more = common.stored(search(blocks, percent), "links")
+        blocks = pairs.select("k1", F.least(me, it).alias("k2"), F.greatest(me, it).alias("k3"), side.alias("side"), "d", "c")
+        more = linked(blocks, "links")
         if more.limit(1).count():
             found = components(links.union(more))
     label = classes.join(found, classes.rep == found.node, "left").select("f1", "f2", "n_left", F.coalesce("component", "rep").alias("component"))

@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -75,6 +76,21 @@ def test_ngram_join(spark, monkeypatch, n, percent, part):
     assert sorted(map(tuple, ngram_join.jaccard_components(df, n, percent).collect())) == brute_components(rows, n, percent)
 
 
+def test_sketches_lose_no_partner():
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**63, 400, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base[rng.random(400) < keep], rng.integers(0, 2**63, extra, dtype=np.uint64)])) for keep in (0.05, 0.3, 0.9, 0.95, 1) for extra in (0, 3, 90)]
+    sets = [s for s in sets if len(s)]
+    known = ngram_join.Sketches([ngram_join.sketch(s) for s in sets], np.array([len(s) for s in sets]))
+    for percent in (30, 80, 90):
+        for i, a in enumerate(sets):
+            links = {j for j, b in enumerate(sets) if 100 * len(np.intersect1d(a, b)) >= percent * len(np.union1d(a, b))}
+            assert links <= set(known.partners(i, percent).tolist())
+    far = [rng.integers(0, 2**63, 500, dtype=np.uint64) for _ in range(20)]
+    known = ngram_join.Sketches([ngram_join.sketch(s) for s in far], np.full(20, 500))
+    assert all(known.partners(i, 80).tolist() == [i] for i in range(20))
+
+
 def test_divide_skip_is_exact():
     import numpy as np
 
