@@ -40,9 +40,26 @@ def cidr_bounds(cidr: str) -> tuple[int, int]:
     return int(net.network_address), int(net.broadcast_address)
 
 
+def ipv6(ip: Column) -> Column:
+    """An IPv6 address as 32 hexadecimal digits, whose order is that of the addresses; null if it is none.  A zone is dropped, a dotted tail is read."""
+    text = F.regexp_replace(F.lower(ip), "%[^%/]+$", "")
+    tail = ipv4(F.regexp_extract(text, r":([0-9.]+)$", 1))
+    group = lambda n: F.lower(F.hex(n))
+    plain = F.when(text.contains("."), F.concat(F.regexp_extract(text, "^(.*:)[0-9.]+$", 1), group(F.shiftrightunsigned(tail, 16)), F.lit(":"), group(tail % 65536))).otherwise(text)
+    parts = lambda half: F.filter(F.split(half, ":"), lambda x: x != "")
+    left, right = parts(F.substring_index(plain, "::", 1)), F.when(plain.contains("::"), parts(F.substring_index(plain, "::", -1))).otherwise(F.array().cast("array<string>"))
+    n = F.size(left) + F.size(right)
+    every = F.concat(left, F.array_repeat(F.lit("0"), F.greatest(8 - n, F.lit(0))), right)
+    run = "[0-9a-f]{1,4}(?::[0-9a-f]{1,4}){0,7}"
+    good = plain.rlike(f"^(?:{run})?(?:::(?:{run})?)?$") & F.when(plain.contains("::"), n <= 7).otherwise(n == 8)
+    return F.when(good, F.array_join(F.transform(every, lambda x: F.lpad(x, 4, "0")), ""))
+
+
 def in_cidr(ip: Column, cidr: str) -> Column:
-    """Two-valued membership; a bad address is in no network."""
+    """Two-valued membership; a bad address is in no network, nor is one of the other version (a mapped address is of both)."""
     lo, hi = cidr_bounds(cidr)
+    if ":" in cidr:
+        return F.coalesce(ipv6(ip).between(f"{lo:032x}", f"{hi:032x}"), F.lit(False))
     return F.coalesce(ipv4(ip).between(lo, hi), F.lit(False))
 
 

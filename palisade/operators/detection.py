@@ -1,13 +1,19 @@
 """Stateful detection over history: thresholds, sequences, suppression and alert sessions, keyed and in event-time order.
 
 What a window function can say is one; the greedy rest is a fold over each key's sorted events inside the JVM (``aggregate``).
-A key's events are one array there, so thresholds first keep only events that can be part of a hit.
+A key's events are one array there, so thresholds first keep only events that can be part of a hit.  Thresholds of distinct
+values are folded over sorted rows that stream through Python, with no more state than the values still short of a hit.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 
 def _us(ts: str) -> Column:
@@ -24,8 +30,67 @@ def rolling_distinct(df: DataFrame, key: str, ts: str, value: str, seconds: floa
     return df.withColumn("us", _us(ts)).withColumn("n", F.size(F.collect_set(value).over(w)).cast("long")).drop("us")
 
 
-def threshold_hits(df: DataFrame, key: str, ts: str, order: str, count: int, window: float, suppress: float) -> DataFrame:
-    """(key, rn, ts, fired): hits of "count events within window" (edge included), where a hit uses its events up; a hit within suppress of the last fired one only touches it."""
+def folded(rows: DataFrame, key: str, order: list[str], keep: list[str], made: str, start: Callable[[], Callable[..., tuple | None]], uses: list[str]) -> DataFrame:
+    """The columns ``keep`` of rows, and those that the fold made, where it made any.
+
+    ``start()`` begins a key; the function that it returns sees the columns ``uses`` of one row after the other, in order,
+    and gives the made columns' values or None.  Rows stream through: of a key, however large, only the fold's state is held.
+    """
+    types = StructType([rows.schema[c] for c in keep] + StructType.fromDDL(made).fields)
+    new = [to_arrow_type(f.dataType) for f in StructType.fromDDL(made)]
+
+    def run(batches):
+        at, step = None, None
+        for batch in batches:
+            col = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
+            found, values = [], []
+            for i, (k, *x) in enumerate(zip(*[col[c].to_pylist() for c in (key, *uses)], strict=True)):
+                if step is None or (k != at and (k == k or at == at)):  # noqa: PLR0124 - a NaN is equal to itself here
+                    at, step = k, start()
+                if (out := step(*x)) is not None:
+                    found.append(i)
+                    values.append(out)
+            if found:
+                made_cols = [pa.array(v, t) for v, t in zip(zip(*values, strict=True), new, strict=True)]
+                yield pa.RecordBatch.from_arrays([*(col[c].take(pa.array(found)) for c in keep), *made_cols], types.names)
+
+    return rows.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, types)
+
+
+def distinct_hits(df: DataFrame, key: str, ts: str, order: str, count: int, window: float, suppress: float, value: Column) -> DataFrame:
+    width, quiet = int(window * 1_000_000), int(suppress * 1_000_000)
+    rn = F.row_number().over(Window.partitionBy(key).orderBy(ts, order))
+    rows = df.select(key, ts, _us(ts).alias("us"), rn.alias("rn"), value.cast("string").alias("v")).where("us is not null")
+
+    def start():
+        last: dict[str | None, int] = {}  # each value's last time, the oldest first; fewer than count
+        fired = None
+
+        def step(us: int, v: str | None) -> tuple | None:
+            nonlocal fired
+            last.pop(v, None)
+            last[v] = us
+            while us - (old := next(iter(last.items())))[1] > width:
+                del last[old[0]]
+            if len(last) < count:
+                return None
+            last.clear()
+            fire = fired is None or us - fired >= quiet
+            fired = us if fire else fired
+            return (fire,)
+
+        return step
+
+    return folded(rows, key, ["rn"], [key, "rn", ts], "fired boolean", start, ["us", "v"])
+
+
+def threshold_hits(df: DataFrame, key: str, ts: str, order: str, count: int, window: float, suppress: float, distinct: Column | None = None) -> DataFrame:
+    """(key, rn, ts, fired): hits of "count events within window" (edge included), where a hit uses its events up; a hit within suppress of the last fired one only touches it.
+
+    With ``distinct``, different values count (as strings, a missing one as a value) instead of events.
+    """
+    if distinct is not None:
+        return distinct_hits(df, key, ts, order, count, window, suppress, distinct)
     w = Window.partitionBy(key).orderBy(ts, order)
     ordered = df.select(key, ts, _us(ts).alias("us"), F.row_number().over(w).alias("rn"), F.lag(_us(ts), count - 1).over(w).alias("first"))
     ready = ordered.where((F.col("us") - F.col("first")) <= int(window * 1_000_000))
@@ -51,9 +116,9 @@ def alert_sessions(hits: DataFrame, key: str, ts: str, suppress: float, worth: C
     return numbered.groupBy(key, "session").agg(F.min(ts).alias("first_seen"), F.max(ts).alias("last_seen"), F.sum("worth").cast("long").alias("count")).drop("session")
 
 
-def threshold_alerts(df: DataFrame, key: str, ts: str, order: str, count: int, window: float, suppress: float) -> DataFrame:
-    """Alerts of a threshold rule: a fired hit is worth its events, a touch one."""
-    hits = threshold_hits(df, key, ts, order, count, window, suppress)
+def threshold_alerts(df: DataFrame, key: str, ts: str, order: str, count: int, window: float, suppress: float, distinct: Column | None = None) -> DataFrame:
+    """Alerts of a threshold rule: a fired hit is worth its events (or distinct values), a touch one."""
+    hits = threshold_hits(df, key, ts, order, count, window, suppress, distinct)
     return alert_sessions(hits, key, ts, suppress, F.when(F.col("fired"), F.lit(count)).otherwise(F.lit(1)))
 
 

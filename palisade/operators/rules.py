@@ -85,5 +85,5 @@ def alerts(rule: Rule, events: DataFrame, ts: str, event_id: str, column: Callab
         t = rule.threshold or {"count": 1, "window": "1m"}
         names = rule.group_by or t.get("group_by") or []
         rows = events.where(predicate(rule, column, lists)).withColumn("group_key", group_key([names] if isinstance(names, str) else names, column))
-        found = detection.threshold_alerts(rows, "group_key", ts, event_id, int(t["count"]), duration(t["window"]), rule.suppress)
+        found = detection.threshold_alerts(rows, "group_key", ts, event_id, int(t.get("count", 1)), duration(t.get("window", "5m")), rule.suppress, column(t["distinct"]) if t.get("distinct") else None)
     return found.select(F.lit(rule.id).alias("rule_id"), "group_key", "first_seen", "last_seen", "count")

@@ -18,28 +18,30 @@ def matches(events: DataFrame, predicate: Column) -> DataFrame:
     return events.where(F.coalesce(predicate, F.lit(False)))
 
 
-def threshold_hits(events: DataFrame, key: str, ts: str, count: int, window: float, suppress: float) -> DataFrame:
+def threshold_hits(events: DataFrame, key: str, ts: str, count: int, window: float, suppress: float, distinct: Column | None = None, order: str | None = None) -> DataFrame:
     """(key, ts, fired) as the batch form gives for events in order; the state is the key's events of one window, less than count, and the last fired time.
 
-    Events of a micro-batch are sorted by time; across micro-batches they count in the order of arrival.
+    With ``distinct``, different values count (as strings, a missing one as a value) instead of events; the state then holds the last time of each value.
+    Events of a micro-batch are sorted by time, then ``order``; across micro-batches they count in the order of arrival.
     """
-    width, quiet = int(window * 1_000_000), int(suppress * 1_000_000)
+    width, quiet, by_value = int(window * 1_000_000), int(suppress * 1_000_000), distinct is not None
 
     def step(k: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        recent, fired = state.get if state.exists else ([], None)
-        recent = list(recent)
-        times = sorted(t for f in frames for t in f["us"].tolist())
+        times, *values, fired = state.get if state.exists else ([], None)
+        recent = list(zip(times, *values, strict=True)) if values else [(x, "") for x in times]
+        rows = sorted((r for f in frames for r in zip(f["us"].tolist(), f["o"].tolist(), f["v"].tolist(), strict=True)), key=lambda r: r[:2])
         out = []
-        for t in times:
-            recent = [x for x in recent if x >= t - width] + [t]
+        for t, _, v in rows:
+            recent = [x for x in recent if x[0] >= t - width and (not by_value or x[1] != v)] + [(t, v)]  # of equal values the last tells all
             if len(recent) >= count:
                 fire = fired is None or t - fired >= quiet
                 fired = t if fire else fired
                 out.append((k[0], pd.Timestamp(t, unit="us"), fire))
                 recent = []
-        state.update((recent, fired))
+        state.update(([x[0] for x in recent], *([[x[1] for x in recent]] if by_value else []), fired))
         yield pd.DataFrame(out, columns=[key, "ts", "fired"])
 
-    rows = events.select(F.col(key), F.unix_micros(F.col(ts).cast("timestamp")).alias("us"))
+    value = F.lit("") if distinct is None else F.coalesce(F.concat(F.lit("="), distinct.cast("string")), F.lit(""))
+    rows = events.select(F.col(key), F.unix_micros(F.col(ts).cast("timestamp")).alias("us"), (F.col(order) if order else F.lit(0)).alias("o"), value.alias("v"))
     kind = events.schema[key].dataType.simpleString()
-    return rows.groupBy(key).applyInPandasWithState(step, f"`{key}` {kind}, ts timestamp, fired boolean", "recent array<bigint>, fired bigint", "append", "NoTimeout")
+    return rows.groupBy(key).applyInPandasWithState(step, f"`{key}` {kind}, ts timestamp, fired boolean", f"recent array<bigint>, {'vals array<string>, ' if by_value else ''}fired bigint", "append", "NoTimeout")

@@ -1,6 +1,7 @@
 """The search language, rules, stateful detection, parsers, tables and streaming on small inputs, against plain loops."""
 
 import datetime as dt
+import ipaddress
 import random
 
 import pytest
@@ -70,6 +71,50 @@ def test_threshold_like_a_loop_in_batch_and_stream(spark, tmp_path):
     assert sorted((r.k, r.ts, r.fired) for r in spark.table("hits").collect()) == want
 
 
+def distinct_by_loop(rows, n, window, suppress):
+    recent, fired, out = [], None, []
+    for x, v in rows:
+        recent = [y for y in recent if y[0] >= x - window] + [(x, v)]
+        if len({y[1] for y in recent}) >= n:
+            fire = fired is None or x - fired >= suppress
+            fired = x if fire else fired
+            out.append((x, fire))
+            recent = []
+    return out
+
+
+def test_distinct_threshold_like_a_loop_in_batch_stream_and_rule(spark, tmp_path):
+    rng = random.Random(8)
+    keys = {f"k{i}": [(s, rng.choice(["x", "y", "z", "", None])) for s in sorted(rng.choices(range(2000), k=60))] for i in range(12)}
+    df = events(spark, sorted(((s, k, v) for k, rows in keys.items() for s, v in rows), key=lambda r: r[0]))
+    want = sorted((k, t(s), f) for k, rows in keys.items() for s, f in distinct_by_loop(rows, 3, 120, 400))
+    assert sorted((r.k, r.ts, r.fired) for r in detection.threshold_hits(df, "k", "ts", "event_id", 3, 120, 400, F.col("a")).collect()) == want
+    path = str(tmp_path / "in")
+    df.coalesce(1).write.parquet(path)
+    stream = detect.threshold_hits(spark.readStream.schema(df.schema).parquet(path), "k", "ts", 3, 120, 400, F.col("a"), "event_id")
+    q = stream.writeStream.format("memory").queryName("distinct_hits").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert sorted((r.k, r.ts, r.fired) for r in spark.table("distinct_hits").collect()) == want
+    rule = rules.from_dict({"id": "d", "title": "d", "detection": {"sel": {"k": "h"}}, "threshold": {"count": 3, "window": "5m", "group_by": "k", "distinct": "a"}})
+    alerts = lambda values: [(r.group_key, r["count"]) for r in rules.alerts(rule, events(spark, [(i, "h", v) for i, v in enumerate(values)]), "ts", "event_id", F.col).collect()]
+    assert alerts(["22", "22", "22", "80", "80", "443"]) == [("k=h", 3)] and alerts(["22"] * 100) == []
+
+
+def test_cidr_like_the_library(spark):
+    ips = ["::1", "::", "2001:db8::1", "2001:DB8:0:0:8:800:200C:417A", "2001:db8:ffff:ffff:ffff:ffff:ffff:ffff", "2001:db9::", "fe80::1%eth0", "::ffff:10.1.2.3", "64:ff9b::1.2.3.4", "1::2::3", ":::", "1:2:3:4:5:6:7", "1:2:3:4:5:6:7:8:9", "1:2:3:4:5:6:7::", "1:2:3:4:5:6:7:8::", "12345::", ":1", "1:", "g::", "10.1.2.3", "::1.2.3.400", "", "x", None]
+    df = spark.createDataFrame([(x,) for x in ips], "ip string")
+
+    def inside(ip, net):
+        try:
+            return ipaddress.ip_address(ip) in ipaddress.ip_network(net, strict=False)
+        except ValueError:
+            return False
+
+    for net in ("2001:db8::/32", "::/0", "fe80::/10", "::1/128", "::ffff:0:0/96", "::/96", "64:ff9b::102:304/127"):
+        assert {r.ip for r in df.where(scalar.in_cidr(F.col("ip"), net)).collect()} == {x for x in ips if inside(x, net)}, net
+    assert {r.ip for r in df.where(scalar.in_cidr(F.col("ip"), "10.0.0.0/8")).collect()} == {"10.1.2.3", "::ffff:10.1.2.3"}
+
+
 def test_sequence_and_rule(spark):
     rows = [(1000, "a", "ok"), (1001, "a", "fail"), (1002, "a", "fail"), (1003, "a", "fail"), (1010, "b", "ok"), (1011, "a", "ok"), (1012, "a", "ok"), (5000, "a", "fail"), (5001, "a", "fail"), (5002, "a", "fail"), (5700, "a", "ok")]
     rule = rules.from_dict({"id": "r", "title": "r", "sequence": {"by": ["k"], "within": "10m", "stages": [{"selection": {"a": "fail"}, "count": 3}, {"selection": {"a": "ok"}}]}})
