@@ -1,8 +1,8 @@
 """Stateful detection over history: thresholds, sequences, suppression and alert sessions, keyed and in event-time order.
 
-What a window function can say is one; the greedy rest is a fold over each key's sorted events inside the JVM (``aggregate``).
-A key's events are one array there, so thresholds first keep only events that can be part of a hit.  Thresholds of distinct
-values are folded over sorted rows that stream through Python, with no more state than the values still short of a hit.
+What a window function can say is one; the greedy rest is a fold over each key's sorted events, which stream through Python: a
+key with any number of events needs no more memory than the fold's state.  Thresholds of counts first keep only events that can
+be part of a hit.
 """
 
 from __future__ import annotations
@@ -91,20 +91,25 @@ def threshold_hits(df: DataFrame, key: str, ts: str, order: str, count: int, win
     """
     if distinct is not None:
         return distinct_hits(df, key, ts, order, count, window, suppress, distinct)
+    width, quiet = int(window * 1_000_000), int(suppress * 1_000_000)
     w = Window.partitionBy(key).orderBy(ts, order)
     ordered = df.select(key, ts, _us(ts).alias("us"), F.row_number().over(w).alias("rn"), F.lag(_us(ts), count - 1).over(w).alias("first"))
-    ready = ordered.where((F.col("us") - F.col("first")) <= int(window * 1_000_000))
-    rows = ready.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("rn", "us", ts))).alias("x"))
-    start = F.struct(F.lit(None).cast("int").alias("rn"), F.lit(None).cast("long").alias("fired"), F.array().cast("array<struct<rn:int,fired:boolean>>").alias("out"))
+    ready = ordered.where((F.col("us") - F.col("first")) <= width)
+
+    def start():
+        last = fired = None
+
+        def step(rn: int, us: int) -> tuple | None:
+            nonlocal last, fired
+            if last is not None and rn < last + count:
+                return None
+            fire = fired is None or us - fired >= quiet
+            last, fired = rn, us if fire else fired
+            return (fire,)
 
-    def step(a: Column, x: Column) -> Column:
-        hit = a["rn"].isNull() | (x["rn"] >= a["rn"] + count)
-        fire = hit & (a["fired"].isNull() | (x["us"] - a["fired"] >= int(suppress * 1_000_000)))
-        return F.struct(F.when(hit, x["rn"]).otherwise(a["rn"]).alias("rn"), F.when(fire, x["us"]).otherwise(a["fired"]).alias("fired"), F.when(hit, F.concat(a["out"], F.array(F.struct(x["rn"].alias("rn"), fire.alias("fired"))))).otherwise(a["out"]).alias("out"))
+        return step
 
-    hits = rows.select(key, "x", F.aggregate("x", start, step)["out"].alias("o")).select(key, "x", F.explode("o").alias("h"))
-    at = F.filter("x", lambda e: e["rn"] == F.col("h.rn"))[0][ts]
-    return hits.select(key, F.col("h.rn").alias("rn"), at.alias(ts), F.col("h.fired").alias("fired"))
+    return folded(ready, key, ["rn"], [key, "rn", ts], "fired boolean", start, ["rn", "us"])
 
 
 def alert_sessions(hits: DataFrame, key: str, ts: str, suppress: float, worth: Column) -> DataFrame:
@@ -129,25 +134,29 @@ def sequence_alerts(df: DataFrame, key: str, ts: str, order: str, stages: list[t
     a run older than ``within`` is dropped before the event is looked at; a finished run is used up.
     """
     bits = F.array(*[F.coalesce(c, F.lit(False)) for c, _ in stages])
-    rows = df.select(key, F.struct(_us(ts).alias("us"), F.col(order).alias("o"), bits.alias("b"), F.col(ts).alias("ts")).alias("e")).where(F.exists("e.b", lambda x: x))
-    rows = rows.groupBy(key).agg(F.array_sort(F.collect_list("e")).alias("x"))
-    needs = F.array(*[F.lit(n) for _, n in stages])
-    # The state: stage, events of it so far, start of the run.
-    start = F.struct(F.lit(0).alias("s"), F.lit(0).alias("n"), F.lit(None).cast("long").alias("t"), F.array().cast("array<struct<us:bigint,since:bigint>>").alias("out"))
-
-    def step(a: Column, e: Column) -> Column:
-        old = a["t"].isNotNull() & (e["us"] - a["t"] > int(within * 1_000_000))
-        s, n, t = F.when(old, 0).otherwise(a["s"]), F.when(old, 0).otherwise(a["n"]), F.when(~old, a["t"])
-        on = F.get(e["b"], s)
-        again = ~on & F.get(e["b"], F.lit(0))
-        n2 = F.when(on, n + 1).when(again, F.when(s == 0, n + 1).otherwise(1)).otherwise(n)
-        s2 = F.when(again, 0).otherwise(s)
-        t2 = F.when((on | again) & (t.isNull() | again), e["us"]).otherwise(t)
-        full = n2 >= F.get(needs, s2)
-        end = full & (s2 == len(stages) - 1)
-        return F.struct(
-            F.when(end, 0).when(full, s2 + 1).otherwise(s2).alias("s"), F.when(full, 0).otherwise(n2).alias("n"), F.when(~end, t2).alias("t"),
-            F.when(end, F.concat(a["out"], F.array(F.struct(e["us"].alias("us"), t2.alias("since"))))).otherwise(a["out"]).alias("out"),
-        )
-
-    return rows.select(key, F.explode(F.aggregate("x", start, step)["out"]).alias("r")).select(key, F.timestamp_micros("r.us").alias("ts"), F.timestamp_micros("r.since").alias("started"))
+    rows = df.select(key, _us(ts).alias("us"), F.col(order).alias("o"), bits.alias("b")).where(F.exists("b", lambda x: x))
+    needs, width = [n for _, n in stages], int(within * 1_000_000)
+
+    def start():
+        s, n, t = 0, 0, None  # stage, events of it so far, start of the run
+
+        def step(us: int | None, b: list[bool]) -> tuple | None:
+            nonlocal s, n, t
+            if t is not None and us is not None and us - t > width:
+                s, n, t = 0, 0, None
+            if b[s]:
+                n, t = n + 1, us if t is None else t
+            elif b[0]:
+                s, n, t = 0, 1, us
+            if n < needs[s]:
+                return None
+            n, s = 0, s + 1
+            if s < len(needs):
+                return None
+            began, s, t = t, 0, None
+            return us, began
+
+        return step
+
+    ends = folded(rows, key, ["us", "o", "b"], [key], "ended long, began long", start, ["us", "b"])
+    return ends.select(key, F.timestamp_micros("ended").alias("ts"), F.timestamp_micros("began").alias("started"))

@@ -100,6 +100,37 @@ def test_distinct_threshold_like_a_loop_in_batch_stream_and_rule(spark, tmp_path
     assert alerts(["22", "22", "22", "80", "80", "443"]) == [("k=h", 3)] and alerts(["22"] * 100) == []
 
 
+def sequences_by_loop(rows, needs, within):
+    s, n, began, out = 0, 0, None, []
+    for x, a in rows:
+        if began is not None and x - began > within:
+            s, n, began = 0, 0, None
+        if a == s:
+            n, began = n + 1, x if began is None else began
+        elif a == 0:
+            s, n, began = 0, 1, x
+        if n >= needs[s]:
+            s, n = s + 1, 0
+        if s == len(needs):
+            out.append((x, began))
+            s, n, began = 0, 0, None
+    return out
+
+
+def test_a_large_key_streams_through_the_folds(spark):
+    n = 300_000
+    rows = spark.range(n).select(F.col("id").alias("event_id"), F.timestamp_seconds(F.lit(1704067200) + F.col("id")).alias("ts"), F.when(F.col("id") % 100 == 1, F.col("id").cast("string")).otherwise("hot").alias("k"), (F.xxhash64("id") % 3).alias("a"))
+    hot = [r.event_id for r in rows.where("k = 'hot'").orderBy("event_id").select("event_id").collect()]
+    hits = detection.threshold_hits(rows, "k", "ts", "event_id", 3, 60, 30)
+    assert not any(word in hits._jdf.queryExecution().toString() for word in ("collect_list", "collect_set"))
+    assert sorted((r.ts, r.fired) for r in hits.where("k = 'hot'").collect()) == [(t(s), f) for s, f in hits_by_loop(hot, 3, 60, 30)]
+    stages = [(F.col("a") == 0, 2), (F.col("a") == 1, 1), (F.col("a") == 2, 1)]
+    ends = detection.sequence_alerts(rows, "k", "ts", "event_id", stages, 20)
+    assert "collect_list" not in ends._jdf.queryExecution().toString()
+    events = [(r.event_id, r.a) for r in rows.where("k = 'hot' and a >= 0").orderBy("event_id").collect()]
+    assert sorted((r.ts, r.started) for r in ends.where("k = 'hot'").collect()) == [(t(a), t(b)) for a, b in sequences_by_loop(events, [2, 1, 1], 20)]
+
+
 def test_cidr_like_the_library(spark):
     ips = ["::1", "::", "2001:db8::1", "2001:DB8:0:0:8:800:200C:417A", "2001:db8:ffff:ffff:ffff:ffff:ffff:ffff", "2001:db9::", "fe80::1%eth0", "::ffff:10.1.2.3", "64:ff9b::1.2.3.4", "1::2::3", ":::", "1:2:3:4:5:6:7", "1:2:3:4:5:6:7:8:9", "1:2:3:4:5:6:7::", "1:2:3:4:5:6:7:8::", "12345::", ":1", "1:", "g::", "10.1.2.3", "::1.2.3.400", "", "x", None]
     df = spark.createDataFrame([(x,) for x in ips], "ip string")
