@@ -1,7 +1,7 @@
 """Quality rules with verdicts by host.
 
 Each document is tested by base rules; failures are counted by host; a host's failure rate is shrunk by a beta prior
-whose two parameters come from the hosts' own rates (moments), and documents of a host whose shrunk rate is above
+whose two parameters come from the rates of all hosts, however small (moments), and documents of a host whose shrunk rate is above
 ``host_rate`` fail with it.
 
 Cases: a null or empty text has no words and fails.  A null host is a host of its own.  Equal rows are judged and counted
@@ -64,8 +64,8 @@ def judge(docs: DataFrame, host: str = "source", host_rate: float = 0.5, least_w
     hosts = judged.groupBy(F.coalesce("host", F.lit("\x00")).alias("h")).agg(F.count(F.lit(1)).alias("n_left"), F.sum(F.col("base_failed").cast("long")).alias("failed"))
     hosts = common.stored(hosts, "hosts")
     rate = F.col("failed") / F.col("n_left")
-    total, mean, var, inv = hosts.where("n_left >= 5").agg(F.sum("n_left"), F.avg(rate), F.var_pop(rate), F.avg(1 / F.col("n_left"))).first()
-    rows_all = hosts.agg(F.sum("n_left")).first()[0] or 0
+    total, mean, var, inv = hosts.agg(F.sum("n_left"), F.avg(rate), F.var_pop(rate), F.avg(1 / F.col("n_left"))).first()
+    rows_all = total or 0
     alpha, beta = beta_prior(mean, var, inv)
     hosts = hosts.select("h", "n_left", ((F.col("failed") + alpha) / (F.col("n_left") + alpha + beta)).alias("host_shrunk_rate"))
     out = common.spread_join(judged.withColumn("h", F.coalesce("host", F.lit("\x00"))), hosts, ["h"], "inner", rows_all)
@@ -73,9 +73,16 @@ def judge(docs: DataFrame, host: str = "source", host_rate: float = 0.5, least_w
 
 
 def beta_prior(mean: float | None, var: float | None, inverse_n: float | None) -> tuple[float, float]:
-    """Moments of the hosts' rates, less the variance that counting alone gives; (1, 1) where there is nothing to learn from."""
+    """Moments of the hosts' rates, less the variance that counting alone gives; (1, 1) where there is nothing to learn from.
+
+    A host of n documents has a rate of variance ``between + (mean * (1 - mean) - between) / n``; that holds for any n.  Hosts of one
+    document each tell the mean, but not how hosts differ: their prior weighs two documents, as (1, 1) does.
+    """
     if mean is None or not 0 < mean < 1:
         return 1.0, 1.0
-    between = max(float(var) - mean * (1 - mean) * float(inverse_n), 1e-4)
+    within = float(inverse_n)
+    if within > 1 - 1e-9:
+        return 2 * mean, 2 * (1 - mean)
+    between = max((float(var) - mean * (1 - mean) * within) / (1 - within), 1e-4)
     strength = min(max(mean * (1 - mean) / between - 1, 1.0), 1000.0)
     return mean * strength, (1 - mean) * strength

@@ -269,6 +269,21 @@ def test_host_rules_reject_bad_hosts(spark):
     assert host_rules.counts("a b c\na b c\na b c x #$") == (11, 12, 2, 1, 9)
 
 
+def test_host_prior_learns_from_small_hosts(spark):
+    rng = np.random.default_rng(3)
+    sizes = rng.integers(1, 5, 4000)
+    failed = rng.binomial(sizes, rng.beta(6.0, 2.0, len(sizes)))
+    good = " ".join(f"w{i}" for i in range(60))
+    rows = [(h * 4 + i, "short" if i < f else good, f"h{h}") for h, (n, f) in enumerate(zip(sizes.tolist(), failed.tolist(), strict=True)) for i in range(n)]
+    got = host_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    shrunk = {(r.host_docs, r.failed): r.rate for r in got.groupBy("host").agg(F.first("host_docs").alias("host_docs"), F.sum(F.col("base_failed").cast("int")).alias("failed"), F.first("host_shrunk_rate").alias("rate")).collect()}
+    assert len(shrunk) == 14
+    for (n, f), rate in shrunk.items():  # the prior that the hosts were drawn from, as if it were known
+        assert abs(rate - (f + 6) / (n + 8)) < 0.04, (n, f)
+    # One of two failed: the other hosts' rates decide, so its good document goes, too.
+    assert not any(r.kept for r in got.where("host_docs = 2 and not base_failed").collect())
+
+
 @pytest.mark.parametrize("op", ["op3_pairwise_quality", "op4_multiple_instance_toxicity"])
 def test_held_out_accuracy(spark, op):
     sf = "/root/testdata/sf0.1"
