@@ -1,12 +1,13 @@
 """Personal data by weak supervision: labelers vote on candidate spans, expectation-maximisation weighs them, a span classifier decides.
 
-Candidates are the matches of one pattern a kind (email, ip, card, phone, and beyond those secret and ssn).  Labelers
+Candidates are the matches of one pattern a kind (email, ip, card, phone, and beyond those secret and ssn), of any length; context
+and gazetteer propose more phone numbers: digit groups after a word such as "call", or after 00 and a dialling code.  Labelers
 vote 1, 0 or -1 on a candidate: *regex* (does it pass its kind's checks: parts, Luhn, digits), *gazetteer* (top-level domains,
 card issuers, dialling codes, key prefixes; reserved networks), *context* (words just before it), *edge* (is it cut from a
 longer token) and *shape* (the mix of its characters).  EM over the counts of vote patterns estimates each labeler's
 reliability and each pattern's chance to be personal data; a logistic regression on kind and votes, trained on those chances,
 is the span classifier.  The patterns are at most 6 kinds x 3^5 votes, whatever the corpus: only their counts reach the
-driver.  Spans of the four base kinds that pass their checks always stay; the classifier adds spans to them.
+driver.  Spans of the four base kinds that pass their checks always stay; the classifier's probability alone adds spans to them.
 
 Only DataFrame functions touch documents.  Cases: a null or empty text has no spans.  Equal rows are treated one by
 one.  An empty table gives an empty table.  Extra columns are left aside.  Positions are code points, ends exclusive.
@@ -31,9 +32,13 @@ PATTERNS = {
     "ip": r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "secret": r"(?:(?<![A-Za-z0-9])AKIA[0-9A-Z]{12,20}+|(?<![A-Za-z0-9])(?:ghp_|sk-|xox[abp]-)[A-Za-z0-9-]{12,80}+|(?i:(?<![A-Za-z])(?:password|passwd|pwd|token|secret|api_?key)\s{0,3}+[=:]\s{0,3}+[\"']?+)[A-Za-z0-9+/_-]{8,128}+)",
+    "secret": r"(?:(?<![A-Za-z0-9])AKIA[0-9A-Z]{12,}+|(?<![A-Za-z0-9])(?:ghp_|sk-|xox[abp]-)[A-Za-z0-9-]{12,}+|(?i:(?<![A-Za-z])(?:password|passwd|pwd|token|secret|api_?key)\s{0,3}+[=:]\s{0,3}+[\"']?+)[A-Za-z0-9+/_-]{8,}+)",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
 }
+_CODES = "(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])"
+_CUE = "(?i:phone|call|tel|mobile|fax|dial)"
+#: What context and gazetteer propose beyond the patterns; never base spans.
+MORE = {"phone": rf"(?<![0-9+.-])(?:(?<={_CUE}[^0-9+\n]{{0,12}})\(?[0-9][\x20().0-9-]+[0-9]|00{_CODES}[\x20().0-9-]+[0-9])"}
 #: A quick look that lets most texts skip a pattern; each is implied by a match.
 HINTS = {"email": "@", "ip": ".", "phone": "+", "ssn": "-"}
 CUES = {
@@ -86,7 +91,7 @@ def known(kind: str, m: Column) -> Column:
         "email": (r"(?i)\.(?:com|org|net|edu|gov|io|info|de|fr|es|uk|eu)$", r"^[0-9.]+@|@[0-9.]+$"),
         "ip": ("^[1-9]", r"^(?:0|127|22[4-9]|23[0-9]|24[0-9]|25[0-5])\."),
         "card": ("^(?:4|5[1-5]|2[2-7]|3[47]|6011|65)", "^(?:0|1|7|8|9)"),
-        "phone": (r"^\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])", r"^\+0"),
+        "phone": (rf"^(?:\+|00){_CODES}|^\(?[2-9][0-9]{{2}}\)?[\x20.-]", r"^\+0"),
         "secret": ("^(?:AKIA|ghp_|sk-|xox)|(?i:password|passwd|pwd|token|secret|api_?key)", "(?i)(?:changeme|example|password|xxxx)$"),
         "ssn": ("^[0-7]", "^9"),
     }[kind]
@@ -99,7 +104,8 @@ def shape(kind: str, m: Column) -> Column:
         "ip": ("^.{7,15}$", "^.{20,}"),
         "card": (r"^[0-9]{4}[\x20-]?[0-9]{4}[\x20-]?[0-9]{4}[\x20-]?[0-9]{2,7}$", "^.{0,13}$|^.{30,}"),
         "phone": (r"[\x20().-]", "^.{0,8}$|^.{25,}"),
-        "secret": ("[0-9].*[A-Za-z]|[A-Za-z].*[0-9]", "^[A-Za-z]+$"),
+        # Both a digit and a letter on a line, without retries from each of them: a secret may be endless.
+        "secret": ("(?m)^(?=.*[0-9]).*[A-Za-z]", "^[A-Za-z]++$"),
         "ssn": ("^.{11}$", "^$"),
     }[kind]
     return F.when(m.rlike(odd), -1).when(m.rlike(plain), 1).otherwise(0)
@@ -121,14 +127,17 @@ def candidates(docs: DataFrame) -> DataFrame:
     for kind, pattern in PATTERNS.items():
         seen = F.col("text").contains(HINTS[kind]) if kind in HINTS else F.col("text").rlike("[0-9]" if kind == "card" else "(?i)AKIA|ghp_|sk-|xox|pass|pwd|token|secret|key")
         cols += [F.when(seen, F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).otherwise(none).alias(f"m_{kind}"), F.when(seen, F.split("text", pattern, -1)).otherwise(none).alias(f"b_{kind}")]
+    for kind, pattern in MORE.items():
+        seen = F.col("text").rlike(f"{_CUE}|00[1-9]")
+        cols += [F.when(seen, F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).otherwise(none).alias(f"m_{kind}2"), F.when(seen, F.split("text", pattern, -1)).otherwise(none).alias(f"b_{kind}2")]
     split = text.select("doc_id", "text", *cols)
-    found = split.select("doc_id", *[located(F.col("text"), f"m_{k}", f"b_{k}").alias(k) for k in KINDS])
+    found = split.select("doc_id", *[located(F.col("text"), f"m_{k}", f"b_{k}").alias(k) for k in (*KINDS, *[f"{k}2" for k in MORE])])
 
-    def voted(kind: str) -> Column:
-        base = (lambda m: valid(kind, m)) if kind in BASE else (lambda m: F.lit(False))
-        return F.transform(kind, lambda x: F.struct(x["start"].alias("start"), F.lit(KINDS.index(kind)).alias("k"), (x["start"] + F.length(x["m"])).alias("end"), F.lit(kind).alias("kind"), base(x["m"]).alias("base"), votes(kind, x).alias("votes")))
+    def voted(kind: str, of: str = "") -> Column:
+        base = (lambda m: valid(kind, m)) if kind in BASE and not of else (lambda m: F.lit(False))
+        return F.transform(of or kind, lambda x: F.struct(x["start"].alias("start"), F.lit(KINDS.index(kind)).alias("k"), (x["start"] + F.length(x["m"])).alias("end"), F.lit(kind).alias("kind"), base(x["m"]).alias("base"), votes(kind, x).alias("votes")))
 
-    return found.select("doc_id", F.array_sort(F.concat(*map(voted, KINDS))).alias("cands"))
+    return found.select("doc_id", F.array_sort(F.concat(*map(voted, KINDS), *[voted(k, f"{k}2") for k in MORE])).alias("cands"))
 
 
 def reliabilities(patterns: list[tuple[str, str, int]], rounds: int = 50) -> tuple[np.ndarray, np.ndarray, dict[str, float]]:
@@ -175,7 +184,7 @@ def spans(docs: DataFrame) -> DataFrame:
     if patterns:
         _, truth, _ = reliabilities(patterns)
         chance = span_classifier(patterns, truth)
-        taken = [f"{k}{v}" for (k, v, _), p in zip(patterns, chance, strict=True) if p >= 0.5 and v[0] == "+"]
+        taken = [f"{k}{v}" for (k, v, _), p in zip(patterns, chance, strict=True) if p >= 0.5]
     good = F.array(*map(F.lit, taken)).cast("array<string>")
     slim = lambda a: F.transform(a, lambda x: F.struct(x["start"].alias("start"), x["k"].alias("k"), x["end"].alias("end"), x["kind"].alias("kind")))
     two = cands.select("doc_id", slim(F.filter("cands", lambda x: x["base"])).alias("base"), slim(F.filter("cands", lambda x: ~x["base"] & F.array_contains(good, F.concat(x["kind"], x["votes"])))).alias("more"))

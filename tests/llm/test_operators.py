@@ -183,6 +183,24 @@ def test_pii_base_spans(spark, plain):
         assert got[i][0] == ",".join(f"{kind}:{a}:{b}" for a, _, b, kind in want)
 
 
+def test_pii_adds_whole_secrets_and_what_only_labelers_find(spark, plain):
+    rng = random.Random(6)
+    key = lambda n: "".join(rng.choice("abcdefghijkmnpqrstuvwxyzABCDEFGH0123456789") for _ in range(n - 2)) + "a7"
+    secrets = ["sk-" + key(161), "token=" + key(300), "AKIA" + key(40).upper(), "ghp_" + key(36)]
+    rows = [f"the key is {x} and more" for x in secrets for _ in range(5)] + ["please call 415-555-0100 today"] * 5 + ["ring 0049 30 1234 5678 now"] * 5
+    df = spark.createDataFrame(list(enumerate([*rows, *plain.values()])), "doc_id long, text string")
+    got = {r.doc_id: [(x.kind, x.start, x.end) for x in r.added] for r in pii_weak.spans(df).where(f"doc_id < {len(rows)}").collect()}
+    for i, x in enumerate(x for x in secrets for _ in range(5)):
+        assert ("secret", 11, 11 + len(x)) in got[i], x[:8]
+    assert all(("phone", 12, 24) in got[i] for i in range(20, 25)) and all(("phone", 5, 22) in got[i] for i in range(25, 30))
+    # The classifier's probability alone decides: a vote of the regex labeler is no condition.
+    both = [("ip", "+++++", 500), ("ip", "-++++", 60), ("ip", "-0--0", 300)]
+    chance = pii_weak.span_classifier(both, pii_weak.reliabilities(both)[1])
+    assert chance[1] >= 0.5 > chance[2]
+    long = [("token=" + "9" * 300_000,), ("sk-" + "a" * 300_000,), ("call " + "1(" * 100_000,)]
+    assert pii_weak.spans(spark.createDataFrame([(i, *t) for i, t in enumerate(long)], "doc_id long, text string")).count() == 3
+
+
 def test_bpe_like_the_library(spark, docs, plain):
     from tokenizers import Tokenizer
 
