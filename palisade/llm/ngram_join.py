@@ -20,8 +20,8 @@ Before the sets of a block travel, sketches of them do (two to four bits for an
 differ in at least as many n-grams as sketches in bits.  Members without a partner that this bound allows stay at home; no link is lost.
 
 Cases: a null or empty text, or one without words, has an empty set and no link, and is its own component.  With fewer than n
-words the whole sequence is the one n-gram.  Rows that share a doc_id are one document with the links of each of its texts; a null
-doc_id gives a null component unless it links with another.  An empty table gives an empty table.  Extra columns are left aside.
+words the whole sequence is the one n-gram.  Rows that share a doc_id are one document with the links of each of its texts; of rows
+without a doc_id each text is a document of its own (named by a 64-bit hash), and its component is the least doc_id that it links with, or null.  An empty table gives an empty table.  Extra columns are left aside.
 """
 
 from __future__ import annotations
@@ -42,7 +42,6 @@ BLOCK = 256
 #: N-grams of a part of a cluster in step 4.
 BLOCK_GRAMS = 1_000_000
 SEEDS = 6
-_NULL_ID = 2**63 - 1
 _MASK = (1 << 64) - 1
 
 
@@ -226,8 +225,14 @@ def _probe(who: np.ndarray, seen: np.ndarray, long: list[np.ndarray], need: np.n
     return out + who[seen >= need].tolist()
 
 
+def named(docs: DataFrame) -> DataFrame:
+    """(d, text, no_id): d is the doc_id, or a hash of the text where there is none."""
+    text = F.col("text").cast("string")
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(text)).alias("d"), text.alias("text"), F.col("doc_id").cast("long").isNull().alias("no_id"))
+
+
 def described(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """(d, n_shingles, f1, f2, sigs): each row's id, set size, 128-bit id of the set, signatures, and sketch."""
+    """(d, no_id, n_shingles, f1, f2, sigs, sketch): each row's id, set size, 128-bit id of the set, signatures, and sketch."""
 
     def make():
         shingle, segments = Shingler(n), Segments(percent)
@@ -236,12 +241,11 @@ def described(docs: DataFrame, n: int, percent: int) -> DataFrame:
             sets = [shingle(t) for t in common.texts(batch)]
             ids = [xxhash.xxh128_digest(s.tobytes()) for s in sets]
             f = np.frombuffer(b"".join(ids), np.int64).reshape(-1, 2)
-            return {"d": batch.column(0), "n_shingles": [len(s) for s in sets], "f1": f[:, 0], "f2": f[:, 1], "sigs": [segments(s).view(np.int64) for s in sets], "sketch": [sketch(s).tobytes() for s in sets]}
+            return {"d": batch.column(0), "no_id": batch.column(2), "n_shingles": [len(s) for s in sets], "f1": f[:, 0], "f2": f[:, 1], "sigs": [segments(s).view(np.int64) for s in sets], "sketch": [sketch(s).tobytes() for s in sets]}
 
         return of
 
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("d"), F.col("text").cast("string").alias("text"))
-    return common.arrow_map(rows, "d long, n_shingles long, f1 long, f2 long, sigs array<long>, sketch binary", make)
+    return common.arrow_map(named(docs), "d long, no_id boolean, n_shingles long, f1 long, f2 long, sigs array<long>, sketch binary", make)
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
@@ -255,7 +259,7 @@ def sets_of(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
 
         return of
 
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("d"), F.col("text").cast("string").alias("text")).join(ids, "d", "left_semi")
+    rows = named(docs).join(ids, "d", "left_semi")
     return common.arrow_map(rows, "d long, grams binary", make)
 
 
@@ -331,7 +335,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     """(doc_id, n_shingles, component_id) for every row of docs."""
     full = common.stored(described(docs, n, percent), "shingles")
     total = full.count()
-    classes = common.stored(full.where("n_shingles > 0").groupBy("f1", "f2").agg(F.min("d").alias("rep"), F.count(F.lit(1)).alias("n_left")), "classes")
+    classes = common.stored(full.where("n_shingles > 0").groupBy("f1", "f2").agg(F.min(F.struct("no_id", "d")).alias("r"), F.count(F.lit(1)).alias("n_left")).select("f1", "f2", F.col("r.d").alias("rep"), F.col("r.no_id").alias("no_id"), "n_left"), "classes")
     # One row stands for a class, whatever number of rows has its id.
     reps = full.join(classes.select(F.col("f1"), F.col("f2"), F.col("rep").alias("d")), ["f1", "f2", "d"], "left_semi").dropDuplicates(["f1", "f2"])
     sketches = common.stored(reps.select("d", "n_shingles", "sketch"), "sketches")
@@ -386,11 +390,16 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
         more = linked(blocks, "links")
         if more.limit(1).count():
             found = components(links.union(more))
-    label = classes.join(found, classes.rep == found.node, "left").select("f1", "f2", "n_left", F.coalesce("component", "rep").alias("component"))
-    out = common.spread_join(rows.where("n_shingles > 0"), label, ["f1", "f2"], "inner", total).select("d", "n_shingles", "component")
-    out = out.union(rows.where("n_shingles = 0").select("d", "n_shingles", "d"))
-    real = lambda c: F.when(F.col(c) != _NULL_ID, F.col(c))
-    return out.select(real("d").alias("doc_id"), "n_shingles", real("component").alias("component_id"))
+    label = classes.join(found, classes.rep == found.node, "left").select("f1", "f2", "n_left", "no_id", "rep", F.coalesce("component", "rep").alias("component"))
+    if classes.where("no_id").limit(1).count():
+        # The least node may be one without a doc_id: the least real one names the component.
+        label = common.stored(label, "label")
+        least = label.groupBy("component").agg(F.min(F.when(~F.col("no_id"), F.col("rep"))).alias("least"), F.count(F.lit(1)).alias("n_left"))
+        label = common.spread_join(label.withColumnRenamed("n_left", "n"), least, ["component"], "inner", total).select("f1", "f2", F.col("n").alias("n_left"), F.col("least").alias("component"))
+    out = common.spread_join(rows.where("n_shingles > 0"), label.select("f1", "f2", "n_left", "component"), ["f1", "f2"], "inner", total)
+    real = F.when(~F.col("no_id"), F.col("d"))
+    out = out.select(real.alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
+    return out.union(rows.where("n_shingles = 0").select(real, "n_shingles", real))
 
 
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:

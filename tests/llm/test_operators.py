@@ -76,6 +76,18 @@ def test_ngram_join(spark, monkeypatch, n, percent, part):
     assert sorted(map(tuple, ngram_join.jaccard_components(df, n, percent).collect())) == brute_components(rows, n, percent)
 
 
+def test_rows_without_id_join_nothing_unrelated(spark):
+    rng = random.Random(2)
+    a, b, c = ([f"{x}{rng.randrange(10**6)}" for _ in range(80)] for x in "abc")
+    near = lambda w: " ".join(w[:-1] + ["other"])
+    # Real ids at the ends of the range: whatever names a row without one, it must not name a component.
+    rows = [(2**63 - 1, " ".join(a)), (None, near(a)), (5, " ".join(b)), (None, near(b)), (None, " ".join(c)), (None, near(c)), (None, ""), (-(2**63), "x y z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.component_id, r.n_shingles) for r in ngram_join.jaccard_components(df, 3, 90).collect()), key=repr)
+    assert got == sorted([(2**63 - 1, 2**63 - 1, 78), (None, 2**63 - 1, 78), (5, 5, 78), (None, 5, 78), (None, None, 78), (None, None, 78), (None, None, 0), (-(2**63), -(2**63), 1)], key=repr)
+    assert sorted((r.doc_id for r in ngram_join.one_of_each(df, 3, 90).collect() if r.doc_id is not None)) == [-(2**63), 5, 2**63 - 1]
+
+
 def test_sketches_lose_no_partner():
     rng = np.random.default_rng(5)
     base = rng.integers(0, 2**63, 400, dtype=np.uint64)
