@@ -40,12 +40,10 @@ class Model:
 
     def spans(self, text: str) -> list[tuple[int, int, float]]:
         """(start, end, probability) of every sentence that has a weighted word, in code points."""
-        low = text.lower()
-        # Most sentences have no word that matters; only texts whose length lower() keeps give the same positions.
-        low = low if len(low) == len(text) else text
+        # Most sentences have no word that matters.  Each is lowered by itself, as lower() may change a text's length.
         out, get, known = [], self.weights.get, self.weights.keys()
-        for m in _SENTENCE.finditer(low):
-            if found := known & words(m[0]):
+        for m in _SENTENCE.finditer(text):
+            if found := known & words(m[0].lower()):
                 out.append((m.start(), m.end(), 1 / (1 + np.exp(-(self.bias + sum(get(w) for w in found))))))
         return out
 

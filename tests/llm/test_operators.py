@@ -338,6 +338,11 @@ def test_offending_sentences_are_located():
     assert [s[:2] for s in m.spans("a b c. you vile d. e f.") if s[2] >= 0.5] == [(6, 18)]
 
 
+def test_offending_sentences_next_to_letters_that_lower_longer():
+    m = toxicity_mil.Model(-9.0, {"vile": 12.0})
+    assert [s[:2] for s in m.spans("\u0130zmir b c. YOU VILE D. e f.")] == [(10, 22)]
+
+
 def test_quality_threshold_is_a_quantile(spark, docs):
     labels = common.table(spark, SF, "labels")
     model = quality_ranker.fit(docs, labels)
