@@ -31,6 +31,8 @@ from . import common
 PASSAGE, BLOCK, LEAST_WORDS = 64, 4096, 5
 SCALES = (16, 32)
 STEP = 8
+#: Windows that are projected together.
+PIECE = 512
 RANK, OVERSAMPLING = 256, 16
 _WORDS = re.compile(r"\w+").findall
 
@@ -45,7 +47,6 @@ class Index:
 
     column: dict[str, int]  # term -> row of latent
     latent: np.ndarray  # terms x rank: weight times right singular vectors
-    weight2: np.ndarray  # squared weight of each term, and last that of all other words
     items: list[int]
     passages: list[list[str]]
     answers: list[list[str]]
@@ -152,7 +153,7 @@ def build_indexes(docs: DataFrame, benchmark: DataFrame, rank: int = RANK) -> li
         latent = (idf[:, None] * v).astype(np.float32)
         unit = np.array([np.array(x) @ v[c] for c, x in zip(cols, vals, strict=True)], np.float32)
         unit /= np.maximum(np.linalg.norm(unit, axis=1, keepdims=True), 1e-9)
-        out.append(Index(column, np.vstack([latent, np.zeros((1, v.shape[1]), np.float32)]), np.append(idf, np.log(1 + total)) ** 2, [r[0] for r in part], [r[1] for r in part], [r[2] for r in part], unit))
+        out.append(Index(column, np.vstack([latent, np.zeros((1, v.shape[1]), np.float32)]), [r[0] for r in part], [r[1] for r in part], [r[2] for r in part], unit))
     return out
 
 
@@ -174,34 +175,40 @@ def bits(words: list[str]) -> dict[str, int]:
 
 
 class Searcher:
-    def __init__(self, index: Index, least_cosine: float, least_share: float, sure_share: float, least_room: float = 0.12):
-        self.least_room, self.index, self.least_cosine, self.least_share, self.sure_share = least_room, index, least_cosine, least_share, sure_share
+    def __init__(self, index: Index, least_cosine: float, least_share: float, sure_share: float):
+        self.index, self.least_cosine, self.least_share, self.sure_share = index, least_cosine, least_share, sure_share
         self.bits, self.answer_bits = [bits(p) for p in index.passages], [bits(a) for a in index.answers]
 
     def candidates(self, ids: np.ndarray) -> list[tuple[int, int, int, float]]:
         """(first word, window, passage, latent cosine) of the windows near a passage.
 
-        Words outside the benchmark's vocabulary are orthogonal to all passages, so a window's cosine with any is at most the root of its
-        known words' share of the squared weight.  Windows below ``least_room`` for that share are left out at once.
+        Words outside the benchmark's vocabulary are orthogonal to all passages, so only windows without any other word are left out.
         """
         x, out = self.index, []
         n, starts = len(ids), np.arange(0, len(ids), STEP)
-        w2 = x.weight2[ids]
-        total = np.append(0, np.cumsum(np.add.reduceat(w2, starts)))
-        known = np.append(0, np.cumsum(np.add.reduceat(np.where(ids < len(x.column), w2, 0), starts)))
+        known = np.append(0, np.cumsum(np.add.reduceat(ids < len(x.column), starts, dtype=np.int64)))
         for scale in SCALES:
             k = scale // STEP
             at = np.arange(0, max(1, len(starts) - k // 2), k // 2)
-            to = np.minimum(at + k, len(starts))
-            at = at[known[to] - known[at] >= self.least_room * np.maximum(total[to] - total[at], 1e-9)] * STEP
-            if len(at):
-                p = np.array([x.latent[ids[i : i + scale]].sum(0) for i in at])
+            at = at[known[np.minimum(at + k, len(starts))] > known[at]]
+            for some in np.split(at, range(PIECE, len(at), PIECE)) if len(at) else ():
+                p = self.window_sums(ids, some, k)
                 near = (p @ x.unit.T) / np.maximum(np.linalg.norm(p, axis=1, keepdims=True), 1e-9)
-                out += [(int(at[i]), scale, j, float(near[i, j])) for i, j in np.argwhere(near >= self.least_cosine).tolist()]
+                out += [(int(some[i]) * STEP, scale, j, float(near[i, j])) for i, j in np.argwhere(near >= self.least_cosine).tolist()]
             if n <= scale:
                 break
         return out
 
+    def window_sums(self, ids: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+        """The latent sums of the windows of k steps that begin at the (ascending) steps ``at``; a word is looked up once for all of them."""
+        first = int(at[0])
+        own = ids[first * STEP : (int(at[-1]) + k) * STEP]
+        where = np.flatnonzero(own < len(self.index.column))
+        steps, begin = np.unique(where // STEP, return_index=True)
+        sums = np.zeros((int(at[-1]) + k - first, self.index.latent.shape[1]), np.float32)
+        sums[steps] = np.add.reduceat(self.index.latent[own[where]], begin)
+        return sum(sums[at - first + i] for i in range(k))
+
     def matches(self, text: str) -> dict[int, tuple[int, int, float, float, bool]]:
         """item_id -> (first word, last word + 1, share of the passage, cosine, answer found) of the best confirmed window."""
         x, words = self.index, words_of(text)

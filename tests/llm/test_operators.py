@@ -291,6 +291,25 @@ def test_decontamination_finds_copies_and_paraphrases(spark, docs, plain):
     assert left == {r.doc_id for r in both.collect()} - {d for d, _ in got}
 
 
+def test_decontamination_finds_alike_in_a_corpus_a_thousand_times_as_large(spark, monkeypatch):
+    rng = random.Random(12)
+    items = [[f"w{rng.randrange(400)}" for _ in range(40)] for _ in range(60)]
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    # Each word in a tenth of the documents, at either size.
+    found = {}
+    for size in (100, 100_000):
+        monkeypatch.setattr(decontamination, "document_frequencies", lambda docs, terms, n=size: (n, np.full(len(terms), n / 10)))
+        index = decontamination.build_indexes(bench, bench)[0]
+        s = decontamination.Searcher(index, 0.6, 0.6, 0.75)
+        new = random.Random(5)
+        docs = [" ".join(x if j >= 30 or new.random() > 0.35 else f"new{new.randrange(10**6)}" for j, x in enumerate(w)) for w in items]
+        found[size] = [sorted(s.matches(d)) for d in docs]
+    assert found[100] == found[100_000] and sum(i in f for i, f in enumerate(found[100])) >= 55
+    ids = np.array([index.column.get(w, len(index.column)) for w in (" ".join(docs) + " zz" * 5000).split()])
+    at = np.arange(0, len(ids) // 8 - 4)
+    assert np.allclose(s.window_sums(ids, at, 4), [index.latent[ids[i * 8 : i * 8 + 32]].sum(0) for i in at], atol=1e-3)
+
+
 def test_host_rules_reject_bad_hosts(spark):
     good, bad = " ".join(f"w{i}" for i in range(60)), "spam " * 80
     rows = [(i, bad if h == "junk" and i % 10 else good, h) for i, h in enumerate(["junk"] * 100 + ["fine"] * 100)]
