@@ -80,13 +80,35 @@ def crc_mod(column: Column, n: int) -> Column:
     return F.crc32(column.cast("string").cast("binary")) % n
 
 
+def bounded_labels(known: DataFrame, label: str, rows: int) -> DataFrame:
+    """Of (doc_id, label) with the labels 0 and 1 at most ``rows`` rows, and at most half of them of one label: whole buckets of a hash of
+    doc_id, in order, as long as they fit; all rows of a label where it has so few.  Buckets have about an eighth of their share's rows."""
+    share = rows // 2
+    per_label = {r[0]: r[1] for r in known.groupBy(label).count().collect()}
+    taken = F.lit(False)
+    for value, n in sorted(per_label.items()):
+        if n <= share:
+            taken = taken | (F.col(label) == value)
+            continue
+        # Only buckets up to a little beyond the wanted rows are counted, some dozen numbers in all.
+        buckets = max(1, 8 * n // share)
+        at = F.pmod(F.xxhash64("doc_id"), F.lit(buckets))
+        counts = dict(known.where((F.col(label) == value) & (at < 32)).groupBy(at.alias("b")).count().collect())
+        end, left = 0, share
+        while end < min(buckets, 32) and counts.get(end, 0) <= left:
+            left -= counts.get(end, 0)
+            end += 1
+        taken = taken | ((F.col(label) == value) & (at < end))
+    return known.where(taken)
+
+
 def spread_join(left: DataFrame, right: DataFrame, on: list[str], how: str, left_total: int, hot_share: float = 0.001) -> DataFrame:
     """Join ``left`` (many rows a key, perhaps a third of them under one) with ``right`` (one row a key, with its count in ``n_left``).
 
     Keys that hold over ``hot_share`` of the left rows number below ``1 / hot_share``: that bounds the side that is
     broadcast, whatever the data.  Those keys' rows stay where they are; all other keys are joined by a shuffle.
     """
-    bar = max(1000, int(left_total * hot_share))
+    bar = max(100, int(left_total * hot_share))
     hot = right.where(F.col("n_left") > bar)
     cold = right.where(F.col("n_left") <= bar)
     keys = F.broadcast(hot.select(*on))
