@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-import re
+import datetime as dt
+import ipaddress
+from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -11,17 +14,36 @@ from pyspark.sql import functions as F
 SEVERITIES = {"informational": 10, "low": 30, "medium": 50, "high": 75, "critical": 95}
 # Texts that stand for "no value".
 EMPTY = ("-", "", "NULL SID", "(null)")
-_UNITS = {"ms": 0.001, "s": 1.0, "m": 60.0, "h": 3600.0, "d": 86400.0, "w": 604800.0}
+# Seconds of a duration's unit.
+UNITS = {"ms": 0.001, "s": 1.0, "m": 60.0, "h": 3600.0, "d": 86400.0, "w": 604800.0}
 
 
 def duration(text: str | float) -> float:
-    """Seconds of ``5m``, ``1h``, ``250ms``; a bare number is seconds."""
+    """Seconds of ``5m``, ``1H``, ``250 ms``; a bare number is seconds."""
     if isinstance(text, int | float):
         return float(text)
-    m = re.fullmatch(r"\s*(\d+(?:\.\d+)?)\s*(ms|s|m|h|d|w)?\s*", text)
-    if not m:
+    plain = str(text).strip().lower()
+    unit = next((u for u in sorted(UNITS, key=len, reverse=True) if plain.endswith(u)), "")
+    number = plain.removesuffix(unit).strip()
+    if not number or set(number) - set("0123456789.") or number.count(".") > 1 or number == ".":
         raise ValueError(f"not a duration: {text!r}")
-    return float(m[1]) * _UNITS[m[2] or "s"]
+    return float(number) * UNITS.get(unit, 1.0)
+
+
+def moment(text: str, now: dt.datetime) -> dt.datetime:
+    """A time given as ``now``, ``now-15m``, ``now+1h`` or in ISO form, against the clock that the caller gives."""
+    plain = text.strip()
+    if plain.startswith("now"):
+        rest = plain[3:]
+        if rest and rest[0] not in "+-":
+            raise ValueError(f"not a time: {text!r}")
+        return now + dt.timedelta(seconds=duration(rest[1:]) * (-1 if rest[0] == "-" else 1)) if rest else now
+    return dt.datetime.fromisoformat(plain)
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value worked out once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def ipv4(ip: Column) -> Column:
@@ -34,8 +56,6 @@ def ipv4(ip: Column) -> Column:
 
 
 def cidr_bounds(cidr: str) -> tuple[int, int]:
-    import ipaddress
-
     net = ipaddress.ip_network(cidr, strict=False)
     return int(net.network_address), int(net.broadcast_address)
 
@@ -63,6 +83,139 @@ def in_cidr(ip: Column, cidr: str) -> Column:
     return F.coalesce(ipv4(ip).between(lo, hi), F.lit(False))
 
 
+def ip_key(ip: Column) -> Column:
+    """An address of either version as 33 characters whose order is that of the addresses within the version: ``4`` or ``6``, then 32 hexadecimal
+    digits; null if it is none.  A mapped IPv4 address is one of version 4."""
+    v4 = ipv4(ip)
+    return F.coalesce(F.concat(F.lit("4"), F.lpad(F.lower(F.hex(v4)), 32, "0")), F.concat(F.lit("6"), ipv6(ip)))
+
+
+def network_keys(cidr: Column) -> Column:
+    """struct(lo, hi, width) of a network (or a single address) in the keys of ``ip_key``; null if it is none.  width: fixed bits of the prefix."""
+    base = ip_key(F.substring_index(cidr, "/", 1))
+    size = F.when(base.startswith("4"), 32).otherwise(128)
+    bits = F.when(cidr.contains("/"), F.substring_index(cidr, "/", -1).try_cast("int")).otherwise(size)
+    fixed = bits + 128 - size  # of 128
+
+    def end(fill: str) -> Column:
+        # Digits before the prefix's end stay, those after it are filled, and the digit at it keeps its leading bits.
+        whole, rest = (fixed / 4).cast("int"), F.pmod(fixed, F.lit(4))
+        digit = F.conv(F.substring(base, whole + 2, F.lit(1)), 16, 10).try_cast("int")
+        free = F.element_at(F.array(*[F.lit(x) for x in (15, 7, 3, 1)]), (rest + 1).cast("int"))
+        kept = digit - F.pmod(digit, free + 1)
+        mixed = F.when(whole < 32, F.lower(F.hex((kept + (free if fill == "f" else 0)).cast("long")))).otherwise(F.lit(""))
+        return F.rpad(F.concat(F.substring(base, F.lit(1), whole + 1), mixed), 33, fill)
+
+    good = base.isNotNull() & (bits >= 0) & (bits <= size)
+    return F.when(good, F.struct(end("0").alias("lo"), end("f").alias("hi"), bits.alias("width")))
+
+
+def ip_version(ip: Column) -> Column:
+    return F.substring(ip_key(ip), 1, 1).cast("int")
+
+
+# Networks that are not routed publicly.
+PRIVATE = ("10.0.0.0/8", "172.16.0.0/12", "192.168.0.0/16", "127.0.0.0/8", "169.254.0.0/16", "100.64.0.0/10", "::1/128", "fc00::/7", "fe80::/10")
+
+
+def in_networks(ip: Column, networks: list[str] | tuple[str, ...]) -> Column:
+    """Whether an address is in one of a few networks; two-valued."""
+    key = ip_key(ip)
+    hits = [key.between(*_bounds(n)) for n in networks]
+    return F.coalesce(reduce(lambda a, b: a | b, hits), F.lit(False)) if hits else F.lit(False)
+
+
+def _bounds(cidr: str) -> tuple[str, str]:
+    net = ipaddress.ip_network(cidr, strict=False)
+    return tuple(f"{net.version}{int(x):032x}" for x in (net.network_address, net.broadcast_address))
+
+
+def is_private(ip: Column) -> Column:
+    return in_networks(ip, PRIVATE)
+
+
+def directory(path: Column) -> Column:
+    cut = F.when(path.contains("\\"), F.regexp_extract(path, r"^(.*)\\[^\\]*$", 1)).otherwise(F.regexp_extract(path, "^(.*)/[^/]*$", 1))
+    return F.nullif(cut, F.lit(""))
+
+
+def extension(path: Column) -> Column:
+    return F.nullif(F.lower(F.regexp_extract(basename(path), r"[^.]\.([^.]+)$", 1)), F.lit(""))
+
+
+def arguments(command: Column, most: int = 64) -> Column:
+    """struct(args, n): a command line cut at blanks outside quotes.  A Windows line (with a backslash or ending in .exe) keeps its quotes, as
+    its programs read the line themselves; another one loses them."""
+    windows = command.contains("\\") | F.lower(command).endswith(".exe")
+    raw = F.regexp_extract_all(command, F.lit(r"((?:[^\s\"']|\"[^\"]*\"|'[^']*'|[\"'])+)"), F.lit(1))
+    kept = F.regexp_extract_all(command, F.lit(r'("[^"]*"|\S+)'), F.lit(1))
+    bare = F.transform(raw, lambda x: F.regexp_replace(x, r"\"([^\"]*)\"|'([^']*)'", "$1$2"))
+    return let(F.when(windows, kept).otherwise(bare), lambda a: F.struct(F.slice(a, 1, most).alias("args"), F.size(a).alias("n")))
+
+
+def unhexed(value: Column) -> Column:
+    """The text of hexadecimal bytes (an even number of digits, four or more, good UTF-8; NUL is a blank); anything else stays."""
+    looks = value.rlike("^(?:[0-9A-Fa-f]{2}){2,}$")
+    text = F.try_validate_utf8(F.unhex(value).cast("string"))
+    return F.when(looks, F.coalesce(F.trim(F.translate(text, "\x00", " ")), value)).otherwise(value)
+
+
+def hashes(text: Column) -> Column:
+    """map algorithm -> value of ``MD5=..,SHA256=..``; keys and values in lower case, the first of equal keys."""
+    pairs = F.filter(F.transform(F.split(F.lower(text), ","), lambda x: F.trim(x)), lambda x: x.contains("="))
+    return _as_map(F.transform(pairs, lambda x: F.struct(F.trim(F.substring_index(x, "=", 1)).alias("key"), F.trim(F.substring_index(x, "=", -1)).alias("value"))), last=False)
+
+
+def mac(value: Column) -> Column:
+    """``aa:bb:cc:dd:ee:ff`` of twelve hexadecimal digits with any separators; anything else only loses outer blanks."""
+    plain = F.lower(F.translate(F.trim(value), "-:.", ""))
+    return F.when(plain.rlike("^[0-9a-f]{12}$"), F.regexp_replace(plain, "(..)(?!$)", "$1:")).otherwise(F.nullif(F.trim(value), F.lit("")))
+
+
+def mentions(text: Column, words: list[str] | tuple[str, ...]) -> Column:
+    """Whether a text holds one of the words, in any case; two-valued."""
+    return F.coalesce(F.lower(text).rlike("|".join("\\Q" + w + "\\E" for w in words)), F.lit(False))
+
+
+def with_tag(tags: Column, tag: str, when: Column) -> Column:
+    """The tags with one more, once, where the condition holds; order stays."""
+    known = F.coalesce(tags, F.array().cast("array<string>"))
+    return F.when(F.coalesce(when, F.lit(False)), F.array_union(known, F.array(F.lit(tag)))).otherwise(F.array_distinct(known))
+
+
+def ordered_distinct(*values: Column) -> Column:
+    """The values (strings or arrays of them) without nulls and repeats, in order."""
+    return F.array_distinct(F.array_compact(F.concat(*[F.coalesce(v, F.array().cast("array<string>")) for v in values])))
+
+
+# syslog's facilities and severities, in the order of their codes, and the log level of each severity.
+FACILITIES = "kern user mail daemon auth syslog lpr news uucp cron authpriv ftp ntp audit alert clock local0 local1 local2 local3 local4 local5 local6 local7".split()
+SYSLOG_SEVERITIES = "emergency alert critical error warning notice informational debug".split()
+LEVELS = ("critical", "critical", "critical", "error", "warning", "info", "info", "debug")
+
+
+def priority(pri: Column) -> Column:
+    """struct(facility, severity, level) of a syslog PRI number."""
+    n = pri.try_cast("int")
+    pick = lambda names, i: F.element_at(F.array(*map(F.lit, names)), (i + 1).cast("int"))
+    good = n.between(0, len(FACILITIES) * 8 - 1)
+    return F.when(good, F.struct(pick(FACILITIES, F.floor(n / 8)).alias("facility"), pick(SYSLOG_SEVERITIES, n % 8).alias("severity"), pick(LEVELS, n % 8).alias("level")))
+
+
+def local_time(ts: Column, offset_hours: float = 0.0, opens: int = 8, closes: int = 19) -> Column:
+    """struct(hour, weekday, business_hours): local hour, mon..sun, and whether it is Monday to Friday from ``opens`` up to ``closes``."""
+    local = F.timestamp_micros(F.unix_micros(ts) + int(offset_hours * 3_600_000_000))
+    day = F.weekday(local)
+    name = F.element_at(F.array(*[F.lit(x) for x in ("mon", "tue", "wed", "thu", "fri", "sat", "sun")]), day + 1)
+    open_ = (day < 5) & (F.hour(local) >= opens) & (F.hour(local) < closes)
+    return F.struct(F.hour(local).alias("hour"), name.alias("weekday"), open_.alias("business_hours"))
+
+
+def event_id(*parts: Column) -> Column:
+    """An id that is the same whenever the same record is read: a replayed one meets itself."""
+    return F.substring(F.sha2(F.concat_ws("\x1f", *[F.coalesce(p.cast("string"), F.lit("\x00")) for p in parts]), 256), 1, 32)
+
+
 def basename(path: Column) -> Column:
     return F.when(path.contains("\\"), F.regexp_extract(path, r"([^\\]*)$", 1)).otherwise(F.regexp_extract(path, r"([^/]*)$", 1))
 
@@ -95,12 +248,22 @@ def to_int(value: Column) -> Column:
     return F.when(value.rlike("^0[xX][0-9a-fA-F]+$"), F.conv(F.substring(value, 3, 64), 16, 10).try_cast("long")).otherwise(value.try_cast("long"))
 
 
+def _as_map(entries: Column, last: bool = True) -> Column:
+    """map of array<struct<key,value>>; of equal keys the last (or the first) counts.  Sorted by key and place, neighbours tell which one that is."""
+    placed = F.array_sort(F.transform(entries, lambda x, i: F.struct(x["key"].alias("key"), i.alias("i"), x["value"].alias("value"))))
+    at = 1 if last else -1
+
+    def pick(s: Column) -> Column:
+        chosen = F.filter(s, lambda x, i: ~F.coalesce(F.get(s, i + at)["key"] == x["key"], F.lit(False)))
+        return F.map_from_entries(F.transform(chosen, lambda x: F.struct(x["key"], x["value"])))
+
+    return let(placed, pick)
+
+
 def key_values(text: Column) -> Column:
     """map of KEY=value pairs, values bare or quoted; of equal keys the last counts."""
     pairs = F.regexp_extract_all(text, F.lit(r"([A-Za-z_][\w.\-]*=(?:\"[^\"]*\"|'[^']*'|\S*))"), F.lit(1))
-    entry = F.transform(pairs, lambda p: F.struct(F.substring_index(p, "=", 1).alias("key"), F.regexp_replace(F.regexp_replace(p, r"^[^=]*=", ""), r"^[\"']|[\"']$", "").alias("value")))
-    last = F.filter(entry, lambda x, i: ~F.exists(F.slice(entry, i + 2, F.size(entry)), lambda y: y["key"] == x["key"]))
-    return F.map_from_entries(last)
+    return _as_map(F.transform(pairs, lambda p: F.struct(F.substring_index(p, "=", 1).alias("key"), F.regexp_replace(F.regexp_replace(p, r"^[^=]*=", ""), r"^[\"']|[\"']$", "").alias("value"))))
 
 
 def boosted_severity(score: Column, criticality: Column, listed: Column) -> Column:
@@ -117,10 +280,22 @@ def canonical(value: Column, aliases: dict[str, str]) -> Column:
     return F.coalesce(table[plain], plain) if table is not None else plain
 
 
-def timestamp(text: Column, reference_year: int) -> Column:
-    """The first reading that fits: epoch seconds or milliseconds, ISO, common log format, slashed dates, syslog without a year."""
-    epoch = F.when(text.rlike(r"^\d{10}$"), F.timestamp_seconds(text.try_cast("long"))).when(text.rlike(r"^\d{13}$"), F.timestamp_millis(text.try_cast("long")))
-    iso = F.try_to_timestamp(F.regexp_replace(text, r"(\.\d{6})\d+", "$1"))
-    other = [F.try_to_timestamp(text, F.lit(f)) for f in ("dd/MMM/yyyy:HH:mm:ss Z", "MM/dd/yyyy HH:mm:ss", "yyyy/MM/dd HH:mm:ss", "dd.MM.yyyy HH:mm:ss")]
-    syslog = F.try_to_timestamp(F.concat(F.lit(f"{reference_year} "), F.regexp_replace(text, r"\s+", " ")), F.lit("yyyy MMM d HH:mm:ss"))
-    return F.coalesce(epoch, iso, *other, syslog)
+# The patterns of times in logs, as Spark's formatter writes them.
+TIMES = ("dd/MMM/yyyy:HH:mm:ss Z", "dd/MMM/yyyy:HH:mm:ss", "MM/dd/yyyy HH:mm:ss", "MM/dd/yy HH:mm:ss", "yyyy/MM/dd HH:mm:ss", "dd.MM.yyyy HH:mm:ss", "MMM d HH:mm:ss.SSSSSS yyyy", "MMM d HH:mm:ss yyyy")
+
+
+def timestamp(text: Column, reference_year: int | Column, now: Column | None = None) -> Column:
+    """The first reading that fits: epoch seconds (with a fraction) or milliseconds, ISO, a date, and the patterns of TIMES; a leading weekday is left out.
+
+    A time without a year gets the reference year, or that of ``now``; one over two days after ``now`` is of the year before.
+    """
+    text = F.regexp_replace(F.regexp_replace(F.trim(text), r"\s+", " "), "^(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun),? ", "")
+    seconds = text.rlike(r"^\d{10}(?:\.\d+)?$")
+    epoch = F.when(seconds, F.timestamp_micros((text.try_cast("decimal(20,6)") * 1_000_000).cast("long"))).when(text.rlike(r"^\d{13}$"), F.timestamp_millis(text.try_cast("long")))
+    iso = F.when(text.rlike(r"^\d{4}-\d\d-\d\d"), F.try_to_timestamp(F.regexp_replace(text, r"(\.\d{6})\d+", "$1")))
+    other = F.when(text.contains(":"), F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in TIMES]))
+    year = F.year(now) if now is not None else reference_year if isinstance(reference_year, Column) else F.lit(reference_year)
+    bare = F.when(text.rlike("^[A-Z][a-z]{2} [0-9]"), F.try_to_timestamp(F.concat_ws(" ", year.cast("string"), text), F.lit("yyyy MMM d HH:mm:ss")))
+    if now is not None:
+        bare = F.when(bare > now + F.expr("INTERVAL 2 DAYS"), F.coalesce(F.try_to_timestamp(F.concat_ws(" ", (year - 1).cast("string"), text), F.lit("yyyy MMM d HH:mm:ss")), F.add_months(bare, -12))).otherwise(bare)
+    return F.coalesce(epoch, iso, other, bare)

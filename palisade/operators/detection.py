@@ -26,8 +26,23 @@ def rolling_count(df: DataFrame, key: str, ts: str, seconds: float) -> DataFrame
 
 
 def rolling_distinct(df: DataFrame, key: str, ts: str, value: str, seconds: float) -> DataFrame:
-    w = Window.partitionBy(key).orderBy("us").rangeBetween(-int(seconds * 1_000_000), 0)
-    return df.withColumn("us", _us(ts)).withColumn("n", F.size(F.collect_set(value).over(w)).cast("long")).drop("us")
+    """Different values of the key within the window up to each event; those at the very same time count, before or after.
+
+    A value is in the window from each of its times until ``seconds`` after the last one: such spells are found by (key, value), and an event
+    sees those that began but have not ended, as running sums of beginnings and ends, not as a set for each event.
+    """
+    width = int(seconds * 1_000_000)
+    rows = df.withColumn("us", _us(ts))
+    seen = rows.where(F.col(value).isNotNull()).select(key, value, "us").distinct()
+    each = Window.partitionBy(key, value).orderBy("us")
+    opens = F.lag("us").over(each).isNull() | (F.col("us") - F.lag("us").over(each) > width)
+    closes = F.lead("us").over(each).isNull() | (F.lead("us").over(each) - F.col("us") > width)
+    # At one time beginnings come first, then the events, then ends.
+    marks = seen.select(key, F.explode(F.filter(F.array(F.when(opens, F.struct(F.col("us").alias("at"), F.lit(0).alias("o"), F.lit(1).alias("d"))), F.when(closes, F.struct((F.col("us") + width).alias("at"), F.lit(2).alias("o"), F.lit(-1).alias("d")))), lambda x: x.isNotNull())).alias("m")).select(key, "m.*")
+    times = rows.select(key, F.col("us").alias("at"), F.lit(1).alias("o"), F.lit(0).alias("d")).distinct()
+    running = Window.partitionBy(key).orderBy("at", "o").rowsBetween(Window.unboundedPreceding, 0)
+    counted = marks.union(times).groupBy(key, "at", "o").agg(F.sum("d").alias("d")).withColumn("n", F.sum("d").over(running)).where("o = 1").select(F.col(key).alias("__k"), F.col("at").alias("__at"), F.col("n").cast("long").alias("n"))
+    return rows.join(counted, rows[key].eqNullSafe(F.col("__k")) & rows["us"].eqNullSafe(F.col("__at")), "left").drop("__k", "__at", "us")
 
 
 def folded(rows: DataFrame, key: str, order: list[str], keep: list[str], made: str, start: Callable[[], Callable[..., tuple | None]], uses: list[str]) -> DataFrame:
@@ -113,12 +128,20 @@ def threshold_hits(df: DataFrame, key: str, ts: str, order: str, count: int, win
 
 
 def alert_sessions(hits: DataFrame, key: str, ts: str, suppress: float, worth: Column) -> DataFrame:
-    """(key, first_seen, last_seen, count): hits whose gap is at most suppress belong to one alert; count adds up what each is worth."""
-    w = Window.partitionBy(key).orderBy(ts, *[c for c in ("rn",) if c in hits.columns])
-    gap = _us(ts) - F.lag(_us(ts)).over(w)
-    marked = hits.withColumn("worth", worth).withColumn("new", (gap.isNull() | (gap > int(suppress * 1_000_000))).cast("int"))
+    """(key, first_seen, last_seen, count): hits whose gap is at most suppress belong to one alert; count adds up what each is worth.
+
+    Hits of one stretch of time of that length are always together, so they are added up first, within tasks: only a row for each key and
+    stretch is sorted, and a key with a third of all hits is no heavy one.
+    """
+    quiet = max(1, int(suppress * 1_000_000))
+    us = _us(ts)
+    pieces = hits.where(F.col(ts).isNotNull()).withColumn("worth", worth).groupBy(key, F.floor(us / quiet).alias("__at")).agg(F.min(us).alias("lo"), F.max(us).alias("hi"), F.sum("worth").alias("n"))
+    w = Window.partitionBy(key).orderBy("__at")
+    gap = F.col("lo") - F.lag("hi").over(w)
+    marked = pieces.withColumn("new", (gap.isNull() | (gap > int(suppress * 1_000_000))).cast("int"))
     numbered = marked.withColumn("session", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return numbered.groupBy(key, "session").agg(F.min(ts).alias("first_seen"), F.max(ts).alias("last_seen"), F.sum("worth").cast("long").alias("count")).drop("session")
+    found = numbered.groupBy(key, "session").agg(F.timestamp_micros(F.min("lo")).alias("first_seen"), F.timestamp_micros(F.max("hi")).alias("last_seen"), F.sum("n").cast("long").alias("count"))
+    return found.drop("session")
 
 
 def threshold_alerts(df: DataFrame, key: str, ts: str, order: str, count: int, window: float, suppress: float, distinct: Column | None = None) -> DataFrame:
@@ -127,36 +150,47 @@ def threshold_alerts(df: DataFrame, key: str, ts: str, order: str, count: int, w
     return alert_sessions(hits, key, ts, suppress, F.when(F.col("fired"), F.lit(count)).otherwise(F.lit(1)))
 
 
-def sequence_alerts(df: DataFrame, key: str, ts: str, order: str, stages: list[tuple[Column, int]], within: float) -> DataFrame:
-    """(key, ts, started): ends of runs through the stages (predicate, events needed), within the time from the run's start.
+def sequence_alerts(df: DataFrame, key: str, ts: str, order: str, stages: list[tuple[Column, int]], within: float, exact: bool = True) -> DataFrame:
+    """(key, ts, started, n): ends of runs through the stages (predicate, events needed), within the time from the run's start; n: the run's events.
 
-    An event of the current stage counts for it; else one of the first stage counts on (or starts anew once the stage has moved on);
-    a run older than ``within`` is dropped before the event is looked at; a finished run is used up.
+    An event of the current stage counts for it.  Another event of the first stage, once the stage has moved on, either changes nothing
+    (``exact=False``), or counts on the same counter, and takes the run back to the second stage when the counter reaches the first stage's
+    number (``exact=True``, as rules are written for).  A run older than ``within`` is dropped before the event is looked at; a
+    finished run is used up.
     """
     bits = F.array(*[F.coalesce(c, F.lit(False)) for c, _ in stages])
-    rows = df.select(key, _us(ts).alias("us"), F.col(order).alias("o"), bits.alias("b")).where(F.exists("b", lambda x: x))
+    rows = df.select(key, _us(ts).alias("us"), F.col(order).alias("o"), bits.alias("b")).where(F.exists("b", lambda x: x) & F.col("us").isNotNull())
     needs, width = [n for _, n in stages], int(within * 1_000_000)
 
     def start():
-        s, n, t = 0, 0, None  # stage, events of it so far, start of the run
-
-        def step(us: int | None, b: list[bool]) -> tuple | None:
-            nonlocal s, n, t
-            if t is not None and us is not None and us - t > width:
-                s, n, t = 0, 0, None
-            if b[s]:
-                n, t = n + 1, us if t is None else t
-            elif b[0]:
-                s, n, t = 0, 1, us
-            if n < needs[s]:
+        stage, count, total, began = 0, 0, 0, None
+
+        def step(us: int, b: list[bool]) -> tuple | None:
+            nonlocal stage, count, total, began
+            if began is not None and us - began > width:
+                stage, count, total, began = 0, 0, 0, None
+            own = b[stage]
+            if not own and not (exact and b[0]):
+                return None
+            count, total, began = count + 1, total + 1, us if began is None else began
+            if count < needs[stage if own else 0]:
                 return None
-            n, s = 0, s + 1
-            if s < len(needs):
+            stage, count = stage + 1 if own else 1, 0
+            if stage < len(needs):
                 return None
-            began, s, t = t, 0, None
-            return us, began
+            done = us, began, total
+            stage, total, began = 0, 0, None
+            return done
 
         return step
 
-    ends = folded(rows, key, ["us", "o", "b"], [key], "ended long, began long", start, ["us", "b"])
-    return ends.select(key, F.timestamp_micros("ended").alias("ts"), F.timestamp_micros("began").alias("started"))
+    ends = folded(rows, key, ["us", "o", "b"], [key], "ended long, began long, n long", start, ["us", "b"])
+    return ends.select(key, F.timestamp_micros("ended").alias("ts"), F.timestamp_micros("began").alias("started"), "n")
+
+
+def samples(hits: DataFrame, key: str, ts: str, order: str, fields: list[str], most: int = 5) -> DataFrame:
+    """(key, samples): each key's last events by time, then order, as structs of ``fields``; tasks keep that many of a key before rows move."""
+    rows = hits.select(key, ts, order, F.struct(*fields).alias("sample"))
+    w = Window.partitionBy(key).orderBy(F.desc(ts), F.desc(order))
+    last = rows.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= most)
+    return last.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("__n", "sample")), asc=False), lambda x: x["sample"]).alias("samples"))

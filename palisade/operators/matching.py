@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import fnmatch
+import ipaddress
 import re
 from collections.abc import Callable
 from functools import reduce
@@ -11,10 +12,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.scalar import in_cidr
+from ..plans.boolean_text import folded
 
+# The modifiers of the rule format.
 MODIFIERS = frozenset("contains startswith endswith re cs cidr gt gte lt lte exists all not wildcard".split())
 
 
+#: Where a bare text is looked for, those of them that there are.
+TEXT_FIELDS = ("message", "event.original", "process.command_line")
+
+
 class RuleError(ValueError):
     pass
 
@@ -32,12 +39,15 @@ def one(x: Column, expected: object, mods: set[str]) -> Column:
     text = x.cast("string")
     for name, op in (("gt", ">"), ("gte", ">="), ("lt", "<"), ("lte", "<=")):
         if name in mods:
-            n = x.try_cast("double")
+            n = F.when(F.typeof(x) != "boolean", x.try_cast("double"))  # a truth value is no number
             return _sure({">": n > float(expected), ">=": n >= float(expected), "<": n < float(expected), "<=": n <= float(expected)}[op])
     if "cidr" in mods:
         return in_cidr(text, str(expected))
     if "re" in mods:
         return _sure(text.rlike(("" if "cs" in mods else "(?iu)") + str(expected)))
+    if isinstance(expected, int | float) and not isinstance(expected, bool) and not mods - {"cs", "all", "not"}:
+        # As text, or as numbers where the field has any: 7 is 7.0 there, but "07" is not 7 in a text.
+        return _sure((text == str(expected)) | F.when(F.typeof(x) != "string", x.try_cast("double") == float(expected)))
     if isinstance(expected, bool):
         return _sure(F.lower(text).isin(*(("true", "1") if expected else ("false", "0"))))
     cs = "cs" in mods
@@ -69,7 +79,7 @@ def field_test(key: str, expected: object, column: Callable[[str], Column], list
     return ~out if "not" in mods else out
 
 
-def selection(spec: object, column: Callable[[str], Column], lists: frozenset[str] = frozenset(), text_fields: tuple[str, ...] = ("message",)) -> Column:
+def selection(spec: object, column: Callable[[str], Column], lists: frozenset[str] = frozenset(), text_fields: tuple[str, ...] = TEXT_FIELDS) -> Column:
     """A mapping (all of it), a list (any of it) or a bare text (contained in a text field)."""
     if isinstance(spec, dict):
         return reduce(lambda a, b: a & b, [field_test(k, v, column, lists) for k, v in spec.items()], F.lit(True))
@@ -80,62 +90,79 @@ def selection(spec: object, column: Callable[[str], Column], lists: frozenset[st
 
 def condition(text: str, selections: dict[str, Column]) -> Column:
     """and / or / not / ( ) over names, ``N of pattern``, ``all of pattern`` and ``them``; empty: all selections."""
-    items = re.findall(r"\(|\)|[^\s()]+", text)
-    at = 0
-
-    def peek() -> str:
-        return items[at].lower() if at < len(items) else ""
-
-    def take() -> str:
-        nonlocal at
-        if at >= len(items):
-            raise RuleError("the condition ends too early")
-        at += 1
-        return items[at - 1]
-
-    def chain(word: str, part: Callable[[], Column], join: Callable[[Column, Column], Column]) -> Column:
-        out = part()
-        while peek() == word:
-            take()
-            out = join(out, part())
-        return out
-
-    def either() -> Column:
-        return chain("or", lambda: chain("and", negated, lambda a, b: a & b), lambda a, b: a | b)
-
-    def negated() -> Column:
-        if peek() == "not":
-            take()
-            return ~negated()
-        if peek() == "(":
-            take()
-            out = either()
-            if take() != ")":
-                raise RuleError("a closing parenthesis is missing")
-            return out
-        word = take()
-        if peek() == "of":
-            take()
-            pattern = take()
-            found = [c for n, c in selections.items() if pattern.lower() == "them" or fnmatch.fnmatchcase(n, pattern)]
-            if not found:
-                raise RuleError(f"{pattern} names no selection")
-            if word.lower() == "all":
-                return reduce(lambda a, b: a & b, found)
-            return reduce(lambda a, b: a + b, [c.cast("int") for c in found]) >= int(word)
-        if word not in selections:
-            raise RuleError(f"unknown selection {word}")
-        return selections[word]
-
-    if not items:
+    if not text.strip():
         return reduce(lambda a, b: a & b, selections.values())
-    out = either()
-    if at < len(items):
-        raise RuleError(f"unexpected {items[at]}")
+
+    def piece(m: re.Match) -> str | Column:
+        if m["of"] is None:
+            word = m["word"].lower()
+            if word in ("and", "or", "not", "(", ")"):
+                return word
+            if m["word"] not in selections:
+                raise RuleError(f"unknown selection {m['word']}")
+            return selections[m["word"]]
+        found = [c for n, c in selections.items() if m["of"].lower() == "them" or fnmatch.fnmatchcase(n, m["of"])]
+        if not found:
+            raise RuleError(f"{m['of']} names no selection")
+        if m["many"].lower() == "all":
+            return reduce(lambda a, b: a & b, found)
+        return reduce(lambda a, b: a + b, [c.cast("int") for c in found]) >= int(m["many"])
+
+    pieces = [piece(m) for m in re.finditer(r"(?P<many>\d+|(?i:all))\s+(?i:of)\s+(?P<of>[^\s()]+)|(?P<word>[()]|[^\s()]+)", text)]
+    try:
+        return folded(pieces)
+    except ValueError as e:
+        raise RuleError(str(e)) from None
+
+
+def nested(columns: list[str]) -> Callable[[str], Column]:
+    """A field by its dotted name: the flat column of that name if there is one, else the struct fields along the name, else null."""
+    known = set(columns)
+
+    def column(name: str) -> Column:
+        if name in known:
+            return F.col(f"`{name}`")
+        parts = name.split(".")
+        for i in range(len(parts) - 1, 0, -1):
+            if (head := ".".join(parts[:i])) in known:
+                return F.col(".".join([f"`{head}`", *[f"`{p}`" for p in parts[i:]]]))
+        return F.lit(None).cast("string")
+
+    return column
+
+
+def check(spec: object) -> list[str]:
+    """What is wrong with a selection, before it meets any data."""
+    if isinstance(spec, list):
+        return [p for s in spec for p in check(s)]
+    if not isinstance(spec, dict):
+        return [] if isinstance(spec, str) else [f"{spec!r} is neither a mapping, a list nor a text"]
+    out = []
+    for key, expected in spec.items():
+        name, *mods = str(key).split("|")
+        out += [f"{name}: unknown modifier {m}" for m in mods if m not in MODIFIERS]
+        for v in expected if isinstance(expected, list) else [expected]:
+            if isinstance(v, list | dict):
+                out.append(f"{name}: {v!r} is no single value")
+            elif "cidr" in mods:
+                try:
+                    ipaddress.ip_network(str(v), strict=False)
+                except ValueError:
+                    out.append(f"{name}: {v!r} is no network")
+            elif "re" in mods:
+                try:
+                    re.compile(str(v))
+                except re.error as e:
+                    out.append(f"{name}: {v!r} is no pattern ({e})")
+            elif set(mods) & {"gt", "gte", "lt", "lte"}:
+                try:
+                    float(v)
+                except (TypeError, ValueError):
+                    out.append(f"{name}: {v!r} is no number")
     return out
 
 
-def source_filter(x: Column, wanted: str) -> Column:
-    """Equal, or below it in a dotted name, in any case."""
-    w = wanted.lower()
-    return _sure((F.lower(x) == w) | F.lower(x).startswith(w + "."))
+def source_filter(x: Column, wanted: str | list[str]) -> Column:
+    """Equal to one of the wanted names, or below it in a dotted name, in any case."""
+    names = [w.lower() for w in ([wanted] if isinstance(wanted, str) else map(str, wanted))]
+    return _sure(reduce(lambda a, b: a | b, [(F.lower(x) == w) | F.lower(x).startswith(w + ".") for w in names]))

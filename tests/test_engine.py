@@ -23,13 +23,19 @@ def events(spark, rows):
 
 
 def test_search_language(spark):
-    rows = [(i, "logon-failed" if i % 3 else "logon-success", f"user{i % 5}", ["a", "b"] if i % 2 else ["c"], f"Log on by user{i % 5}", None if i == 0 else 1000 + i) for i in range(30)]
-    df = spark.createDataFrame(rows, "id int, action string, user string, tags array<string>, message string, port int")
-    f = search.Fields({"action": F.col("action"), "user": F.col("user"), "port": F.col("port")}, lists={"tags": F.col("tags")}, numbers=frozenset({"port"}), tokens=search.tokens_of(F.col("message")))
-    count = lambda q: df.where(search.compile_query(q, f)).count()
-    for query, n in {"": 30, "*": 30, "action:logon-failed": 20, "tags:C": 15, "NOT tags:c": 15, "port:>1020": 9, "NOT port:1005": 28, "user:user0*": 6, "user:(user1 OR user2)": 12, "_exists_:port": 29, '"log on"': 30, "lo* user3": 6, "!action:logon-failed port:<=1003": 1}.items():
-        assert count(query) == n, query
-    for bad in ("(a", "action:", "port:>x", "@timestamp:1", "a OR", ")"):
+    kinds, crews = ["delivered", "lost", "returned", "held"], ["Zoë", "amir", "Bea"]
+    rows = [(i, kinds[i % 4], crews[i % 3], ["fragile", "night"] if i % 5 == 0 else ["day"], f"Parcel no-{i % 7} left by {crews[i % 3]}'s van", None if i == 3 else 100 * i) for i in range(24)]
+    df = spark.createDataFrame(rows, "id int, state string, crew string, labels array<string>, note string, grams int")
+    f = search.Fields({"state": F.col("state"), "crew": F.col("crew"), "grams": F.col("grams")}, lists={"labels": F.col("labels")}, numbers=frozenset({"grams"}), tokens=search.tokens_of(F.col("note")))
+    cases = {
+        "": lambda r: True, "*": lambda r: True, "state:LOST": lambda r: r[1] == "lost", "labels:Night": lambda r: "night" in r[3], "NOT labels:night": lambda r: "night" not in r[3], "grams:>1500": lambda r: r[5] is not None and r[5] > 1500,
+        "NOT grams:700": lambda r: r[5] not in (None, 700), "state:re*": lambda r: r[1] == "returned", "state:?e*": lambda r: r[1][1] == "e", "crew:(amir OR bea)": lambda r: r[2] != "Zoë", "_exists_:grams": lambda r: r[5] is not None, '"parcel van"': lambda r: True, "zoe van": lambda r: r[2] == "Zoë",
+        "no-5": lambda r: r[0] % 7 == 5, "no-*": lambda r: True, "am*": lambda r: r[2] == "amir", "!state:lost grams:<=900": lambda r: r[1] != "lost" and r[5] is not None and r[5] <= 900, "state:lost OR state:held crew:bea": lambda r: r[1] == "lost" or (r[1] == "held" and r[2] == "Bea"),
+        "NOT (state:lost OR state:held) AND labels:d*": lambda r: r[1] not in ("lost", "held") and "day" in r[3], 'state:"lost"': lambda r: r[1] == "lost", 'state:"l*"': lambda r: False, "grams:(>=200 AND <400)": lambda r: r[5] in (200,), "...": lambda r: False, '"van ..."': lambda r: True,
+    }
+    for query, keep in cases.items():
+        assert {r.id for r in df.where(search.compile_query(query, f)).select("id").collect()} == {r[0] for r in rows if keep(r)}, query
+    for bad in ("(state:lost", "state:", "grams:>many", "@timestamp:1", "state:lost OR", ")", "state:lost AND AND crew:bea", 'crew:"amir', "nofield:1"):
         with pytest.raises(search.QueryError):
             search.compile_query(bad, f)
 
@@ -40,6 +46,13 @@ def test_conditions_and_modifiers(spark):
     assert count({"c|contains": "powershell"}) == 1 and count({"c|contains|cs": "powershell"}) == 0
     assert count({"c|not": "cmd"}) == 2 and count({"n|gt": 4, "c": "*"}) == 2 and count({"ip|cidr": "10.0.0.0/8"}) == 1
     assert count({"c": None}) == 1 and count({"c|exists": False}) == 1 and count([{"n": 5}, {"n": 9}]) == 2
+    assert count({"n": 5}) == 1 and count({"n": [5.0, "9"]}) == 2 and count({"n|gte": True}) in (0, 2)
+    floats = spark.createDataFrame([(7.0, "7", "07", True), (7.5, "7.0", "8", False)], "d double, s string, z string, b boolean")
+    hits = lambda spec: floats.where(matching.selection(spec, F.col)).count()
+    assert [hits({"d": 7}), hits({"s": 7}), hits({"z": 7}), hits({"b": True}), hits({"b|gt": 0})] == [1, 1, 0, 1, 0]
+    deep = spark.createDataFrame([((("x", 1),),)], "a struct<b:struct<c:string,d:int>>").select("a", F.lit("flat").alias("a.b.e"))
+    assert deep.where(matching.selection({"a.b.c": "X", "a.b.e": "flat", "no.such": None, "a.b.d|gte": 1}, matching.nested(deep.columns))).count() == 1
+    assert deep.select(F.lit("run CMD.exe").alias("process.command_line")).where(matching.selection("cmd.exe", matching.nested(["process.command_line"]))).count() == 1
     with pytest.raises(matching.RuleError):
         matching.field_test("c|nope", "x", F.col)
     with pytest.raises(matching.RuleError):
@@ -100,23 +113,41 @@ def test_distinct_threshold_like_a_loop_in_batch_stream_and_rule(spark, tmp_path
     assert alerts(["22", "22", "22", "80", "80", "443"]) == [("k=h", 3)] and alerts(["22"] * 100) == []
 
 
-def sequences_by_loop(rows, needs, within):
-    s, n, began, out = 0, 0, None, []
+def sequences_by_loop(rows, needs, within, exact):
+    """rows: (time, stage that the event belongs to)."""
+    run, out = None, []  # [stage, counter, events, start]
     for x, a in rows:
-        if began is not None and x - began > within:
-            s, n, began = 0, 0, None
-        if a == s:
-            n, began = n + 1, x if began is None else began
-        elif a == 0:
-            s, n, began = 0, 1, x
-        if n >= needs[s]:
-            s, n = s + 1, 0
-        if s == len(needs):
-            out.append((x, began))
-            s, n, began = 0, 0, None
+        if run and x - run[3] > within:
+            run = None
+        if run is None:
+            if a != 0:
+                continue
+            run = [0, 0, 0, x]
+        if a == run[0]:
+            run[1], run[2] = run[1] + 1, run[2] + 1
+            if run[1] >= needs[run[0]]:
+                run[0], run[1] = run[0] + 1, 0
+        elif a == 0 and exact:
+            run[1], run[2] = run[1] + 1, run[2] + 1
+            if run[1] >= needs[0]:
+                run[0], run[1] = 1, 0
+        if run[0] == len(needs):
+            out.append((x, run[3], run[2]))
+            run = None
     return out
 
 
+@pytest.mark.parametrize("exact", [True, False])
+def test_sequences_like_a_loop(spark, exact):
+    rng = random.Random(11)
+    keys = {f"k{i}": sorted((rng.randrange(3000), rng.randrange(4)) for _ in range(250)) for i in range(20)}
+    df = events(spark, [(s, k, str(a)) for k, v in keys.items() for s, a in v])
+    for needs in ([3, 1], [2, 2, 1], [1, 3]):
+        stages = [(F.col("a") == str(i), n) for i, n in enumerate(needs)]
+        want = sorted((k, t(x), t(y), n) for k, v in keys.items() for x, y, n in sequences_by_loop([e for e in v if e[1] < len(needs)], needs, 120, exact))
+        assert sorted(tuple(r) for r in detection.sequence_alerts(df, "k", "ts", "a", stages, 120, exact).collect()) == want and want
+
+
 def test_a_large_key_streams_through_the_folds(spark):
     n = 300_000
     rows = spark.range(n).select(F.col("id").alias("event_id"), F.timestamp_seconds(F.lit(1704067200) + F.col("id")).alias("ts"), F.when(F.col("id") % 100 == 1, F.col("id").cast("string")).otherwise("hot").alias("k"), (F.xxhash64("id") % 3).alias("a"))
@@ -128,7 +159,7 @@ def test_a_large_key_streams_through_the_folds(spark):
     ends = detection.sequence_alerts(rows, "k", "ts", "event_id", stages, 20)
     assert "collect_list" not in ends._jdf.queryExecution().toString()
     events = [(r.event_id, r.a) for r in rows.where("k = 'hot' and a >= 0").orderBy("event_id").collect()]
-    assert sorted((r.ts, r.started) for r in ends.where("k = 'hot'").collect()) == [(t(a), t(b)) for a, b in sequences_by_loop(events, [2, 1, 1], 20)]
+    assert sorted((r.ts, r.started) for r in ends.where("k = 'hot'").collect()) == [(t(a), t(b)) for a, b, _ in sequences_by_loop(events, [2, 1, 1], 20, True)]
 
 
 def test_cidr_like_the_library(spark):
@@ -146,14 +177,35 @@ def test_cidr_like_the_library(spark):
     assert {r.ip for r in df.where(scalar.in_cidr(F.col("ip"), "10.0.0.0/8")).collect()} == {"10.1.2.3", "::ffff:10.1.2.3"}
 
 
-def test_sequence_and_rule(spark):
-    rows = [(1000, "a", "ok"), (1001, "a", "fail"), (1002, "a", "fail"), (1003, "a", "fail"), (1010, "b", "ok"), (1011, "a", "ok"), (1012, "a", "ok"), (5000, "a", "fail"), (5001, "a", "fail"), (5002, "a", "fail"), (5700, "a", "ok")]
-    rule = rules.from_dict({"id": "r", "title": "r", "sequence": {"by": ["k"], "within": "10m", "stages": [{"selection": {"a": "fail"}, "count": 3}, {"selection": {"a": "ok"}}]}})
+def test_rules_of_every_kind(spark):
+    rows = [(10 * i, k, a) for k, acts in {"pump": "wwwwd", "valve": "wwd", "fan": "dwww"}.items() for i, a in enumerate(acts)]
+    stages = [{"selection": {"a": "w"}, "count": 3}, {"selection": {"a": "d"}}]
+    rule = rules.from_dict({"id": "r", "title": "r", "sequence": {"by": ["k"], "within": "2m", "stages": stages}})
     got = rules.alerts(rule, events(spark, rows), "ts", "event_id", F.col).collect()
-    assert [(r.group_key, r.first_seen, r["count"]) for r in got] == [("k=a", t(1011), 1)]
-    rule = rules.from_dict({"id": "s", "title": "s", "group_by": "k", "suppress": "5m", "detection": {"sel": {"a": "x"}, "condition": "sel"}})
-    got = rules.alerts(rule, events(spark, [(1000, "h", "x"), (1001, "h", "x"), (1002, "i", "x"), (1400, "h", "x")]), "ts", "event_id", F.col).collect()
-    assert sorted((r.group_key, r["count"]) for r in got) == [("k=h", 1), ("k=h", 2), ("k=i", 1)]
+    assert [(r.group_key, r.first_seen, r["count"]) for r in got] == [("k=pump", t(40), 5)]  # the fourth warning does not undo the run
+    rows = [(0, "pump", "hot"), (200, "pump", "hot"), (500, "valve", "hot"), (820, "pump", "hot"), (821, "pump", "cold")]
+    spec = {"id": "s", "title": "s", "group_by": "k", "suppress": "5m", "detection": {"sel": {"a": "hot"}, "condition": "sel"}}
+    found = lambda **more: sorted((r.group_key, r["count"]) for r in rules.alerts(rules.from_dict(spec | more), events(spark, rows), "ts", "event_id", F.col).collect())
+    assert found() == [("k=pump", 1), ("k=pump", 2), ("k=valve", 1)]
+    assert found(suppress=None) == [("k=pump", 1), ("k=pump", 2), ("k=valve", 1)]  # quiet for ten minutes unless the rule says otherwise
+    assert found(group_by=None) == [("*", 3), ("*", 1)][::-1] and rules.from_dict(spec | {"suppress": None}).suppress == 600
+    assert found(threshold={}) == found() and found(threshold={"count": 2, "group_by": "a"}) == [("a=hot", 2)]
+    df, col = events(spark, rows), F.col
+    off = rules.from_dict(spec | {"id": "off", "enabled": False})
+    broken = rules.from_dict(spec | {"id": "bad", "detection": {"sel": {"nowhere": "x"}}})
+    out = rules.all_alerts([rules.from_dict(spec), off, broken], df, "ts", "event_id", col)
+    assert {r.rule_id for r in out.collect()} == {"s"} and set(out.failed) == {"bad"}
+    assert [r.rules for r in rules.matches([rules.from_dict(spec), off], df, col).orderBy("event_id").collect()] == [["s"]] * 4 + [[]]
+
+
+def test_log_sources_and_checks(spark):
+    df = spark.createDataFrame([("windows.security", "windows"), ("windows", "windows"), ("windowsx", "linux"), (None, None)], "`event.dataset` string, `host.os.type` string")
+    count = lambda source: df.where(rules.predicate(rules.from_dict({"id": "x", "title": "x", "logsource": source, "detection": {"s": {"event.dataset|exists": True}}}), matching.nested(df.columns))).count()
+    assert [count({"dataset": "Windows"}), count({"service": ["windows.security", "linux"]}), count({"product": "windows"}), count({"product": "linux", "dataset": "windows"})] == [2, 1, 2, 0]
+    good = {"id": "x", "title": "x", "detection": {"s": {"a": 1}}}
+    for bad in ({"threshold": {"count": 0}}, {"threshold": {"window": "soon"}}, {"sequence": {"stages": [{}]}}, {"suppress": "x"}, {"severity": "dire"}, {"mitre": "T1"}, {"detection": {"s": {"a|re": "("}}}, {"detection": {"s": {"a|cidr": "1.2"}}}, {"detection": {"s": {"a|gt": "x"}}}, {"detection": {"s": {"a": 1}, "condition": "s and"}}, {"detection": {"s": {"a": 1}, "condition": "2 of z*"}}, {"title": ""}):
+        with pytest.raises(matching.RuleError):
+            rules.from_dict(good | bad)
 
 
 def test_parsers(spark):
