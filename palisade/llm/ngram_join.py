@@ -13,8 +13,10 @@ A document is the set of its distinct word n-grams (as 64-bit hashes); two docum
    lists are set apart, the short ones are merged by a heap, members that occur in enough of those are looked up in the
    long lists by binary probes, and those that reach the needed overlap link.  A query's members are dealt over blocks of
    bounded size, and components of the links are found.
-4. Buckets whose members still lie in several components are joined to clusters where they share members; in a cluster, every pair of
-   components of close sizes is searched in the same way, part against part.  Nothing is capped: a large cluster has more parts.
+4. Leaders whose members still lie in several components: all members but those of the largest component ask, all are asked, part against
+   part, so each part of bounded weight meets the parts it has to.  Nothing is capped: a large bucket has more parts.
+
+A block's links come back as a spanning forest of its components, so there are fewer links than members, whatever the size of a group.
 
 Before the sets of a block travel, sketches of them do (two to four bits for an n-gram): a bit is the parity of the n-grams dealt to it, so sets
 differ in at least as many n-grams as sketches in bits.  Members without a partner that this bound allows stay at home; no link is lost.
@@ -39,7 +41,7 @@ from . import common
 from .components import components
 
 BLOCK = 256
-#: N-grams of a part of a cluster in step 4.
+#: N-grams of a part of a bucket in step 4.
 BLOCK_GRAMS = 1_000_000
 SEEDS = 6
 _MASK = (1 << 64) - 1
@@ -282,7 +284,7 @@ _SEEN = "k1 long, k2 long, k3 long, side int, d long, c long"
 
 
 def likely(blocks: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """Those rows of blocks (k1, k2, k3, side, d, c) that may link with another one of their block by the sketches (d, n_shingles, sketch)."""
+    """Those rows of blocks (k1, k2, k3, side, d, c) that may link with one of the other side of their block by the sketches (d, n_shingles, sketch)."""
     dealt = blocks.join(sketches, "d").select("k1", "k2", "k3", "side", "d", "c", "n_shingles", "sketch")
     dealt = dealt.repartition("k1", "k2", "k3").sortWithinPartitions("k1", "k2", "k3", "side", "d")
     types = common.pa_schema(_SEEN)
@@ -292,9 +294,9 @@ def likely(blocks: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
             side, c = np.array([r[3] for r in rows]), np.array([r[5] for r in rows], np.int64)
             known = Sketches([np.frombuffer(r[7], np.uint64) for r in rows], np.array([r[6] for r in rows], np.int64))
             stays = np.zeros(len(rows), bool)
-            for i in np.flatnonzero(side != 1).tolist():
+            for i in np.flatnonzero(side == 0).tolist():
                 j = known.partners(i, percent)
-                j = j[(side[j] != 0) & (c[j] != c[i])]
+                j = j[(side[j] == 1) & (c[j] != c[i])]
                 stays[j] = True
                 stays[i] |= len(j) > 0
             if stays.any():
@@ -308,27 +310,43 @@ def likely(blocks: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
 _LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
+class Forest:
+    """Union-find of the components that meet in a block."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        while (y := self.up.get(x, x)) != x:
+            self.up[x] = x = self.up.get(y, y)
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        """Whether the two were apart."""
+        x, y = self.root(x), self.root(y)
+        self.up[max(x, y)] = min(x, y)
+        return x != y
+
+
 def search(blocks: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) within blocks (k1, k2, k3, side, d, c, grams): every row of side 0 or 2 queries the rows of side 1 or 2.
+    """Links (a, b) of components within blocks (k1, k2, k3, side, d, c, grams): rows of side 0 query the rows of side 1.
 
     A block is small by the way it is dealt, and the rows of a block stand together: Spark partitions by the block's key
-    and sorts within the partitions.  Pairs with one component c are left out.
+    and sorts within the partitions.  Of a block's links those stay that join what its other ones leave apart.
     """
     dealt = blocks.repartition("k1", "k2", "k3").sortWithinPartitions("k1", "k2", "k3", "side", "d")
 
     def run(batches):
         for rows in _groups(batches):
-            grams = [np.frombuffer(r[6], np.uint64) for r in rows]
-            asked = [i for i, r in enumerate(rows) if r[3] != 1]
-            told = [i for i, r in enumerate(rows) if r[3] != 0]
-            index = Index([grams[i] for i in told])
-            links = {(min(p), max(p)) for i in asked for j in divide_skip(grams[i], index, percent) if (p := (rows[i][4], rows[told[j]][4]))[0] != p[1] and rows[i][5] != rows[told[j]][5]}
+            asked, told = [r for r in rows if r[3] == 0], [r for r in rows if r[3] == 1]
+            index, forest = Index([np.frombuffer(r[6], np.uint64) for r in told]), Forest()
+            links = [(r[5], told[j][5]) for r in asked for j in divide_skip(np.frombuffer(r[6], np.uint64), index, percent) if forest.join(r[5], told[j][5])]
             if links:
-                a, b = zip(*sorted(links), strict=True)
+                a, b = zip(*links, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=_LINK)
 
     dealt.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(common.BATCH_ROWS))
-    return dealt.select("k1", "k2", "k3", "side", "d", "c", "grams").mapInArrow(run, "a long, b long").distinct()
+    return dealt.select("k1", "k2", "k3", "side", "d", "c", "grams").mapInArrow(run, "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -360,37 +378,37 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
 
     # Step 3: the least leader that a member meets anywhere asks for it, in blocks; so each sketch, and each set at most, travels once here.
     first = met.where("d != leader").groupBy("d").agg(F.min("leader").alias("leader")).select("leader", "d")
-    deal = F.pmod(F.xxhash64("d"), F.greatest(F.lit(1), F.ceil(F.col("size") / BLOCK)))
-    sized = first.join(first.groupBy("leader").agg(F.count(F.lit(1)).alias("size")), "leader").withColumn("k2", deal.cast("long"))
+    deal = F.pmod(F.xxhash64("d"), F.greatest(F.lit(1), F.ceil(F.col("n_left") / BLOCK)))
+    sized = common.spread_join(first, first.groupBy("leader").agg(F.count(F.lit(1)).alias("n_left")), ["leader"], "inner", total).withColumn("k2", deal.cast("long"))
     asked = sized.select("leader", "k2").distinct().select("leader", "k2", F.lit(0).alias("side"), F.col("leader").alias("d"))
     told = sized.select("leader", "k2", F.lit(1).alias("side"), "d")
     links = linked(asked.union(told).select(F.col("leader").alias("k1"), "k2", F.lit(0).cast("long").alias("k3"), "side", "d", F.col("d").alias("c")), "links")
     found = components(links)
+    label = classes.join(found, classes.rep == found.node, "left").select("f1", "f2", "n_left", "no_id", "rep", F.coalesce("component", "rep").alias("component"))
 
-    # Step 4: buckets that are still in several components.
-    labelled = common.stored(met.join(found, met.d == found.node, "left").select("leader", "d", F.coalesce("component", "d").alias("c")), "labelled")
-    open_ = labelled.groupBy("leader").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("n_left")).where("lo != hi").select("leader", "n_left")
-    members = common.stored(common.spread_join(labelled, open_, ["leader"], "inner", total).select("leader", "d", "c"), "open")
+    # Step 4: leaders that are still in several components.
+    own = met.join(sketches.groupBy("d").agg(F.sum("n_shingles").alias("size")), "d")
+    labelled = common.stored(own.join(found, own.d == found.node, "left").select("leader", "d", "size", F.coalesce("component", "d").alias("c")), "labelled")
+    common.unstore(met)
+    parts = labelled.groupBy("leader", "c").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
+    most = F.max(F.struct("size", "c", "n"))
+    open_ = parts.groupBy("leader").agg(most.alias("most"), F.sum("size").alias("size"), F.sum("n").alias("n_left"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    weigh = lambda c: F.ceil(c / BLOCK_GRAMS).cast("long")
+    open_ = open_.select("leader", "n_left", F.col("most.c").alias("most"), weigh(F.col("size") - F.col("most.size")).alias("askers"), weigh(F.col("size")).alias("all"))
+    members = common.stored(common.spread_join(labelled, open_, ["leader"], "inner", total).drop("n_left"), "open")
+    common.unstore(labelled)
     if members.limit(1).count():
-        clusters = components(members.select(F.col("leader").alias("a"), F.col("d").alias("b"))).withColumnRenamed("node", "d").withColumnRenamed("component", "k1")
-        own = members.groupBy("d").agg(F.first("c").alias("c")).join(sketches.groupBy("d").agg(F.sum("n_shingles").alias("size")), "d").join(clusters, "d")
-        # A cluster of bounded weight is one block.  A larger one is cut by size first: sets that can link are in one size group or in
-        # neighbouring ones, each dealt to parts of bounded weight.
-        whole = own.groupBy("k1").agg((F.sum("size") <= BLOCK_GRAMS).alias("whole"))
-        group = F.when(F.col("whole"), 0).otherwise(F.floor(F.log("size") / np.log(100 / percent) + 1e-9)).cast("long")
-        own = common.stored(own.join(whole, "k1").select("d", "c", "k1", "size", group.alias("g")), "own")
-        weight = own.groupBy("k1", "g").agg(F.ceil(F.sum("size") / BLOCK_GRAMS).cast("long").alias("parts"))
-        near = weight.select("k1", F.explode(F.array(F.col("g") - 1, F.col("g"), F.col("g") + 1)).alias("g"), F.col("g").alias("h"), F.col("parts").alias("theirs"))
-        mine = own.join(weight, ["k1", "g"]).withColumn("p", F.pmod(F.xxhash64("d"), F.col("parts"))).join(near, ["k1", "g"])
-        # A member of part p of group g meets each part q of a group h near it in one block, whose key is the two in order.
-        pairs = mine.withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("theirs") - 1)))
-        me, it = F.col("g") * (1 << 32) + F.col("p"), F.col("h") * (1 << 32) + F.col("q")
-        side = F.when(me == it, 2).when(me < it, 0).otherwise(1)
-        blocks = pairs.select("k1", F.least(me, it).alias("k2"), F.greatest(me, it).alias("k3"), side.alias("side"), "d", "c")
-        more = linked(blocks, "links")
+        upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+        part = lambda c: F.pmod(F.xxhash64("d"), F.col(c))
+        asks = members.where("c != most").select(F.col("leader").alias("k1"), part("askers").alias("k2"), upto("all").alias("k3"), F.lit(0).alias("side"), "d", "c")
+        told = members.select(F.col("leader").alias("k1"), upto("askers").alias("k2"), part("all").alias("k3"), F.lit(1).alias("side"), "d", "c")
+        more = linked(asks.union(told), "links")
         if more.limit(1).count():
-            found = components(links.union(more))
-    label = classes.join(found, classes.rep == found.node, "left").select("f1", "f2", "n_left", "no_id", "rep", F.coalesce("component", "rep").alias("component"))
+            # Components of components: the least id of the least one.
+            label = common.stored(label, "label")
+            sizes = label.groupBy(F.col("component").alias("node")).agg(F.count(F.lit(1)).alias("n"))
+            again = components(more).join(sizes, "node").select(F.col("node").alias("component"), F.col("component").alias("least"), F.col("n").alias("n_left"))
+            label = common.spread_join(label.withColumnRenamed("n_left", "n"), again, ["component"], "left", total).select("f1", "f2", F.col("n").alias("n_left"), "no_id", "rep", F.coalesce("least", "component").alias("component"))
     if classes.where("no_id").limit(1).count():
         # The least node may be one without a doc_id: the least real one names the component.
         label = common.stored(label, "label")
