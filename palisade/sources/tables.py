@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
+
+from ..functions.scalar import ip_key, network_keys
 
 
 def envelopes(spark: SparkSession, path: str, dataset: str | None = None) -> DataFrame:
@@ -14,12 +17,26 @@ def envelopes(spark: SparkSession, path: str, dataset: str | None = None) -> Dat
     return lines.select(F.coalesce(raw, "value").alias("raw"), hint.alias("dataset"), F.input_file_name().alias("path"))
 
 
-def ip_ranges(spark: SparkSession, path: str) -> DataFrame:
-    """(lo, hi, cc) of ``start,end,CC`` lines with IPv4 addresses; unallocated ``ZZ`` and bad lines are left out."""
-    from ..functions.scalar import ipv4
+def stream(spark: SparkSession, path: str, dataset: str | None = None, files_per_trigger: int = 1000) -> DataFrame:
+    """(raw, dataset, path) of lines as files land below a path (a glob, too); the checkpoint remembers what was read, and a batch takes so many files at most."""
+    lines = spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(path).where(F.trim("value") != "")
+    hint = F.lit(dataset) if dataset else F.get_json_object("value", "$.dataset")
+    return lines.select(F.coalesce(F.get_json_object("value", "$.raw"), "value").alias("raw"), hint.alias("dataset"), F.input_file_name().alias("path"))
 
+
+def ip_ranges(spark: SparkSession, path: str) -> DataFrame:
+    """(lo, hi, cc) of ``start,end,CC`` lines, plain or gzip, in any order, with addresses of either version as keys of ``ip_key``; bad lines are left out."""
     rows = spark.read.csv(path, schema="a string, b string, cc string", comment="#")
-    return rows.select(ipv4(F.col("a")).alias("lo"), ipv4(F.col("b")).alias("hi"), F.upper("cc").alias("cc")).where("lo is not null and hi is not null and cc != 'ZZ'")
+    keys = rows.select(ip_key(F.trim("a")).alias("lo"), ip_key(F.trim("b")).alias("hi"), F.upper(F.trim("cc")).alias("cc"))
+    return keys.where((F.col("lo") <= F.col("hi")) & (F.substring("lo", 1, 1) == F.substring("hi", 1, 1)) & F.col("cc").isNotNull())
+
+
+def places(spark: SparkSession, path: str) -> DataFrame:
+    """(cidr, name, country_iso_code, country_name, city_name, organization, lat, lon) of a CSV file of networks with a header; ``#`` starts a comment, bad networks are left out."""
+    rows = spark.read.csv(path, header=True, comment="#", mode="PERMISSIVE")
+    col = lambda c: (F.nullif(F.trim(c), F.lit("")) if c in rows.columns else F.lit(None).cast("string")).alias(c)
+    named = rows.select(*[col(c) for c in ("cidr", "name", "country_iso_code", "country_name", "city_name", "organization", "lat", "lon")])
+    return named.where(network_keys(F.col("cidr")).isNotNull()).withColumn("lat", F.col("lat").try_cast("double")).withColumn("lon", F.col("lon").try_cast("double"))
 
 
 def indicators(spark: SparkSession, path: str) -> DataFrame:
@@ -28,19 +45,43 @@ def indicators(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(line.alias("v")).where("v != ''").select(F.lower(F.trim(F.substring_index("v", ",", 1))).alias("indicator"), F.when(F.col("v").contains(","), F.trim(F.regexp_replace("v", "^[^,]*,", ""))).alias("description"))
 
 
-def append_new(batch: DataFrame, path: str, key: str = "event_id") -> None:
-    """Appends the rows whose key the table lacks: a replayed batch changes nothing."""
+def append_new(batch: DataFrame, path: str, key: str = "event_id", ts: str | None = None) -> None:
+    """Appends the rows whose key the table lacks: a replayed batch changes nothing, and of equal keys in the batch one row stays.
+
+    With ``ts`` the table is cut by day, and only the days of the batch are read; so a key belongs to its day.  A batch that was half written
+    is completed by its replay.
+    """
     spark = batch.sparkSession
     rows = batch.dropDuplicates([key])
+    if ts:
+        rows = rows.withColumn("day", F.to_date(ts))
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
-        rows = rows.join(spark.read.parquet(path).select(key), key, "left_anti")
-    rows.write.mode("append").parquet(path)
+        known = spark.read.parquet(path)
+        if ts:
+            days = [r[0] for r in rows.select("day").distinct().collect()]  # days of one batch
+            known = known.where(F.col("day").isin([d for d in days if d is not None]) | F.col("day").isNull())
+        rows = rows.join(known.select(key), key, "left_anti")
+    (rows.write.mode("append").partitionBy("day") if ts else rows.write.mode("append")).parquet(path)
 
 
 def newest(df: DataFrame, key: str, updated: str) -> DataFrame:
-    w = Window.partitionBy(key).orderBy(F.desc(updated))
-    return df.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+    """The row of each key that was updated last; of equal times the greatest row, column by column.  Columns that have no order (maps) are not compared."""
+    rest = [c for c in df.columns if c != key]
+    plain = [f.name for f in df.schema.fields if f.name in rest and not isinstance(f.dataType, MapType)]
+    best = df.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(updated, *plain)).alias("__r"))
+    return best.select(*[F.col(key) if c == key else F.col(f"__r.{c}").alias(c) for c in df.columns])
+
+
+def added_up(stats: DataFrame, more: DataFrame, key: str = "id") -> DataFrame:
+    """Counts of a key added to those that there are; new keys come in."""
+    sums = [c for c in stats.columns if c != key]
+    return stats.unionByName(more.select(*stats.columns)).groupBy(key).agg(*[F.sum(c).cast("long").alias(c) for c in sums])
+
+
+def to_envelopes(events: DataFrame, path: str) -> None:
+    """Writes (raw, dataset) as JSON lines that ``envelopes`` reads."""
+    events.select("raw", "dataset").write.mode("append").json(path)
 
 
 def retained(events: DataFrame, ts: str, since) -> DataFrame:
