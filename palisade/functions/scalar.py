@@ -62,17 +62,25 @@ def cidr_bounds(cidr: str) -> tuple[int, int]:
 
 def ipv6(ip: Column) -> Column:
     """An IPv6 address as 32 hexadecimal digits, whose order is that of the addresses; null if it is none.  A zone is dropped, a dotted tail is read."""
-    text = F.regexp_replace(F.lower(ip), "%[^%/]+$", "")
-    tail = ipv4(F.regexp_extract(text, r":([0-9.]+)$", 1))
     group = lambda n: F.lower(F.hex(n))
-    plain = F.when(text.contains("."), F.concat(F.regexp_extract(text, "^(.*:)[0-9.]+$", 1), group(F.shiftrightunsigned(tail, 16)), F.lit(":"), group(tail % 65536))).otherwise(text)
     parts = lambda half: F.filter(F.split(half, ":"), lambda x: x != "")
-    left, right = parts(F.substring_index(plain, "::", 1)), F.when(plain.contains("::"), parts(F.substring_index(plain, "::", -1))).otherwise(F.array().cast("array<string>"))
-    n = F.size(left) + F.size(right)
-    every = F.concat(left, F.array_repeat(F.lit("0"), F.greatest(8 - n, F.lit(0))), right)
     run = "[0-9a-f]{1,4}(?::[0-9a-f]{1,4}){0,7}"
-    good = plain.rlike(f"^(?:{run})?(?:::(?:{run})?)?$") & F.when(plain.contains("::"), n <= 7).otherwise(n == 8)
-    return F.when(good, F.array_join(F.transform(every, lambda x: F.lpad(x, 4, "0")), ""))
+    tail = lambda t: ipv4(F.regexp_extract(t, r":([0-9.]+)$", 1))
+    undotted = lambda t: let(tail(t), lambda n: F.when(t.contains("."), F.concat(F.regexp_extract(t, "^(.*:)[0-9.]+$", 1), group(F.shiftrightunsigned(n, 16)), F.lit(":"), group(n % 65536))).otherwise(t))
+
+    def digits(p: Column) -> Column:
+        short = p.contains("::")
+        right = F.when(short, parts(F.substring_index(p, "::", -1))).otherwise(F.array().cast("array<string>"))
+
+        def joined(x: Column) -> Column:
+            n = F.size(x["left"]) + F.size(x["right"])
+            every = F.concat(x["left"], F.array_repeat(F.lit("0"), F.greatest(8 - n, F.lit(0))), x["right"])
+            good = p.rlike(f"^(?:{run})?(?:::(?:{run})?)?$") & F.when(short, n <= 7).otherwise(n == 8)
+            return F.when(good, F.array_join(F.transform(every, lambda g: F.lpad(g, 4, "0")), ""))
+
+        return let(F.struct(parts(F.substring_index(p, "::", 1)).alias("left"), right.alias("right")), joined)
+
+    return let(F.regexp_replace(F.lower(ip), "%[^%/]+$", ""), lambda t: let(undotted(t), digits))
 
 
 def in_cidr(ip: Column, cidr: str) -> Column:
@@ -86,28 +94,26 @@ def in_cidr(ip: Column, cidr: str) -> Column:
 def ip_key(ip: Column) -> Column:
     """An address of either version as 33 characters whose order is that of the addresses within the version: ``4`` or ``6``, then 32 hexadecimal
     digits; null if it is none.  A mapped IPv4 address is one of version 4."""
-    v4 = ipv4(ip)
-    return F.coalesce(F.concat(F.lit("4"), F.lpad(F.lower(F.hex(v4)), 32, "0")), F.concat(F.lit("6"), ipv6(ip)))
+    return let(ip, lambda x: F.coalesce(F.concat(F.lit("4"), F.lpad(F.lower(F.hex(ipv4(x))), 32, "0")), F.concat(F.lit("6"), ipv6(x))))
 
 
 def network_keys(cidr: Column) -> Column:
     """struct(lo, hi, width) of a network (or a single address) in the keys of ``ip_key``; null if it is none.  width: fixed bits of the prefix."""
     base = ip_key(F.substring_index(cidr, "/", 1))
-    size = F.when(base.startswith("4"), 32).otherwise(128)
-    bits = F.when(cidr.contains("/"), F.substring_index(cidr, "/", -1).try_cast("int")).otherwise(size)
-    fixed = bits + 128 - size  # of 128
+    size = lambda b: F.when(b.startswith("4"), 32).otherwise(128)
+    given = lambda b: F.when(cidr.contains("/"), F.substring_index(cidr, "/", -1).try_cast("int")).otherwise(size(b))
 
-    def end(fill: str) -> Column:
+    def ends(x: Column) -> Column:
         # Digits before the prefix's end stay, those after it are filled, and the digit at it keeps its leading bits.
+        fixed = x["bits"] + 128 - x["size"]  # of 128
         whole, rest = (fixed / 4).cast("int"), F.pmod(fixed, F.lit(4))
-        digit = F.conv(F.substring(base, whole + 2, F.lit(1)), 16, 10).try_cast("int")
-        free = F.element_at(F.array(*[F.lit(x) for x in (15, 7, 3, 1)]), (rest + 1).cast("int"))
-        kept = digit - F.pmod(digit, free + 1)
-        mixed = F.when(whole < 32, F.lower(F.hex((kept + (free if fill == "f" else 0)).cast("long")))).otherwise(F.lit(""))
-        return F.rpad(F.concat(F.substring(base, F.lit(1), whole + 1), mixed), 33, fill)
+        digit = F.conv(F.substring(x["base"], whole + 2, F.lit(1)), 16, 10).try_cast("int")
+        free = F.element_at(F.array(*[F.lit(n) for n in (15, 7, 3, 1)]), (rest + 1).cast("int"))
+        mixed = lambda fill: F.when(whole < 32, F.lower(F.hex((digit - F.pmod(digit, free + 1) + (free if fill == "f" else 0)).cast("long")))).otherwise(F.lit(""))
+        end = lambda fill: F.rpad(F.concat(F.substring(x["base"], F.lit(1), whole + 1), mixed(fill)), 33, fill)
+        return F.when(x["base"].isNotNull() & (x["bits"] >= 0) & (x["bits"] <= x["size"]), F.struct(end("0").alias("lo"), end("f").alias("hi"), x["bits"].alias("width")))
 
-    good = base.isNotNull() & (bits >= 0) & (bits <= size)
-    return F.when(good, F.struct(end("0").alias("lo"), end("f").alias("hi"), bits.alias("width")))
+    return let(base, lambda b: let(F.struct(b.alias("base"), size(b).alias("size"), given(b).alias("bits")), ends))
 
 
 def ip_version(ip: Column) -> Column:
@@ -120,9 +126,8 @@ PRIVATE = ("10.0.0.0/8", "172.16.0.0/12", "192.168.0.0/16", "127.0.0.0/8", "169.
 
 def in_networks(ip: Column, networks: list[str] | tuple[str, ...]) -> Column:
     """Whether an address is in one of a few networks; two-valued."""
-    key = ip_key(ip)
-    hits = [key.between(*_bounds(n)) for n in networks]
-    return F.coalesce(reduce(lambda a, b: a | b, hits), F.lit(False)) if hits else F.lit(False)
+    inside = lambda key: reduce(lambda a, b: a | b, [key.between(*_bounds(n)) for n in networks])
+    return F.coalesce(let(ip_key(ip), inside), F.lit(False)) if networks else F.lit(False)
 
 
 def _bounds(cidr: str) -> tuple[str, str]:

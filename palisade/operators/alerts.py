@@ -84,30 +84,31 @@ def current(alerts: DataFrame, actions: DataFrame) -> DataFrame:
     """
     names = [n for n, _ in sorted(scalar.SEVERITIES.items(), key=lambda x: x[1])]
     entry = "struct<ts:timestamp,status:string,by:string,level:int,reason:string>"
-    log = actions.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("ts", "action", "by", "args"))).alias("x"))
+    log = actions.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("ts", "action", "by", F.map_entries(F.coalesce("args", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")))).alias("args")))).alias("x"))
     state = F.struct(F.lit("new").alias("status"), F.lit(None).cast("string").alias("assignee"), F.lit(None).cast("string").alias("notes"), F.lit(0).alias("level"), F.lit(None).cast("string").alias("escalated_to"), F.col("severity"), F.col("severity_score").cast("int").alias("severity_score"), F.array().cast(f"array<{entry}>").alias("history"))
 
     def step(a: Column, e: Column) -> Column:
-        value = e["args"]["value"]
+        args = F.map_from_entries(e["args"])
+        value = args["value"]
         up = (e["action"] == "escalate") & a["status"].isin(*OPEN)
         set_ = (e["action"] == "status") & value.isin(*STATUSES)
         level = F.when(up, F.least(a["level"] + 1, F.lit(len(TIERS)))).otherwise(a["level"])
         at = F.array_position(F.array(*map(F.lit, names)), a["severity"])
         higher = F.element_at(F.array(*map(F.lit, names)), F.least(at + 1, F.lit(len(names))).cast("int"))
-        lifted = up & (at > 0) & F.coalesce(e["args"]["keep_severity"] != "true", F.lit(True))
+        lifted = up & (at > 0) & F.coalesce(args["keep_severity"] != "true", F.lit(True))
         score = F.create_map(*[F.lit(x) for pair in scalar.SEVERITIES.items() for x in pair])[higher]
         status = F.when(set_, value).when(up, F.lit("escalated")).otherwise(a["status"])
         who = F.coalesce(e["by"], a["assignee"], F.lit("analyst"))
-        line = F.struct(e["ts"].alias("ts"), status.alias("status"), who.alias("by"), F.when(up, level).alias("level"), e["args"]["reason"].alias("reason")).cast(entry)
+        line = F.struct(e["ts"].alias("ts"), status.alias("status"), who.alias("by"), F.when(up, level).alias("level"), args["reason"].alias("reason")).cast(entry)
         return F.struct(
             status.alias("status"), F.when(e["action"] == "assign", value).otherwise(a["assignee"]).alias("assignee"), F.when(e["action"] == "note", value).otherwise(a["notes"]).alias("notes"), level.alias("level"),
-            F.when(up, F.coalesce(F.nullif(F.trim(e["args"]["to"]), F.lit("")), F.element_at(F.array(*map(F.lit, TIERS)), level))).otherwise(a["escalated_to"]).alias("escalated_to"),
+            F.when(up, F.coalesce(F.nullif(F.trim(args["to"]), F.lit("")), F.element_at(F.array(*map(F.lit, TIERS)), level))).otherwise(a["escalated_to"]).alias("escalated_to"),
             F.when(lifted, higher).otherwise(a["severity"]).alias("severity"), F.when(lifted, F.greatest(a["severity_score"], score)).otherwise(a["severity_score"]).alias("severity_score"),
             F.when(set_ | up, F.concat(a["history"], F.array(line))).otherwise(a["history"]).alias("history"),
         )
 
     both = alerts.select("id", "severity", "severity_score").join(log, "id", "left")
-    none = F.array().cast("array<struct<ts:timestamp,action:string,by:string,args:map<string,string>>>")
+    none = F.array().cast("array<struct<ts:timestamp,action:string,by:string,args:array<struct<key:string,value:string>>>>")
     return both.select("id", F.aggregate(F.coalesce("x", none), state, step).alias("s")).select("id", "s.*")
 
 

@@ -38,7 +38,7 @@ def rolling_distinct(df: DataFrame, key: str, ts: str, value: str, seconds: floa
     opens = F.lag("us").over(each).isNull() | (F.col("us") - F.lag("us").over(each) > width)
     closes = F.lead("us").over(each).isNull() | (F.lead("us").over(each) - F.col("us") > width)
     # At one time beginnings come first, then the events, then ends.
-    marks = seen.select(key, F.explode(F.filter(F.array(F.when(opens, F.struct(F.col("us").alias("at"), F.lit(0).alias("o"), F.lit(1).alias("d"))), F.when(closes, F.struct((F.col("us") + width).alias("at"), F.lit(2).alias("o"), F.lit(-1).alias("d")))), lambda x: x.isNotNull())).alias("m")).select(key, "m.*")
+    marks = seen.withColumn("__opens", opens).withColumn("__closes", closes).select(key, F.explode(F.array_compact(F.array(F.when(F.col("__opens"), F.struct(F.col("us").alias("at"), F.lit(0).alias("o"), F.lit(1).alias("d"))), F.when(F.col("__closes"), F.struct((F.col("us") + width).alias("at"), F.lit(2).alias("o"), F.lit(-1).alias("d")))))).alias("m")).select(key, "m.*")
     times = rows.select(key, F.col("us").alias("at"), F.lit(1).alias("o"), F.lit(0).alias("d")).distinct()
     running = Window.partitionBy(key).orderBy("at", "o").rowsBetween(Window.unboundedPreceding, 0)
     counted = marks.union(times).groupBy(key, "at", "o").agg(F.sum("d").alias("d")).withColumn("n", F.sum("d").over(running)).where("o = 1").select(F.col(key).alias("__k"), F.col("at").alias("__at"), F.col("n").cast("long").alias("n"))

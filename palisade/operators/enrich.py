@@ -1,6 +1,7 @@
 """Enrichment: direction, place, asset, threat list and severity, in that order; no event is ever lost by it.
 
-Lookups are worked out for distinct addresses, hosts and names, and joined back; small tables of networks and assets are broadcast by Spark
+Lookups are worked out for distinct addresses, hosts and names of the events as they came in (``base``: steps do not change those), and joined
+back, so no step is worked out again for the next one; small tables of networks and assets are broadcast by Spark
 if their size is known to be small.  Events are those of ``normalise.normalised``; each needs an ``event_id``.
 """
 
@@ -86,9 +87,9 @@ def places(ips: DataFrame, tables: Tables) -> DataFrame:
     return out.select("ip", F.when(scalar.ip_key(ip).isNotNull(), found).alias("place"))
 
 
-def located(events: DataFrame, tables: Tables) -> DataFrame:
+def located(events: DataFrame, tables: Tables, base: DataFrame | None = None) -> DataFrame:
     """Places of source and destination."""
-    ips = events.select(F.explode(F.array("source_ip", "destination_ip")).alias("ip")).where("ip is not null").distinct()
+    ips = (events if base is None else base).select(F.explode(F.array("source_ip", "destination_ip")).alias("ip")).where("ip is not null").distinct()
     found = places(ips, tables)
     for side in ("source", "destination"):
         events = events.join(found.select(F.col("ip").alias(f"{side}_ip"), F.col("place").alias("__p")), f"{side}_ip", "left")
@@ -98,9 +99,9 @@ def located(events: DataFrame, tables: Tables) -> DataFrame:
     return events
 
 
-def owned(events: DataFrame, tables: Tables) -> DataFrame:
+def owned(events: DataFrame, tables: Tables, base: DataFrame | None = None) -> DataFrame:
     """The asset by the host's short name, else by the first of its addresses that is known; zones (the first in order) name the places."""
-    columns = events.columns
+    columns, base = events.columns, events if base is None else base
     if tables.hosts is not None or tables.addresses is not None:
         short = F.lower(F.substring_index(F.col("host"), ".", 1))
         null = F.lit(None).cast("struct<role:string,owner:string,criticality:string,os:string>")
@@ -113,14 +114,14 @@ def owned(events: DataFrame, tables: Tables) -> DataFrame:
         if tables.addresses is not None:
             # Addresses are asked for distinct lists of them.
             out = out.withColumn("__ips", F.col("extra")["host.ip"])
-            lists = out.select("__ips").where("__ips is not null").distinct()
+            lists = base.select(F.col("extra")["host.ip"].alias("__ips")).where("__ips is not null").distinct()
             by = lookups.by_any_key(lists, tables.addresses, F.transform(F.split("__ips", ","), lambda x: F.trim(x)), "key", "asset", "__ips")
             out = out.join(by, "__ips", "left").withColumn("__a", F.coalesce("__a", "asset"))
         a = F.col("__a")
         given = {"host__role": a["role"], "palisade__asset__owner": a["owner"], "palisade__asset__criticality": F.when(a.isNotNull(), F.lower(F.coalesce(a["criticality"], F.lit("medium")))), "host__os__name": F.coalesce(F.col("extra")["host.os.name"], a["os"])}
         events = out.withColumn("extra", _put(F.col("extra"), **given)).select(*columns)
     if tables.zones is not None:
-        ips = events.select(F.explode(F.array("source_ip", "destination_ip")).alias("ip")).where("ip is not null").distinct()
+        ips = base.select(F.explode(F.array("source_ip", "destination_ip")).alias("ip")).where("ip is not null").distinct()
         zones = lookups.by_network(ips, tables.zones, F.col("ip"), "cidr", "zone", "ip", "ord")
         for side in ("source", "destination"):
             events = events.join(zones.select(F.col("ip").alias(f"{side}_ip"), F.col("zone").alias("__z")), f"{side}_ip", "left")
@@ -128,28 +129,27 @@ def owned(events: DataFrame, tables: Tables) -> DataFrame:
     return events.select(*columns)
 
 
-def listed(events: DataFrame, tables: Tables) -> DataFrame:
+def listed(events: DataFrame, tables: Tables, base: DataFrame | None = None) -> DataFrame:
     """The first hit of a threat list counts: addresses (an exact one before a network), then names by their suffixes, then hashes, each in the order of its fields."""
-    columns, value = events.columns, lambda n: F.col("extra")[n]
+    columns, base, value = events.columns, events if base is None else base, lambda n: F.col("extra")[n]
     asked = []
-
-    def ask(kind: str, fields: list[Column], found) -> None:
-        for i, c in enumerate(fields):
-            asked.append((kind, f"__{kind}{i}", c, found))
-
     if tables.networks is not None:
-        ask("ipv4-addr", [F.col("source_ip"), F.col("destination_ip")], lambda d, v: lookups.by_network(d, tables.networks, F.col(v), "cidr", "description", v).select(v, "description"))
+        asked.append(("ipv4-addr", [F.col("source_ip"), F.col("destination_ip")], lambda d: lookups.by_network(d, tables.networks, F.col("v"), "cidr", "description", "v")))
     if tables.domains is not None:
-        names = tables.domains.select(F.regexp_replace(F.lower("indicator"), r"\.$", "").alias("ind"), "description")
-        ask("domain-name", [value("dns.question.name"), value("destination.domain"), value("url.domain")], lambda d, v: lookups.by_suffix(d, names, v, "ind", v).join(names.groupBy("ind").agg(F.min("description").alias("description")), "ind", "left").select(v, "description"))
+        names = tables.domains.groupBy(F.regexp_replace(F.lower("indicator"), r"\.$", "").alias("ind")).agg(F.min("description").alias("description"))
+        asked.append(("domain-name", [value("dns.question.name"), value("destination.domain"), value("url.domain")], lambda d: lookups.by_suffix(d, names, "v", "ind", "v").join(names, "ind")))
     if tables.hashes is not None:
-        ask("file-hash", [value(h) for h in (HASHES[2], HASHES[0], HASHES[1], HASHES[5])], lambda d, v: lookups.by_key(d.withColumn("__l", F.lower(v)), tables.hashes.select(F.lower("indicator").alias("ind"), "description"), "__l", "ind", ["description"]).select(v, "description"))
-    for kind, column, c, found in asked:
-        events = events.withColumn(column, c)
-        distinct = events.select(column).where(F.col(column).isNotNull()).distinct()
-        answers = found(distinct, column).where("description is not null").select(F.col(column).alias("__v"), F.struct(F.lit(kind).alias("type"), F.col(column).alias("value"), "description").alias(f"{column}_hit"))
-        events = events.join(answers, events[column] == answers["__v"], "left").drop("__v")
-    hit = F.coalesce(*[F.col(f"{column}_hit") for _, column, _, _ in asked]) if asked else F.lit(None).cast("struct<type:string,value:string,description:string>")
+        asked.append(("file-hash", [value(h) for h in (HASHES[2], HASHES[0], HASHES[1], HASHES[5])], lambda d: lookups.by_key(d.withColumn("__l", F.lower("v")), tables.hashes.select(F.lower("indicator").alias("ind"), "description"), "__l", "ind", ["description"])))
+    hits = []
+    for kind, fields, found in asked:
+        # One lookup a kind: of the distinct values of all its fields.
+        distinct = base.select(F.explode(F.array_compact(F.array(*fields))).alias("v")).distinct()
+        answers = found(distinct).where("description is not null").select("v", "description")
+        for i, c in enumerate(fields):
+            name = f"__{kind}{i}"
+            hits.append(F.when(F.col(name).isNotNull(), F.struct(F.lit(kind).alias("type"), c.alias("value"), F.col(name).alias("description"))))
+            events = events.withColumn("__v", c).join(answers.select(F.col("v").alias("__v"), F.col("description").alias(name)), "__v", "left").drop("__v")
+    hit = F.coalesce(*hits) if hits else F.lit(None).cast("struct<type:string,value:string,description:string>")
     given = {"threat__indicator__matched": F.when(hit.isNotNull(), F.lit("true")), "threat__indicator__type": hit["type"], "threat__indicator__value": hit["value"], "threat__indicator__description": hit["description"]}
     out = events.withColumn("tags", scalar.with_tag(F.col("tags"), "threat-intel-match", hit.isNotNull()))
     return out.withColumn("extra", _put(F.col("extra"), **given)).select(*columns)
@@ -165,8 +165,8 @@ def scored(events: DataFrame) -> DataFrame:
 
 def enriched(events: DataFrame, tables: Tables) -> DataFrame:
     columns = events.columns
-    out = directed(events, tables.lab)
-    return scored(listed(owned(located(out, tables), tables), tables)).select(*columns, "severity_score")
+    out = located(directed(events, tables.lab), tables, events)
+    return scored(listed(owned(out, tables, events), tables, events)).select(*columns, "severity_score")
 
 
 def inventory(spark: SparkSession, path: str) -> Tables:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import domain_suffixes, ip_key, network_keys
+from ..functions.scalar import domain_suffixes, ip_key, let, network_keys
 
 
 def by_key(df: DataFrame, table: DataFrame, left: str, right: str, columns: list[str]) -> DataFrame:
@@ -61,8 +61,8 @@ def by_network(df: DataFrame, networks: DataFrame, ip: Column, cidr: str, value:
 
 def asks_for(address: Column, lengths: list[str]) -> Column:
     """What an address asks for: each prefix length of its own version, with the first key of its network of that length."""
-    asks = [F.struct(F.lit(w).alias("__w"), F.when(ip_key(address).startswith(w[0]), network_keys(F.concat(address, F.lit(f"/{int(w[1:])}")))["lo"]).alias("__lo")) for w in lengths]
-    return F.array(*asks) if asks else F.array().cast("array<struct<__w:string,__lo:string>>")
+    own = lambda x: F.filter(F.array(*map(F.lit, lengths)).cast("array<string>"), lambda w: w.startswith(F.substring(ip_key(x), 1, 1)))
+    return let(address, lambda x: F.transform(own(x), lambda w: F.struct(w.alias("__w"), network_keys(F.concat(x, F.lit("/"), F.substring(w, 2, 3).cast("int").cast("string")))["lo"].alias("__lo"))))
 
 
 def as_of(df: DataFrame, starts: DataFrame, value: str, lo: str, hi: str, name: str, row_id: str, key: str | None = None) -> DataFrame:

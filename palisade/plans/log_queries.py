@@ -28,8 +28,9 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _parsed(events: DataFrame, line: Column, first: str) -> DataFrame:
-    """The event's id, and the columns that the parser finds in a line made of the event."""
-    return parsers.parse(events.select("event_id", line.alias("raw")), "raw", 2024, first)
+    """The event's id, and the columns that the parsers of a dataset's lines find in a line made of the event."""
+    chain = {"web-error": ("web-error", "apache-error"), "dhcp": ("dhcp", "firewall"), "json": ("json", "syslog")}.get(first, (first,))
+    return parsers.parse(events.select("event_id", line.alias("raw")), "raw", 2024, first, chain=(*chain, "generic"))
 
 
 def _user(prefix: str = "u") -> Column:
@@ -89,7 +90,7 @@ def parse_web_errors(s: SparkSession, d: str) -> DataFrame:
 
 
 @_add("parse_audit", """
-SELECT event_id, CASE WHEN event_type = 'view' THEN 'process-executed' WHEN event_type = 'error' THEN 'logon-failed' ELSE 'logon-success' END AS action, CASE WHEN event_type <> 'view' THEN 'u ' || user_id END AS "user", epoch_ms(ts) AS ms,
+SELECT event_id, CASE WHEN event_type = 'view' THEN 'process-executed' WHEN event_type = 'error' THEN 'logon-failed' ELSE 'logon-success' END AS action, CASE WHEN event_type <> 'view' THEN 'u ' || user_id END AS "user", (epoch_us(ts) // 1000) AS ms,
   CASE event_type WHEN 'view' THEN 'ls -l ' || user_id END AS command, CASE event_type WHEN 'view' THEN 'unknown' WHEN 'error' THEN 'failure' ELSE 'success' END AS outcome FROM events""")
 def parse_audit(s: SparkSession, d: str) -> DataFrame:
     ms = F.floor(F.unix_micros("ts") / 1000)

@@ -172,8 +172,8 @@ WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) AS us, event_type AS v, row_nu
 r AS (
   SELECT user_id, 0::BIGINT AS rn, MAP([]::VARCHAR[], []::BIGINT[]) AS seen, NULL::BIGINT AS last, false AS hit, false AS fired FROM e GROUP BY user_id
   UNION ALL
-  SELECT user_id, rn, CASE WHEN full THEN MAP([]::VARCHAR[], []::BIGINT[]) ELSE m END, CASE WHEN full AND (last IS NULL OR us - last >= 86400000000) THEN us ELSE last END, full, full AND (last IS NULL OR us - last >= 86400000000)
-  FROM (SELECT *, cardinality(m) >= 4 AS full FROM (
+  SELECT user_id, rn, CASE WHEN done THEN MAP([]::VARCHAR[], []::BIGINT[]) ELSE m END, CASE WHEN done AND (last IS NULL OR us - last >= 86400000000) THEN us ELSE last END, done, done AND (last IS NULL OR us - last >= 86400000000)
+  FROM (SELECT *, cardinality(m) >= 4 AS done FROM (
     SELECT e.user_id, e.rn, e.us, r.last, map_from_entries(list_append(list_filter(map_entries(r.seen), lambda x: x.key <> e.v AND x.value >= e.us - 172800000000), {'key': e.v, 'value': e.us})) AS m
     FROM r JOIN e ON e.user_id = r.user_id AND e.rn = r.rn + 1)))
 SELECT user_id, rn, fired FROM r WHERE hit""")

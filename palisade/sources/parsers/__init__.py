@@ -14,17 +14,18 @@ from . import audit, other, syslog, web, windows
 from .base import FIELDS, Clock, Parser
 
 #: In the order in which they are tried.
-PARSERS: dict[str, Parser] = {p.name: p for p in (windows.XML, other.JSON, audit.AUDIT, web.ERROR, web.APACHE_ERROR, web.ACCESS, windows.DHCP, windows.FIREWALL, syslog.SYSLOG, other.GENERIC)}
+PARSERS: dict[str, Parser] = {p.name: p for p in (windows.XML, syslog.SYSLOG, other.JSON, audit.AUDIT, web.ERROR, web.APACHE_ERROR, web.ACCESS, windows.DHCP, windows.FIREWALL, other.GENERIC)}
 #: The parser that a dataset hint asks for first.
-BY_DATASET = {"linux.auth": "syslog", "linux.firewall": "syslog", "linux.fail2ban": "syslog", "syslog": "syslog", "nginx.access": "web", "apache.access": "web", "nginx.error": "web-error", "apache.error": "apache-error", "linux.auditd": "auditd", "windows.dhcp": "dhcp", "windows.firewall_log": "firewall", "linux.journald": "json"}
+BY_DATASET = {"linux.auth": "syslog", "linux.firewall": "syslog", "linux.fail2ban": "syslog", "syslog": "syslog", "nginx.access": "web", "apache.access": "web", "nginx.error": "web-error", "apache.error": "apache-error", "linux.auditd": "auditd", "windows.dhcp": "dhcp", "windows.firewall_log": "firewall", "linux.journald": "syslog"}
 
 
-def parse(lines: DataFrame, text: str, year: int, first: str | None = None, now: Column | None = None) -> DataFrame:
-    """lines with the columns of FIELDS.  ``first``: a parser or a dataset; ``now``: the clock for times without a year (else ``year``)."""
+def parse(lines: DataFrame, text: str, year: int, first: str | None = None, now: Column | None = None, chain: tuple[str, ...] = ()) -> DataFrame:
+    """lines with the columns of FIELDS.  ``first``: a parser or a dataset; ``now``: the clock for times without a year (else ``year``); ``chain``: the
+    parsers to try, all if empty: where lines are kept by dataset, a short chain makes a small plan."""
     first = BY_DATASET.get(first, first)
-    order = sorted(PARSERS.values(), key=lambda p: p.name != first)
+    order = sorted([p for p in PARSERS.values() if not chain or p.name in chain], key=lambda p: p.name != first)
     clock, raw = Clock(year, now), F.col("__raw")
-    rows = lines.where(F.trim(F.col(text)) != "").withColumn("__raw", F.col(text).cast("string"))
+    rows = lines.where(F.col(text).rlike(r"\S")).withColumn("__raw", F.col(text).cast("string"))
     fits = [p.sniff(raw) for p in order]
     which = F.coalesce(*[F.when(c, F.lit(i)) for i, c in enumerate(fits)])
     rows = rows.withColumn("__which", which)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -75,14 +76,15 @@ def group_of(text: Column, which: Column, patterns: list[str], groups: list[int
 
 def chosen(which: Column, values: list[str | None]) -> Column:
     """The value at a number from 0 on."""
-    return F.get(F.array(*[F.lit(v).cast("string") for v in values]), which)
+    return F.get(F.from_json(F.lit(json.dumps(values)), "array<string>"), which)
 
 
 def lookup(key: Column, table: dict[str, str]) -> Column:
-    return F.create_map(*[F.lit(x) for pair in table.items() for x in pair])[key]
+    """The table's text for a key.  The table is one literal, which Spark folds to a map when it plans."""
+    return F.from_json(F.lit(json.dumps(table)), "map<string,string>")[key]
 
 
 def extras(**given: Column) -> Column:
-    """map of what is not null; ``__`` in a name stands for a dot."""
-    entries = [F.when(c.isNotNull() & (c.cast("string") != ""), F.struct(F.lit(k.replace("__", ".")).alias("key"), c.cast("string").alias("value"))) for k, c in given.items()]
-    return F.map_from_entries(F.array_compact(F.array(*entries)))
+    """map of what is neither null nor empty; ``__`` in a name stands for a dot."""
+    names = F.from_json(F.lit(json.dumps([k.replace("__", ".") for k in given])), "array<string>")
+    return F.map_filter(F.map_from_arrays(names, F.array(*[c.cast("string") for c in given.values()])), lambda _, v: v != "")

@@ -1,4 +1,4 @@
-"""JSON lines (journald, records of Windows shippers, ECS documents), and whatever is left."""
+"""JSON lines that are documents of the event schema, and whatever is left."""
 
 from __future__ import annotations
 
@@ -6,63 +6,29 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ...functions.scalar import key_values, to_int
-from . import syslog, windows
-from .base import Parser, extras, lookup
+from .base import Parser, extras
+from .windows import flattened
 
-# journald's priorities.
-PRIORITIES = {"0": "critical", "1": "critical", "2": "critical", "3": "error", "4": "warning", "5": "info", "6": "info", "7": "debug"}
 
-
-def flattened(text: Column, depth: int = 4) -> Column:
-    """map of dotted name -> value of a JSON object; objects inside are opened to ``depth`` names, lists and what lies deeper stay JSON text."""
-    out = F.from_json(text, "map<string,string>")
-    for _ in range(depth - 1):
-        inner = lambda v: F.when(v.rlike(r"^\s*\{"), F.from_json(v, "map<string,string>"))
-        opened = F.flatten(F.transform(F.map_entries(out), lambda e: F.coalesce(F.transform(F.map_entries(inner(e["value"])), lambda x: F.struct(F.concat_ws(".", e["key"], x["key"]).alias("key"), x["value"].alias("value"))), F.array(F.struct(e["key"].alias("key"), e["value"].alias("value"))))))
-        out = windows._as_map(opened)
-    return out
-
-
-def _json(line: Column, clock, doc: Column, journal: Column, program: Column, message: Column, kv: Column, which: Column) -> dict[str, Column]:
-    found = syslog.meaning(program, message, which, kv)
+def _json(line: Column, clock, doc: Column) -> dict[str, Column]:
     dotted = lambda *names: F.coalesce(*[F.nullif(doc[n], F.lit("")) for n in names])
-    logged = F.array(*[dotted(n) for n in ("winlog.provider_name", "winlog.event_id", "winlog.level", "@timestamp", "winlog.record_id", "winlog.channel", "winlog.computer_name")])
-    data = F.transform_keys(F.map_filter(doc, lambda k, _: k.startswith("winlog.event_data.")), lambda k, _: F.substring(k, len("winlog.event_data.") + 1, 1 << 20))
-    win, is_win = windows.winlog(logged, data), doc["winlog.event_id"].isNotNull() | doc["winlog.channel"].isNotNull()
-    micros = dotted("__REALTIME_TIMESTAMP", "_SOURCE_REALTIME_TIMESTAMP").try_cast("long")
-    own = {
-        "dataset": F.coalesce(dotted("event.dataset"), F.lit("json")), "host": dotted("host.name"), "program": dotted("process.name"), "pid": to_int(dotted("process.pid")), "code": dotted("event.code"), "category": dotted("event.category"), "type": dotted("event.type"), "action": dotted("event.action"),
-        "outcome": F.coalesce(dotted("event.outcome"), F.lit("unknown")), "severity": dotted("event.severity"), "user": dotted("user.name"), "domain": dotted("user.domain"), "target_user": dotted("user.target.name"), "source_ip": dotted("source.ip"), "source_port": to_int(dotted("source.port")), "destination_ip": dotted("destination.ip"),
-        "destination_port": to_int(dotted("destination.port")), "message": F.coalesce(dotted("message", "msg"), F.substring(line, 1, 1000)), "tags": F.coalesce(F.from_json(doc["tags"], "array<string>"), F.when(doc["tags"].isNotNull(), F.array(doc["tags"]))), "extra": doc,
-    }
-    logs = extras(log__level=F.coalesce(lookup(doc["PRIORITY"], PRIORITIES), F.lit("info")), process__executable=doc["_EXE"], user__id=doc["_UID"], host__os__type=F.lit("linux"))
-    journald = found | {
-        "dataset": F.when(found["dataset"] == "syslog", F.lit("linux.journald")).otherwise(found["dataset"]), "host": F.substring_index(doc["_HOSTNAME"], ".", 1), "program": program, "pid": to_int(doc["_PID"]), "message": message,
-        "extra": F.map_concat(logs, F.map_filter(found["extra"], lambda k, _: ~k.isin("log.level", "process.executable", "user.id", "host.os.type"))),
+    return {
+        "ts": clock.time(dotted("@timestamp", "timestamp", "time")), "dataset": F.coalesce(dotted("event.dataset"), F.lit("json")), "host": dotted("host.name"), "program": dotted("process.name"), "pid": to_int(dotted("process.pid")), "code": dotted("event.code"), "category": dotted("event.category"), "type": dotted("event.type"),
+        "action": dotted("event.action"), "outcome": F.coalesce(dotted("event.outcome"), F.lit("unknown")), "severity": dotted("event.severity"), "user": dotted("user.name"), "domain": dotted("user.domain"), "target_user": dotted("user.target.name"), "source_ip": dotted("source.ip"), "source_port": to_int(dotted("source.port")),
+        "destination_ip": dotted("destination.ip"), "destination_port": to_int(dotted("destination.port")), "message": F.coalesce(dotted("message", "msg"), F.substring(line, 1, 1000)), "tags": F.coalesce(F.from_json(doc["tags"], "array<string>"), F.when(doc["tags"].isNotNull(), F.array(doc["tags"]))), "extra": doc,
     }
-    time = F.coalesce(F.when(journal, F.timestamp_micros(micros)), clock.time(dotted("@timestamp", "timestamp", "time")))
-    none = F.lit(None)
-    return {"ts": time} | {k: F.when(journal, journald.get(k, none)).when(is_win, win.get(k, none)).otherwise(own.get(k, none)) for k in own}
 
 
-JSON = Parser(
-    "json", lambda line: line.rlike(r"^\s*\{") & F.from_json(line, "map<string,string>").isNotNull(), flattened, _json,
-    [
-        lambda doc: F.coalesce(doc["MESSAGE"].isNotNull() & F.coalesce(doc["_HOSTNAME"], doc["__REALTIME_TIMESTAMP"], doc["SYSLOG_IDENTIFIER"]).isNotNull(), F.lit(False)),
-        lambda doc, journal: F.when(journal, F.lower(F.coalesce(doc["SYSLOG_IDENTIFIER"], doc["_COMM"]))),
-        lambda doc, journal, _: F.when(journal, doc["MESSAGE"]),
-        lambda doc, journal, _, message: syslog._firewall(message),
-        lambda doc, journal, program, message, _: syslog.which_message(program, message),
-    ],
-)
+#: Records of a journal or of Windows are other parsers'.
+JSON = Parser("json", lambda line: line.rlike(r"^\s*\{") & ~line.rlike(r'"MESSAGE"\s*:|"winlog(?:\.event_id|\.channel|"\s*:)') & F.from_json(line, "map<string,string>").isNotNull(), flattened, _json)
 
 
 def _generic(line: Column, clock, kv: Column) -> dict[str, Column]:
-    level = F.nullif(F.lower(F.regexp_extract(line, r"(?i)\b(debug|info|notice|warn(?:ing)?|error|critical|fatal)\b", 1)), F.lit(""))
+    level = F.lower(F.regexp_extract(line, r"(?i)\b(debug|info|notice|warn(?:ing)?|error|critical|fatal)\b", 1))
     ips = F.regexp_extract_all(line, F.lit(r"\b(\d{1,3}(?:\.\d{1,3}){3})\b"), F.lit(1))
     return {
         "dataset": F.lit("generic"), "ts": clock.time(F.regexp_extract(line, r"(\d{4}-\d\d-\d\d[T ]\d\d:\d\d:\d\d\S*)", 1)), "category": F.lit("host"), "type": F.lit("info"), "action": F.lit("generic-message"), "source_ip": F.get(ips, F.lit(0)), "destination_ip": F.get(ips, F.lit(1)),
-        "extra": F.map_concat(F.map_filter(kv, lambda k, _: ~k.isin("log.level", "related.ip")), extras(log__level=level, related__ip=F.when(F.size(ips) > 0, F.array_join(F.array_distinct(ips), ",")))),
+        "extra": F.map_concat(F.map_filter(kv, lambda k, _: ~k.isin("log.level", "related.ip")), extras(log__level=level, related__ip=F.array_join(F.array_distinct(ips), ","))),
     }
 
 

@@ -80,11 +80,19 @@ DATASETS = {"cron": "linux.cron", "crond": "linux.cron", "systemd": "linux.syste
 _PATTERNS = [m.pattern for m in MESSAGES]
 
 
+# journald's priorities as levels are syslog's severities.
+_JOURNAL = r'^\s*\{(?s:.*)"MESSAGE"\s*:'
+
+
 def _head(line: Column) -> Column:
-    """pri, time, host, program, pid, message, msgid."""
+    """pri, time, host, program, pid, message, msgid; of a journal's record (JSON) the same from its fields."""
     new, old = parts(line, _NEW, 7), parts(line, _OLD, 6)
     order = (0, 1, 2, 3, 4, 6, 5)
-    return F.when(line.rlike(r"^<\d{1,3}>1 "), F.transform(F.array(*[F.get(new, F.lit(i)) for i in order]), lambda x: F.when(x != "-", x))).otherwise(F.concat(old, F.array(F.lit(""))))
+    doc = F.from_json(line, "map<string,string>")
+    micros = F.coalesce(doc["__REALTIME_TIMESTAMP"], doc["_SOURCE_REALTIME_TIMESTAMP"])
+    journal = F.array(doc["PRIORITY"], F.concat(F.substring(micros, 1, 10), F.lit("."), F.substring(micros, 11, 6)), doc["_HOSTNAME"], F.coalesce(doc["SYSLOG_IDENTIFIER"], doc["_COMM"]), doc["_PID"], doc["MESSAGE"], F.lit(None).cast("string"), doc["_EXE"])
+    lines = F.when(line.rlike(r"^<\d{1,3}>1 "), F.transform(F.array(*[F.get(new, F.lit(i)) for i in order]), lambda x: F.when(x != "-", x))).otherwise(F.concat(old, F.array(F.lit(""))))
+    return F.when(line.rlike(r"^\s*\{"), journal).otherwise(lines)
 
 
 def which_message(program: Column, message: Column) -> Column:
@@ -133,8 +141,10 @@ def _body(line: Column, clock, head: Column, kv: Column, which: Column) -> dict[
     program, message = F.lower(at(head, 3)), at(head, 5)
     found = meaning(program, message, which, kv)
     pri = priority(at(head, 0))
-    found["extra"] = F.map_concat(found["extra"], extras(log__syslog__facility__name=pri["facility"], log__syslog__severity__name=pri["severity"], log__level=pri["level"], log__syslog__msgid=at(head, 6), log__syslog__hostname=at(head, 2), host__os__type=F.lit("linux")))
+    journal = F.size(head) > 7
+    found["dataset"] = F.when(journal & (found["dataset"] == "syslog"), F.lit("linux.journald")).otherwise(found["dataset"])
+    found["extra"] = F.map_concat(found["extra"], extras(process__executable=at(head, 7), log__syslog__facility__name=pri["facility"], log__syslog__severity__name=pri["severity"], log__level=pri["level"], log__syslog__msgid=at(head, 6), log__syslog__hostname=at(head, 2), host__os__type=F.lit("linux")))
     return {"ts": clock.time(at(head, 1)), "host": at(head, 2), "program": program, "pid": to_int(at(head, 4)), "message": F.coalesce(message, F.lit(""))} | found
 
 
-SYSLOG = Parser("syslog", lambda line: line.rlike(rf"^(?:<\d{{1,3}}>)?(?:1 +\S+ +\S+ +\S+ +\S+ +\S+ +[-\[]|(?:{_TIME}) +[^\s:]+ +[^\s:\[]+(?:\[|:| ))"), _head, _body, [lambda h: _firewall(at(h, 5)), lambda h, _: which_message(F.lower(at(h, 3)), at(h, 5))])
+SYSLOG = Parser("syslog", lambda line: line.rlike(rf"{_JOURNAL}|^(?:<\d{{1,3}}>)?(?:1 +\S+ +\S+ +\S+ +\S+ +\S+ +[-\[]|(?:{_TIME}) +[^\s:]+ +[^\s:\[]+(?:\[|:| ))"), _head, _body, [lambda h: _firewall(at(h, 5)), lambda h, _: which_message(F.lower(at(h, 3)), at(h, 5))])

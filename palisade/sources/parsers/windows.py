@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ...functions.scalar import _as_map, basename, cleaned, hashes, mac, to_int
+from ...functions.scalar import EMPTY, _as_map, basename, cleaned, hashes, let, mac, to_int
 from .base import Parser, at, extras, lookup
 
 # Channels and the datasets of their events.
@@ -158,8 +158,9 @@ def winlog(h: Column, data: Column) -> dict[str, Column]:
     provider, code = at(h, 0), at(h, 1)
     dataset = dataset_of(at(h, 5), provider)
     key = F.concat_ws(" ", dataset, code)
-    known = lambda i: lookup(key, {k: v[i] for k, v in _KNOWN.items()})
-    value = lambda *names: F.coalesce(*[cleaned(data[n]) for n in names])
+    found = F.split(lookup(key, {k: " ".join(v) for k, v in _KNOWN.items()}), " ")
+    known = lambda i: F.get(found, F.lit(i))
+    value = lambda *names: F.coalesce(*[data[n] for n in names])
     action = F.coalesce(known(2), F.concat(F.replace(dataset, F.lit("windows."), F.lit("")), F.lit("-"), code), F.lit("event"))
     status = F.lower(value("SubStatus", "Status"))
     bad = code.isin("4625", "4771", "5152", "5157") | (code.isin("4768", "4769", "4776") & (F.coalesce(status, F.lit("0x0")) != "0x0"))
@@ -207,11 +208,35 @@ def winlog(h: Column, data: Column) -> dict[str, Column]:
     }
 
 
-def _xml(line: Column, clock, h: Column, data: Column) -> dict[str, Column]:
-    return {"ts": clock.time(F.coalesce(F.when(at(h, 5).contains("Sysmon"), cleaned(data["UtcTime"])), at(h, 3)))} | winlog(h, data)
+def _told(data: Column) -> Column:
+    """The data without what stands for no value."""
+    return F.map_filter(F.transform_values(data, lambda _, v: F.trim(v)), lambda _, v: ~v.isin(*EMPTY))
 
 
-XML = Parser("windows", lambda line: line.rlike(r"^\s*(?:<\?xml[^>]*>\s*)?<Event\b"), _system, _xml, [lambda _: _data(F.col("__raw"))])
+def flattened(text: Column, depth: int = 3) -> Column:
+    """map of dotted name -> value of a JSON object; objects inside are opened to ``depth`` names, lists and what lies deeper stay JSON text."""
+    out = F.map_entries(F.from_json(text, "map<string,string>"))
+    for _ in range(depth - 1):
+        inner = lambda e: F.transform(F.map_entries(F.when(e["value"].rlike(r"^\s*\{"), F.from_json(e["value"], "map<string,string>"))), lambda x: F.struct(F.concat_ws(".", e["key"], x["key"]).alias("key"), x["value"].alias("value")))
+        out = F.flatten(F.transform(out, lambda e: F.coalesce(inner(e), F.array(F.struct(e["key"].alias("key"), e["value"].alias("value"))))))
+    return _as_map(out)
+
+
+def _record(line: Column) -> Column:
+    """struct(h, data): of the XML, or of a shipper's JSON record of the same event."""
+    names = ("winlog.provider_name", "winlog.event_id", "winlog.level", "@timestamp", "winlog.record_id", "winlog.channel", "winlog.computer_name")
+    plain = F.struct(_system(line).alias("h"), _told(_data(line)).alias("data"))
+    prefix = "winlog.event_data."
+    given = let(flattened(line), lambda doc: F.struct(F.transform(F.array(*map(F.lit, names)), lambda n: doc[n]).alias("h"), _told(F.transform_keys(F.map_filter(doc, lambda k, _: k.startswith(prefix)), lambda k, _: F.substring(k, len(prefix) + 1, 1 << 20))).alias("data")))
+    return F.when(line.rlike(r"^\s*<"), plain).otherwise(given)
+
+
+def _event(line: Column, clock, record: Column) -> dict[str, Column]:
+    h, data = record["h"], record["data"]
+    return {"ts": clock.time(F.coalesce(F.when(at(h, 5).contains("Sysmon"), data["UtcTime"]), at(h, 3)))} | winlog(h, data)
+
+
+XML = Parser("windows", lambda line: line.rlike(r"^\s*(?:<\?xml[^>]*>\s*)?<Event\b|^\s*\{(?s:.*)\"winlog(?:\.event_id|\.channel|\"\s*:)"), _record, _event)
 
 # Event ids of the DHCP server's log, each with category, type and what happened.
 DHCP_EVENTS = """
@@ -255,7 +280,8 @@ _DHCP = {code: tuple(rest) for codes, *rest in map(str.split, DHCP_EVENTS.strip(
 
 def _dhcp(line: Column, clock, h: Column) -> dict[str, Column]:
     code = F.lpad(at(h, 0), 2, "0")
-    known = lambda i, other: F.coalesce(lookup(code, {k: v[i] for k, v in _DHCP.items()}), other)
+    found = F.split(lookup(code, {k: " ".join(v) for k, v in _DHCP.items()}), " ")
+    known = lambda i, other: F.coalesce(F.get(found, F.lit(i)), other)
     kind = known(1, F.lit("info"))
     return {
         "dataset": F.lit("windows.dhcp"), "ts": clock.time(F.concat_ws(" ", at(h, 1), at(h, 2))), "host": cleaned(F.lower(at(h, 5))), "code": code, "category": known(0, F.lit("network")), "type": kind, "action": F.concat(F.lit("dhcp-"), known(2, code)), "outcome": F.when(kind.isin("denied", "error"), "failure").otherwise("success"),

@@ -11,7 +11,7 @@ from ..functions.scalar import ip_key, network_keys
 
 def envelopes(spark: SparkSession, path: str, dataset: str | None = None) -> DataFrame:
     """(raw, dataset, path): a JSON line with ``raw`` is an envelope, any other line is raw itself; blank lines are skipped."""
-    lines = spark.read.text(path).where(F.trim("value") != "")
+    lines = spark.read.text(path).where(F.col("value").rlike(r"\S"))
     raw = F.get_json_object("value", "$.raw")
     hint = F.lit(dataset) if dataset else F.get_json_object("value", "$.dataset")
     return lines.select(F.coalesce(raw, "value").alias("raw"), hint.alias("dataset"), F.input_file_name().alias("path"))
@@ -19,7 +19,7 @@ def envelopes(spark: SparkSession, path: str, dataset: str | None = None) -> Dat
 
 def stream(spark: SparkSession, path: str, dataset: str | None = None, files_per_trigger: int = 1000) -> DataFrame:
     """(raw, dataset, path) of lines as files land below a path (a glob, too); the checkpoint remembers what was read, and a batch takes so many files at most."""
-    lines = spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(path).where(F.trim("value") != "")
+    lines = spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(path).where(F.col("value").rlike(r"\S"))
     hint = F.lit(dataset) if dataset else F.get_json_object("value", "$.dataset")
     return lines.select(F.coalesce(F.get_json_object("value", "$.raw"), "value").alias("raw"), hint.alias("dataset"), F.input_file_name().alias("path"))
 
