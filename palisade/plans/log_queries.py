@@ -359,3 +359,20 @@ def scalar_text(s: SparkSession, d: str) -> DataFrame:
         "p_partkey", scalar.basename(path).alias("base"), scalar.directory(path).alias("folder"), scalar.extension(path).alias("ext"), scalar.to_int(F.concat(F.lit("0x"), F.hex("p_size"))).cast(part.schema["p_size"].dataType).alias("hexed"), scalar.mac(F.lit("AB-CD-EF-01-23-45")).alias("mac"),
         F.size(scalar.ordered_distinct(F.array("p_type", "p_brand"), F.array("p_type"))).isNotNull().alias("ok"), scalar.priority(F.when(F.col("p_size") % 2 == 0, "137").otherwise("3"))["facility"].alias("facility"),
     )
+
+
+_PACK = [
+    {"id": "p1", "title": "failed logon from the lab", "detection": {"a": {"action": "logon-failed"}, "b": {"source_ip|cidr": "10.0.0.0/26"}, "condition": "a and b"}},
+    {"id": "p2", "title": "worth a look", "detection": {"a": {"severity_score|gte": 30, "host": "web1"}}},
+    {"id": "p3", "title": "odd users", "detection": {"a": {"user|re": "^u[0-9]*7$"}, "quiet": {"action|contains": "fail"}, "condition": "a and not quiet"}},
+]
+
+
+@_add("log_pipeline", """
+SELECT event_id, CASE WHEN event_type = 'error' THEN 30 ELSE 10 END AS score,
+  concat_ws(',', CASE WHEN event_type = 'error' AND user_id < 64 THEN 'p1' END, CASE WHEN event_type = 'error' THEN 'p2' END, CASE WHEN user_id % 10 = 7 AND event_type <> 'error' THEN 'p3' END) AS rules FROM events""")
+def log_pipeline(s: SparkSession, d: str) -> DataFrame:
+    """Lines to matched rules: parse, normalise, direction and severity, match; one pass over the lines, without a shuffle."""
+    line = F.concat(F.lit("Jan  5 10:00:00 web1 sshd[7]: "), F.when(_BAD(), "Failed").otherwise("Accepted"), F.lit(" password for "), _user(), F.lit(" from "), _ip(), F.lit(" port 22 ssh2"))
+    rows = enrich.scored(enrich.directed(normalise.normalised(_parsed(_events(s, d), line, "syslog")), _LAB[:1]))
+    return rules.matches(map(rules.from_dict, _PACK), rows, nested(rows.columns)).select("event_id", F.col("severity_score").alias("score"), F.array_join("rules", ",").alias("rules"))
