@@ -15,6 +15,7 @@ table.  Extra columns pass through ``encode``; the new columns must not be among
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import mmap
 import re
@@ -32,6 +33,8 @@ from pyspark.sql import functions as F
 from . import common
 
 _SPACES = re.compile(r"[\t-\r \x85\xa0  -     　]+")
+#: Characters of a word in the lexicon; a longer one is merged where it stands.
+LONGEST = 200
 _NOT_SPACE = re.compile("[\x1c-\x1f]")  # str.split() would split there
 
 
@@ -80,6 +83,8 @@ class Bpe:
         ids = [self.first[b] for b in raw[:-1]]
         ids.append(self.last[raw[-1]])
         rank = self.rank
+        if len(ids) > 48:
+            return self.merge_long(ids)
         while len(ids) > 1:
             at, best = -1, None
             for i in range(len(ids) - 1):
@@ -91,6 +96,27 @@ class Bpe:
             ids[at : at + 2] = [best[1]]
         return ids
 
+    def merge_long(self, ids: list[int]) -> list[int]:
+        """The same merges in n log n: pairs wait in a heap by rank and place, symbols are a list linked both ways."""
+        rank, n = self.rank, len(ids)
+        before, after = list(range(-1, n - 1)), [*range(1, n), -1]
+        heap = [(r[0], i, ids[i], ids[i + 1], r[1]) for i in range(n - 1) if (r := rank.get((ids[i], ids[i + 1])))]
+        heapq.heapify(heap)
+        while heap:
+            _, i, x, y, new = heapq.heappop(heap)
+            j = after[i]
+            if ids[i] != x or j < 0 or ids[j] != y:
+                continue  # one of the two has been merged since
+            ids[i], ids[j] = new, -1
+            after[i] = k = after[j]
+            if k >= 0:
+                before[k] = i
+                if r := rank.get((new, ids[k])):
+                    heapq.heappush(heap, (r[0], i, new, ids[k], r[1]))
+            if (h := before[i]) >= 0 and (r := rank.get((ids[h], new))):
+                heapq.heappush(heap, (r[0], h, ids[h], new, r[1]))
+        return [x for x in ids if x >= 0]
+
 
 def compile_lexicon(entries: dict[str, list[int]]) -> bytes:
     """The automaton of the words: built in word order with a register of states, so that equal right sides are one state.
@@ -199,7 +225,7 @@ class Encoder:
     """Whole texts to ids.  A worker remembers the results for chunks between white space: those of late in ``seen``, and the ones before
     in ``older``, each up to a bound on memory."""
 
-    REMEMBERED = 150_000
+    REMEMBERED = 80_000
 
     def __init__(self, bpe: Bpe, lexicon: Lexicon):
         self.bpe, self.lexicon, self.seen, self.older = bpe, lexicon, {}, {}
@@ -241,7 +267,8 @@ def word_counts(docs: DataFrame, spec: str) -> DataFrame:
             words = Counter()
             for chunk, n in seen.items():
                 for w in bpe.words(chunk):
-                    words[w] += n
+                    if len(w) <= LONGEST:
+                        words[w] += n
             seen.clear()
             keys = list(words)
             for i in range(0, len(keys), 50_000):
@@ -253,20 +280,36 @@ def word_counts(docs: DataFrame, spec: str) -> DataFrame:
                 for piece in bpe.cut.split(t) if "<" in t else [t]:
                     if piece not in bpe.special:
                         seen.update(bpe.chunks(piece))
-            if len(seen) > 250_000:
+            if len(seen) > 150_000:
                 yield from flush()
         yield from flush()
+        common.released()
 
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(common.BATCH_ROWS))
     return docs.select(F.col("text").cast("string")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def most_frequent(counts: DataFrame, most: int) -> DataFrame:
+    """Those rows of (word, n) with the greatest n, as whole classes of about equal n, that are ``most`` at most: a histogram of a few hundred
+    classes tells where to stop, so no partition sends more than it has of them."""
+    kind = F.floor(F.log2("n") * 16).cast("int")
+    seen, least = 0, None
+    for k, n in sorted(map(tuple, counts.groupBy(kind.alias("k")).count().collect()), reverse=True):
+        seen += n
+        if seen > most:
+            break
+        least = k
+    return counts.where(kind >= least) if least is not None else counts.limit(0)
+
+
 def build(docs: DataFrame, tokenizer_path: str, lexicon_words: int = 40_000) -> tuple[str, bytes]:
-    """The tokenizer's specification and the compiled lexicon of the ``lexicon_words`` most frequent words (that number bounds what reaches the driver)."""
+    """The tokenizer's specification and the compiled lexicon of the most frequent words, at most ``lexicon_words`` (that number bounds what reaches the driver)."""
     with open(tokenizer_path, encoding="utf-8") as f:
         spec = f.read()
     bpe = Bpe(spec)
-    top = word_counts(docs, spec).orderBy(F.desc("n"), "word").limit(lexicon_words).collect()
+    counts = common.stored(word_counts(docs, spec), "words")
+    top = most_frequent(counts, lexicon_words).collect()
+    common.unstore(counts)
     return spec, compile_lexicon({r["word"]: bpe.merge(r["word"]) for r in top})
 
 
