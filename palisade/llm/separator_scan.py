@@ -6,7 +6,7 @@ may begin in one block and end in a later one, even with whole blocks between: b
 since the last one), which combine associatively, so a prefix scan over the blocks stitches the pieces, first within
 runs of blocks, then over the runs' totals, and no task ever holds a file.
 
-Cases: two separators in a row are an empty document; tokens after a file's last separator are a document with ended = false.  A null text
+Cases: a block whose length is no multiple of the token width, or an id beyond the width, is an error; two separators in a row are an empty document; tokens after a file's last separator are a document with ended = false.  A null text
 is tokenized as an empty one.  Rows with equal or null ids count one by one.  No blocks give no rows.  Extra columns are left aside.
 """
 
@@ -16,6 +16,7 @@ import base64
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -24,6 +25,8 @@ from . import common
 
 #: Blocks that a first-level scan goes over.
 RUN = 1024
+#: Blocks of a flat file that a task reads one after the other.
+RANGE_BLOCKS = 256
 
 
 def tokenized(docs: DataFrame, ranks_path: str, pattern: str, eod: int, block_tokens: int = 1 << 18) -> DataFrame:
@@ -49,7 +52,10 @@ def tokenized(docs: DataFrame, ranks_path: str, pattern: str, eod: int, block_to
             done += len(ids)
             pieces = [rest]
             for t in common.texts(batch):
-                pieces += [np.asarray(enc.encode_to_numpy(t, disallowed_special=()), np.uint16), end]
+                tokens = enc.encode_to_numpy(t, disallowed_special=())
+                if len(tokens) and tokens.max() > 0xFFFF:
+                    raise ValueError(f"token {tokens.max()} does not fit into two bytes")
+                pieces += [tokens.astype(np.uint16), end]
             rest = np.concatenate(pieces)
             while len(rest) >= block_tokens:
                 yield row(block, rest[:block_tokens].tobytes(), None, None)
@@ -61,14 +67,29 @@ def tokenized(docs: DataFrame, ranks_path: str, pattern: str, eod: int, block_to
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "file long, block long, data binary, first long, ids array<long>")
 
 
-def flat_files(spark: SparkSession, paths: str, record_bytes: int) -> DataFrame:
-    """(file, block, data) of binary files; a file's block is a slice of ``record_bytes`` (a multiple of the token width).
+def flat_files(spark: SparkSession, path: str, record_bytes: int) -> DataFrame:
+    """(file, block, data) of the binary files below a path (a URI that pyarrow's file systems know, or a local one); each block has ``record_bytes``
+    (a multiple of the token width), but for a file's last one.
 
-    Spark reads each file as one value here, so files should stay below 2 GB, as shards of training data do.
+    The driver lists files and their lengths.  Tasks get ranges of RANGE_BLOCKS blocks and read those alone, a block at a time, so no file is
+    too large, and no value is larger than a block.
     """
-    raw = spark.read.format("binaryFile").load(paths)
-    cut = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), (F.col("length") - 1).cast("int")), F.lit(record_bytes)), lambda i: F.substring("content", i + 1, F.lit(record_bytes)))
-    return raw.select(F.col("path").alias("file"), F.posexplode(cut).alias("block", "data")).select("file", F.col("block").cast("long").alias("block"), "data")
+    store, top = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+    info = store.get_file_info(top)
+    found = [info] if info.is_file else [x for x in store.get_file_info(fs.FileSelector(top, recursive=True)) if x.is_file]
+    files = spark.createDataFrame([(x.path, x.size) for x in found if x.size], "file string, size long")
+    blocks = F.floor((F.col("size") + record_bytes - 1) / record_bytes)
+    ranges = files.select("file", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1, F.lit(RANGE_BLOCKS).cast("long"))).alias("first"), blocks.alias("blocks"))
+
+    def run(batches):
+        own = fs.FileSystem.from_uri(path)[0] if "://" in path else fs.LocalFileSystem()
+        for batch in batches:
+            for file, first, n in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
+                with own.open_input_file(file) as f:
+                    for k in range(first, min(n, first + RANGE_BLOCKS)):
+                        yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([k], pa.int64()), pa.array([f.read_at(record_bytes, k * record_bytes)], pa.binary())], ["file", "block", "data"])
+
+    return ranges.repartition("file", "first").mapInArrow(run, "file string, block long, data binary")
 
 
 def scan(blocks: DataFrame, eod: int, dtype: str = "uint16") -> DataFrame:
@@ -79,6 +100,8 @@ def scan(blocks: DataFrame, eod: int, dtype: str = "uint16") -> DataFrame:
         def of(batch):
             out = {"file": batch.column(0), "block": batch.column(1), "n": [], "n_eod": [], "head": [], "inner": [], "tail": []}
             for data in batch.column(2).to_pylist():
+                if len(data) % np.dtype(dtype).itemsize:
+                    raise ValueError(f"a block of {len(data)} bytes holds no whole number of {dtype} tokens")
                 tokens = np.frombuffer(data, dtype)
                 at = np.flatnonzero(tokens == eod)
                 out["n"].append(len(tokens))
