@@ -69,7 +69,7 @@ def op9_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_weak_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii_weak.spans(common.table(spark, sf_dir, "documents"))
     number = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return found.select("doc_id", *map(number, pii_weak.BASE), F.sha2(pii_weak.digest(F.col("base")), 256).alias("base_sha256"), pii_weak.digest(F.array_sort(F.concat("base", "added"))).alias("spans"))
+    return found.select("doc_id", *map(number, pii_weak.BASE), F.sha2(pii_weak.digest(F.col("base")), 256).alias("base_sha256"), pii_weak.digest(F.array_sort(F.concat("base", "added"))).alias("spans"), (F.size("base") + F.size("added")).cast("long").alias("n_spans"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -129,8 +129,8 @@ c AS (
   FROM t LEFT JOIN rep USING (doc_id) LEFT JOIN dup USING (doc_id)),
 b AS (SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed FROM c),
 h AS (SELECT source, count(*)::DOUBLE AS n, sum(base_failed::INT)::DOUBLE AS f FROM b GROUP BY source),
-mo AS (SELECT avg(f / n) AS m, var_pop(f / n) AS v, avg(1 / n) AS i FROM h WHERE n >= 5),
-st AS (SELECT m, least(greatest(m * (1 - m) / greatest(v - m * (1 - m) * i, 1e-4) - 1, 1.0), 1000.0) AS s FROM mo),
+mo AS (SELECT avg(f / n) AS m, var_pop(f / n) AS v, avg(1 / n) AS i FROM h),
+st AS (SELECT m, CASE WHEN i > 1 - 1e-9 THEN 2 ELSE least(greatest(m * (1 - m) / greatest((v - m * (1 - m) * i) / (1 - i), 1e-4) - 1, 1.0), 1000.0) END AS s FROM mo),
 pr AS (SELECT CASE WHEN m > 0 AND m < 1 THEN m * s ELSE 1 END AS al, CASE WHEN m > 0 AND m < 1 THEN (1 - m) * s ELSE 1 END AS be FROM st)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, (NOT base_failed AND (f + al) / (n + al + be) <= 0.5) AS kept
 FROM b JOIN h ON b.source IS NOT DISTINCT FROM h.source, pr""",
