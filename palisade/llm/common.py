@@ -20,9 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares (``spark.checkpoint.dir``); a temporary one only where the setting is unset, as in tests."""
+    """The folder that the cluster shares (``spark.checkpoint.dir``); a temporary one only where the setting is unset and all runs on one machine, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -59,10 +61,17 @@ def arrow_map(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.Record
                 out = fn(batch)
                 for cols in [out] if isinstance(out, dict) else out:
                     yield pa.RecordBatch.from_arrays([c if isinstance(c := cols[f.name], pa.Array) else pa.array(c, f.type) for f in types], schema=types)
+        released()
 
     return df.mapInArrow(run, schema)
 
 
+def released() -> None:
+    """Gives memory back at a task's end: a worker lives on, idle, beside whatever runs next."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
 def pa_schema(ddl: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType

@@ -7,32 +7,41 @@ candidates.  A candidate is confirmed on words: the longest common subsequence o
 must hold ``sure_share`` of the passage's words, or ``least_share`` and the answer too (an ``answer`` column of the benchmark,
 else the passage's last quarter).  So reordered, shortened or slightly reworded copies are found as well as exact ones.
 
-The benchmark is the query set and comes in blocks of BLOCK passages of at most PASSAGE words; that bounds everything that is broadcast or
-gathered on the driver.  The corpus is read once for document frequencies and once for each block's search; it never shuffles.
+Stretches of a document that lack ``least_share`` of every passage's words, in any order, are not projected: no subsequence there
+could confirm anything, so nothing is lost by that, at any size of the corpus.  An item with fewer than LEAST_WORDS words makes no passage; it is found as
+an exact phrase.
 
-Cases: null or empty texts match nothing, on either side; an item with fewer than 5 words is not searched, as it would be found by
-chance.  A passage that two items share gives a row for each.  Equal documents each get their rows.  Empty tables give no rows.
-Extra columns are left aside (``clean`` keeps them).
+The benchmark is the query set and comes in blocks of BLOCK_WORDS words, in passages of at most PASSAGE words; that bounds the terms, and with
+them everything that is broadcast or gathered on the driver: BLOCK_WORDS x (RANK + OVERSAMPLING) numbers of 4 bytes at most, 71 MB.  The
+corpus is read once for document frequencies and once for each block's search; it never shuffles.
+
+Cases: null or empty texts match nothing, on either side.  A passage that two items share gives a row for each.  Rows of docs that are equal in doc_id
+give one row an item, that of their best window.  Empty tables give no rows.  Extra columns are left aside (``clean`` keeps them).
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from dataclasses import dataclass
+from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
-PASSAGE, BLOCK, LEAST_WORDS = 64, 4096, 5
+PASSAGE, BLOCK_WORDS, LEAST_WORDS = 64, 65_536, 5
 SCALES = (16, 32)
 STEP = 8
 #: Windows that are projected together.
 PIECE = 512
+#: Words whose windows are ruled out together; and the lengths at which passages are grouped for that.
+STRETCH = 64
+GROUPS = (20, 30, 45)
 RANK, OVERSAMPLING = 256, 16
 _WORDS = re.compile(r"\w+").findall
 
@@ -51,10 +60,11 @@ class Index:
     passages: list[list[str]]
     answers: list[list[str]]
     unit: np.ndarray  # passages x rank, of length 1 each
+    phrases: dict[str, list[tuple[int, list[str]]]] = field(default_factory=dict)  # short items by their first word
 
 
 def passages_of(benchmark: DataFrame) -> DataFrame:
-    """(item_id, words, answer): items cut to passages of at most PASSAGE words."""
+    """(item_id, words, answer): items cut to passages of at most PASSAGE words; a short item is one."""
     has_answer = "answer" in benchmark.columns
     rows = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string"), (F.col("answer").cast("string") if has_answer else F.lit(None).cast("string")).alias("answer"))
 
@@ -65,10 +75,10 @@ def passages_of(benchmark: DataFrame) -> DataFrame:
             for i, t, a in zip(batch.column(0).to_pylist(), common.texts(batch), answers, strict=True):
                 w = words_of(t)
                 for k in range(0, len(w), PASSAGE):
-                    if len(p := w[max(0, min(k, len(w) - PASSAGE)) : k + PASSAGE]) >= LEAST_WORDS:
-                        out["item_id"].append(i)
-                        out["words"].append(p)
-                        out["answer"].append(words_of(a) or p[-max(3, len(p) // 4) :])
+                    p = w[max(0, min(k, len(w) - PASSAGE)) : k + PASSAGE]
+                    out["item_id"].append(i)
+                    out["words"].append(p)
+                    out["answer"].append(words_of(a) or p[-max(3, len(p) // 4) :])
             return out
 
         return of
@@ -81,16 +91,13 @@ def document_frequencies(docs: DataFrame, terms: dict[str, int]) -> tuple[int, n
     sent = docs.sparkSession.sparkContext.broadcast(terms)
 
     def run(batches):
-        column, n = sent.value, 0
-        df = np.zeros(len(column), np.int64)
+        column, n, df = sent.value, 0, Counter()
         known = column.keys()
         for batch in batches:
             for t in common.texts(batch):
                 n += 1
-                for w in known & set(words_of(t)):
-                    df[column[w]] += 1
-        at = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int64()), pa.array(np.append(df[at], n), pa.int64())], ["c", "n"])
+                df.update(known & set(words_of(t)))
+        yield pa.RecordBatch.from_arrays([pa.array([*(column[w] for w in df), -1], pa.int64()), pa.array([*df.values(), n], pa.int64())], ["c", "n"])
 
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(common.BATCH_ROWS))
     got = dict(docs.select(F.col("text").cast("string")).mapInArrow(run, "c long, n long").groupBy("c").agg(F.sum("n")).collect())
@@ -105,13 +112,13 @@ def randomised_svd(rows: DataFrame, n_terms: int, rank: int, seed: int = 11) ->
     sc = rows.sparkSession.sparkContext
 
     def times_gram(q: np.ndarray) -> np.ndarray:
-        sent = sc.broadcast(q)
+        sent = sc.broadcast(q.astype(np.float32))
 
         def make():
             def of(batch):
                 acc: dict[int, np.ndarray] = {}
                 for cols, vals in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    v = np.array(vals)
+                    v = np.array(vals, np.float32)
                     for c, x in zip(cols, np.outer(v, v @ sent.value[cols]), strict=True):
                         acc[c] = acc[c] + x if c in acc else x
                 return {"c": list(acc), "v": [x.tobytes() for x in acc.values()]}
@@ -120,7 +127,7 @@ def randomised_svd(rows: DataFrame, n_terms: int, rank: int, seed: int = 11) ->
 
         out = np.zeros_like(q)
         for c, v in common.arrow_map(rows, "c int, v binary", make).toLocalIterator():
-            out[c] += np.frombuffer(v)
+            out[c] += np.frombuffer(v, np.float32)
         sent.unpersist()
         return out
 
@@ -136,12 +143,19 @@ def randomised_svd(rows: DataFrame, n_terms: int, rank: int, seed: int = 11) ->
 def build_indexes(docs: DataFrame, benchmark: DataFrame, rank: int = RANK) -> list[Index]:
     spark, out = docs.sparkSession, []
     rows = passages_of(benchmark)
-    n = rows.count()
-    blocks = -(-n // BLOCK)
+    n_words = rows.agg(F.sum(F.size("words"))).first()[0] or 0
+    blocks = -(-n_words // BLOCK_WORDS)
     for b in range(blocks):
-        part = (rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("item_id", "words"), F.lit(blocks)) == b)).collect()
-        part.sort(key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+        every = (rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("item_id", "words"), F.lit(blocks)) == b)).collect()
+        every.sort(key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+        phrases: dict[str, list[tuple[int, list[str]]]] = {}
+        for r in every:
+            if len(r[1]) < LEAST_WORDS:
+                phrases.setdefault(r[1][0], []).append((r[0], r[1]))
+        part = [r for r in every if len(r[1]) >= LEAST_WORDS]
         if not part:
+            if phrases:
+                out.append(Index({}, np.zeros((1, 0), np.float32), [], [], [], np.zeros((0, 0), np.float32), phrases))
             continue
         column = {w: i for i, w in enumerate(sorted({w for r in part for w in r[1]}))}
         total, df = document_frequencies(docs, column)
@@ -153,7 +167,7 @@ def build_indexes(docs: DataFrame, benchmark: DataFrame, rank: int = RANK) -> li
         latent = (idf[:, None] * v).astype(np.float32)
         unit = np.array([np.array(x) @ v[c] for c, x in zip(cols, vals, strict=True)], np.float32)
         unit /= np.maximum(np.linalg.norm(unit, axis=1, keepdims=True), 1e-9)
-        out.append(Index(column, np.vstack([latent, np.zeros((1, v.shape[1]), np.float32)]), [r[0] for r in part], [r[1] for r in part], [r[2] for r in part], unit))
+        out.append(Index(column, np.vstack([latent, np.zeros((1, v.shape[1]), np.float32)]), [r[0] for r in part], [r[1] for r in part], [r[2] for r in part], unit, phrases))
     return out
 
 
@@ -178,20 +192,57 @@ class Searcher:
     def __init__(self, index: Index, least_cosine: float, least_share: float, sure_share: float):
         self.index, self.least_cosine, self.least_share, self.sure_share = index, least_cosine, least_share, sure_share
         self.bits, self.answer_bits = [bits(p) for p in index.passages], [bits(a) for a in index.answers]
+        lengths = np.array([len(p) for p in index.passages], np.int64)
+        self.need = least_share * lengths - 1e-9
+        # Passages of about one length look equally far around a window: the reach of each such group, the widest last.
+        groups = [(lengths > a) & (lengths <= b) for a, b in zip((0, *GROUPS), (*GROUPS, PASSAGE), strict=True)]
+        reach = [max(self.reach_of(int(n), scale) for n in set(lengths[g].tolist()) for scale in SCALES) if g.any() else 0 for g in groups]
+        self.groups = [(r, np.flatnonzero(g)) for r, g in zip(reach, groups, strict=True) if g.any()]
+        held: list[list[int]] = [[] for _ in index.column]  # the passages of each word, as often as they hold it
+        for j, p in enumerate(index.passages):
+            for w in p:
+                held[index.column[w]].append(j)
+        self.held = [np.array(x, np.int32).tobytes() for x in (*held, [])]  # the last is that of all other words
+
+    @staticmethod
+    def reach_of(n: int, scale: int) -> int:
+        """Words on either side of a window among which a passage of n words is looked for."""
+        return max(0, int(1.5 * n) - scale // 2) // 2 + scale // 4
+
+    def possible(self, ids: list[int]) -> np.ndarray:
+        """Of each passage, whether the words hold enough of its words, whatever their order."""
+        found = np.frombuffer(b"".join(map(self.held.__getitem__, set(ids))), np.int32)
+        return np.bincount(found, minlength=len(self.need)) >= self.need
+
+    def open_steps(self, ids: np.ndarray) -> np.ndarray:
+        """For each step of STEP words, whether a window from there can be confirmed at all: by the whole, then by stretches, then by groups of passages."""
+        out, n, wide, ids = np.zeros(-(-len(ids) // STEP), bool), len(ids), max(r for r, _ in self.groups), ids.tolist()
+        around = lambda a, r: ids[max(0, a - r) : a + STRETCH + max(SCALES) + r]
+        if not self.possible(ids).any():
+            return out
+        for a in range(0, n, STRETCH):
+            found = self.possible(around(a, wide)) if n > STRETCH else np.ones(len(self.need), bool)
+            if found.any():
+                out[a // STEP : (a + STRETCH) // STEP] = any(found[g].any() and (r == wide or self.possible(around(a, r))[g].any()) for r, g in reversed(self.groups))
+        return out
 
     def candidates(self, ids: np.ndarray) -> list[tuple[int, int, int, float]]:
         """(first word, window, passage, latent cosine) of the windows near a passage.
 
-        Words outside the benchmark's vocabulary are orthogonal to all passages, so only windows without any other word are left out.
+        Words outside the benchmark's vocabulary are orthogonal to all passages, so windows without any other word are left out.
         """
-        x, out = self.index, []
+        x, out, open_ = self.index, [], self.open_steps(ids)
+        if not open_.any():
+            return out
         n, starts = len(ids), np.arange(0, len(ids), STEP)
         known = np.append(0, np.cumsum(np.add.reduceat(ids < len(x.column), starts, dtype=np.int64)))
         for scale in SCALES:
             k = scale // STEP
             at = np.arange(0, max(1, len(starts) - k // 2), k // 2)
-            at = at[known[np.minimum(at + k, len(starts))] > known[at]]
-            for some in np.split(at, range(PIECE, len(at), PIECE)) if len(at) else ():
+            at = at[open_[at] & (known[np.minimum(at + k, len(starts))] > known[at])]
+            # Together are windows of one open stretch, so nothing between stretches is looked up; and no more than PIECE of them.
+            cuts = np.flatnonzero(np.diff(at) > 2 * k) + 1
+            for some in [x for run in np.split(at, cuts) for x in np.split(run, range(PIECE, len(run), PIECE))] if len(at) else ():
                 p = self.window_sums(ids, some, k)
                 near = (p @ x.unit.T) / np.maximum(np.linalg.norm(p, axis=1, keepdims=True), 1e-9)
                 out += [(int(some[i]) * STEP, scale, j, float(near[i, j])) for i, j in np.argwhere(near >= self.least_cosine).tolist()]
@@ -212,14 +263,19 @@ class Searcher:
     def matches(self, text: str) -> dict[int, tuple[int, int, float, float, bool]]:
         """item_id -> (first word, last word + 1, share of the passage, cosine, answer found) of the best confirmed window."""
         x, words = self.index, words_of(text)
+        out: dict[int, tuple] = {}
+        if x.phrases:
+            for at, w in enumerate(words):
+                for item, phrase in x.phrases.get(w, ()):
+                    if words[at : at + len(phrase)] == phrase:
+                        out.setdefault(item, (at, at + len(phrase), 1.0, 1.0, True))
         if not words or not len(x.unit):
-            return {}
+            return out
         get, other = x.column.get, len(x.column)
-        ids = np.fromiter((get(w, other) for w in words), np.int64, len(words))
-        out: dict[int, tuple] = {}
+        ids = np.array([get(w, other) for w in words], np.int64)
         for start, scale, j, cosine in self.candidates(ids):
             n = len(x.passages[j])
-            reach = max(0, int(1.5 * n) - scale // 2) // 2 + scale // 4
+            reach = self.reach_of(n, scale)
             a, b = max(0, start - reach), start + scale + reach
             share = lcs(self.bits[j], n, words[a:b]) / n
             if share < self.least_share or (x.items[j] in out and out[x.items[j]][2] >= share):
@@ -254,15 +310,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least_cosine: float = 0.6, leas
 
 def clean(docs: DataFrame, benchmark: DataFrame, least_cosine: float = 0.6, least_share: float = 0.6, sure_share: float = 0.75, rank: int = RANK) -> DataFrame:
     """The rows of docs, with all their columns, that leak no item."""
-    out = docs
-    for index in build_indexes(docs, benchmark, rank):
-        sent = docs.sparkSession.sparkContext.broadcast(index)
-
-        @F.pandas_udf("boolean")
-        def leaking(text, sent=sent):
+    def leaking(sent):
+        def of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
             s = Searcher(sent.value, least_cosine, least_share, sure_share)
-            return text.map(lambda t: bool(s.matches(t or ""))).astype(bool)
+            for some in texts:
+                yield some.map(lambda t: bool(s.matches(t or ""))).astype(bool)
 
-        out = out.where(~leaking(F.col("text").cast("string")))
+        return F.pandas_udf(of, "boolean")
+
+    out = docs
+    for index in build_indexes(docs, benchmark, rank):
+        out = out.where(~leaking(docs.sparkSession.sparkContext.broadcast(index))(F.col("text").cast("string")))
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(common.BATCH_ROWS))
     return out

@@ -302,6 +302,7 @@ def likely(blocks: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
             if stays.any():
                 kept = dict.fromkeys(rows[i][:6] for i in np.flatnonzero(stays).tolist())
                 yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*kept, strict=True), types, strict=True)], schema=types)
+        common.released()
 
     dealt.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(common.BATCH_ROWS))
     return dealt.mapInArrow(run, _SEEN)
@@ -344,6 +345,7 @@ def search(blocks: DataFrame, percent: int) -> DataFrame:
             if links:
                 a, b = zip(*links, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=_LINK)
+        common.released()
 
     dealt.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(common.BATCH_ROWS))
     return dealt.select("k1", "k2", "k3", "side", "d", "c", "grams").mapInArrow(run, "a long, b long")
