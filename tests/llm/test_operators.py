@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from palisade.llm import common, contract, decontamination, host_rules, lexicon_bpe, line_runs, ngram_join, pii_weak, quality_ranker, separator_scan, suffix_dedup, toxicity_mil
+from palisade.llm import common, components, contract, decontamination, host_rules, lexicon_bpe, line_runs, ngram_join, pii_weak, quality_ranker, separator_scan, suffix_dedup, toxicity_mil
 
 SF = "/root/testdata/sf0.001"
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -76,6 +76,49 @@ def test_ngram_join(spark, monkeypatch, n, percent, part):
     assert sorted(map(tuple, ngram_join.jaccard_components(df, n, percent).collect())) == brute_components(rows, n, percent)
 
 
+def test_a_large_group_of_near_copies_gives_no_more_links_than_members(spark, monkeypatch):
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+    rows = []
+    for _ in range(2000):
+        w = list(base)
+        for _ in range(rng.randrange(5)):
+            w[rng.randrange(len(w))] = f"n{rng.randrange(10**6)}"
+        rows.append(" ".join(w))
+    rows += [" ".join(base[:150] + [f"far{i}x{k}" for k in range(50)]) for i in range(50)]
+    made, stored = [], common.stored
+    monkeypatch.setattr(ngram_join.common, "stored", lambda df, name: (out := stored(df, name), made.append((name, out.count())))[0])
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in ngram_join.jaccard_components(df, 3, 90).collect()}
+    first, more = [n for name, n in made if name == "links"]
+    assert first < len(rows) and more < dict(made)["open"] and max(n for name, n in made if name in ("labels", "seen", "least")) <= len(rows)
+    # Brute force over sets of hashes.
+    shingle = ngram_join.Shingler(3)
+    sets, label = [set(shingle(t).tolist()) for t in rows], list(range(len(rows)))
+
+    def root(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if root(i) != root(j) and 100 * len(a & sets[j]) >= 90 * len(a | sets[j]):
+                x, y = sorted((root(i), root(j)))
+                label[y] = x
+    assert got == {i: root(i) for i in range(len(rows))}
+
+
+def test_components_like_union_find(spark):
+    rng = random.Random(3)
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(1000, 1001 + i) for i in range(300)] + [(2000 + i, 2001 + i) for i in range(90)] + [(1100, 2050)]
+    forest = ngram_join.Forest()
+    for a, b in edges:
+        forest.join(a, b)
+    got = dict(map(tuple, components.components(spark.createDataFrame(edges, "a long, b long")).collect()))
+    assert got == {x: forest.root(x) for e in edges if e[0] != e[1] for x in e}
+
+
 def test_rows_without_id_join_nothing_unrelated(spark):
     rng = random.Random(2)
     a, b, c = ([f"{x}{rng.randrange(10**6)}" for _ in range(80)] for x in "abc")
@@ -230,6 +273,40 @@ def test_bpe_like_the_library(spark, docs, plain):
     assert [r.decoded for r in back] == [got[0].decoded, None]
 
 
+def test_long_words_merge_alike_and_fast():
+    import time
+
+    with open(contract.tokenizer_path("word_bpe_49k.json"), encoding="utf-8") as f:
+        bpe = lexicon_bpe.Bpe(f.read())
+    rng = random.Random(1)
+    for n in (49, 50, 64, 200, 600):
+        for letters in ("ab", "etaoinshrdlu", "é日a"):
+            word = "".join(rng.choice(letters) for _ in range(n))
+            ids = [bpe.first[b] for b in word.encode()]
+            ids[-1] = bpe.last[word.encode()[-1]]
+            plain = list(ids)
+            while best := min(((r, i) for i in range(len(plain) - 1) if (r := bpe.rank.get((plain[i], plain[i + 1])))), default=None):
+                plain[best[1] : best[1] + 2] = [best[0][1]]
+            assert bpe.merge_long(ids) == plain
+    began = time.time()
+    assert len(bpe.merge("".join(rng.choice("etaoinshrdlu") for _ in range(300_000)))) < 300_000
+    assert time.time() - began < 30
+
+
+def test_the_lexicon_takes_the_most_frequent_words_only(spark):
+    rows = [(f"w{i}", 1 + 1000 // (i + 1)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "word string, n long")
+    got = sorted(r.n for r in lexicon_bpe.most_frequent(df, 100).collect())
+    assert 60 <= len(got) <= 100 and got == sorted(n for _, n in rows)[-len(got) :]
+    assert lexicon_bpe.most_frequent(df.where("n = 2"), 5).count() == 0 and lexicon_bpe.most_frequent(df, 3000).count() == 3000
+
+
+def test_fitted_labels_are_bounded(spark):
+    df = spark.range(20_000).select(F.col("id").alias("doc_id"), (F.col("id") % 10 == 0).cast("int").alias("y"))
+    got = {r.y: r["count"] for r in common.bounded_labels(df, "y", 6000).groupBy("y").count().collect()}
+    assert got[1] == 2000 and 2400 <= got[0] <= 3000
+
+
 def test_lexicon_finds_its_words_and_no_others():
     words = {w: [i, i + 1] for i, w in enumerate(["a", "ab", "abc", "b", "bc", "tap", "taps", "top", "tops", "é"])}
     lex = lexicon_bpe.Lexicon(lexicon_bpe.compile_lexicon(words))
@@ -253,6 +330,7 @@ def test_separator_scan_stitches(spark, monkeypatch, tmp_path):
     import numpy as np
 
     monkeypatch.setattr(separator_scan, "RUN", 3)
+    monkeypatch.setattr(separator_scan, "RANGE_BLOCKS", 5)
     rng = random.Random(1)
     for f in range(4):
         np.array([0 if rng.random() < (0.02, 0.3, 0, 0.9)[f] else 5 for _ in range(500)], np.uint16).tofile(tmp_path / f"{f}.bin")
@@ -263,6 +341,9 @@ def test_separator_scan_stitches(spark, monkeypatch, tmp_path):
         pieces = "".join("|" if x == 0 else "." for x in np.fromfile(tmp_path / f"{f}.bin", np.uint16)).split("|")
         want = [(len(p), True) for p in pieces[:-1]] + ([(len(pieces[-1]), False)] if pieces[-1] else [])
         assert [got[str(f)][k] for k in sorted(got[str(f)])] == want
+    (tmp_path / "cut.bin").write_bytes(b"123")
+    with pytest.raises(Exception, match="whole number"):
+        separator_scan.scan(separator_scan.flat_files(spark, str(tmp_path / "cut.bin"), 14), 0).collect()
 
 
 def test_decontamination_finds_copies_and_paraphrases(spark, docs, plain):
@@ -291,6 +372,30 @@ def test_decontamination_finds_copies_and_paraphrases(spark, docs, plain):
     assert left == {r.doc_id for r in both.collect()} - {d for d, _ in got}
 
 
+def test_decontamination_rules_out_only_what_no_window_could_confirm(spark, docs, plain, monkeypatch):
+    bench = common.table(spark, SF, "benchmark")
+    index = decontamination.build_indexes(docs, bench)[0]
+    some = decontamination.Searcher(index, 0.3, 0.4, 0.6)
+    every = decontamination.Searcher(index, 0.3, 0.4, 0.6)
+    monkeypatch.setattr(every, "open_steps", lambda ids: np.ones(-(-len(ids) // decontamination.STEP), bool))
+    shut = 0
+    rounded = lambda found: {i: (*m[:3], round(m[3], 4), m[4]) for i, m in found.items()}  # noqa: E731 - sums of 32-bit numbers in another order
+    for t in plain.values():
+        assert rounded(some.matches(t)) == rounded(every.matches(t))
+        ids = np.array([index.column.get(w, len(index.column)) for w in decontamination.words_of(t)], np.int64)
+        shut += len(ids) > 0 and not some.open_steps(ids).all()
+    assert shut > 20
+
+
+def test_short_items_are_found_as_phrases(spark):
+    bench = spark.createDataFrame([(1, "Green Eggs"), (2, "ham"), (3, None), (4, "one two three four five six seven eight"), (None, "a b c")], "item_id long, text string")
+    rows = [(0, "some green, eggs and ham"), (1, "green and eggs"), (2, "x one two three four five six seven eight y"), (3, "a b c"), (4, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontamination.leaks(df, bench).collect()} == {(0, 1), (0, 2), (2, 4), (3, None)}
+    assert [r.doc_id for r in decontamination.clean(df, bench).orderBy("doc_id").collect()] == [1, 4]
+    assert {(r.doc_id, r.item_id) for r in decontamination.leaks(df, bench.where("item_id < 3")).collect()} == {(0, 1), (0, 2)}
+
+
 def test_decontamination_finds_alike_in_a_corpus_a_thousand_times_as_large(spark, monkeypatch):
     rng = random.Random(12)
     items = [[f"w{rng.randrange(400)}" for _ in range(40)] for _ in range(60)]
@@ -353,7 +458,7 @@ def test_offending_sentences_are_located():
     for bag, bad in zip(clean, y, strict=True):
         if bad:
             bag[rng.randrange(len(bag))].add("vile")
-    m = toxicity_mil.fit_noisy_or(clean, y)
+    m = toxicity_mil.fit_noisy_or(toxicity_mil.bags_of(clean, y))
     assert [s[:2] for s in m.spans("a b c. you vile d. e f.") if s[2] >= 0.5] == [(6, 18)]
 
 
