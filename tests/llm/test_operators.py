@@ -78,14 +78,14 @@ def test_ngram_join(spark, monkeypatch, n, percent, part):
 
 def test_a_large_group_of_near_copies_gives_no_more_links_than_members(spark, monkeypatch):
     rng = random.Random(9)
-    base = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+    base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
     rows = []
-    for _ in range(2000):
+    for _ in range(500):
         w = list(base)
         for _ in range(rng.randrange(5)):
             w[rng.randrange(len(w))] = f"n{rng.randrange(10**6)}"
         rows.append(" ".join(w))
-    rows += [" ".join(base[:150] + [f"far{i}x{k}" for k in range(50)]) for i in range(50)]
+    rows += [" ".join(base[:90] + [f"far{i}x{k}" for k in range(30)]) for i in range(20)]
     made, stored = [], common.stored
     monkeypatch.setattr(ngram_join.common, "stored", lambda df, name: (out := stored(df, name), made.append((name, out.count())))[0])
     df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
