@@ -49,9 +49,9 @@ def unstore(df: DataFrame) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def arrow_map(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], Iterator[dict] | dict]]) -> DataFrame:
+def arrow_map(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], Iterator[dict] | dict]], rows: int = BATCH_ROWS) -> DataFrame:
     """``mapInArrow`` with small batches.  ``make()`` runs once in each task and returns the function of a batch; that gives columns by name."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     types = pa_schema(schema)
 
     def run(batches):

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontamination, host_rules, lexicon_bpe, line_runs, ngram_join, pii_weak, quality_ranker, separator_scan, suffix_dedup, toxicity_mil
+from . import best_fit_packing, common, decontamination, host_rules, lexicon_bpe, line_runs, ngram_join, pii_weak, quality_ranker, separator_scan, suffix_dedup, toxicity_mil
 
 
 def tokenizer_path(name: str) -> str:
@@ -72,9 +72,13 @@ def op10_weak_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(number, pii_weak.BASE), F.sha2(pii_weak.digest(F.col("base")), 256).alias("base_sha256"), pii_weak.digest(F.array_sort(F.concat("base", "added"))).alias("spans"), (F.size("base") + F.size("added")).cast("long").alias("n_spans"))
 
 
+def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit_packing.pack(common.table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), capacity=2048, separator=0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_semantic_leaks, op2_separator_scan, op3_pairwise_quality, op4_multiple_instance_toxicity, op5_ngram_components, op6_line_runs, op7_lexicon_bpe, op8_suffix_dedup, op9_host_rules, op10_weak_pii)
+    for f in (op1_semantic_leaks, op2_separator_scan, op3_pairwise_quality, op4_multiple_instance_toxicity, op5_ngram_components, op6_line_runs, op7_lexicon_bpe, op8_suffix_dedup, op9_host_rules, op10_weak_pii, op13_best_fit_packing)
 }
 
 _WS = r"[^\x20\x09-\x0D]+"
