@@ -1,4 +1,4 @@
-"""The registered queries op1_* to op10_*: each applies its operator, with production parameters, to its whole table and derives the agreed columns."""
+"""The registered queries op1_* to op13_*: each applies its operator, with production parameters, to its whole table and derives the agreed columns."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import best_fit_packing, common, decontamination, host_rules, lexicon_bpe, line_runs, ngram_join, pii_weak, quality_ranker, separator_scan, suffix_dedup, toxicity_mil
+from . import best_fit_packing, collocations, common, decontamination, host_rules, lexicon_bpe, line_runs, ngram_join, pii_weak, quality_ranker, separator_scan, source_divergence, suffix_dedup, toxicity_mil
 
 
 def tokenizer_path(name: str) -> str:
@@ -72,13 +72,21 @@ def op10_weak_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(number, pii_weak.BASE), F.sha2(pii_weak.digest(F.col("base")), 256).alias("base_sha256"), pii_weak.digest(F.array_sort(F.concat("base", "added"))).alias("spans"), (F.size("base") + F.size("added")).cast("long").alias("n_spans"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(common.table(spark, sf_dir, "documents"), least=30, subsumed=80, scale=2_000_000, most=2000)
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.audit(common.table(spark, sf_dir, "documents"), least_docs=10, most_terms=10)
+
+
 def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing.pack(common.table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), capacity=2048, separator=0)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_semantic_leaks, op2_separator_scan, op3_pairwise_quality, op4_multiple_instance_toxicity, op5_ngram_components, op6_line_runs, op7_lexicon_bpe, op8_suffix_dedup, op9_host_rules, op10_weak_pii, op13_best_fit_packing)
+    for f in (op1_semantic_leaks, op2_separator_scan, op3_pairwise_quality, op4_multiple_instance_toxicity, op5_ngram_components, op6_line_runs, op7_lexicon_bpe, op8_suffix_dedup, op9_host_rules, op10_weak_pii, op11_collocations, op12_source_divergence, op13_best_fit_packing)
 }
 
 _WS = r"[^\x20\x09-\x0D]+"
@@ -138,4 +146,46 @@ st AS (SELECT m, CASE WHEN i > 1 - 1e-9 THEN 2 ELSE least(greatest(m * (1 - m) /
 pr AS (SELECT CASE WHEN m > 0 AND m < 1 THEN m * s ELSE 1 END AS al, CASE WHEN m > 0 AND m < 1 THEN (1 - m) * s ELSE 1 END AS be FROM st)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, (NOT base_failed AND (f + al) / (n + al + be) <= 0.5) AS kept
 FROM b JOIN h ON b.source IS NOT DISTINCT FROM h.source, pr""",
+    "op11_collocations": r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+places AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM w),
+g AS (SELECT lang, k AS size, array_to_string(ws[i:i + k - 1], ' ') AS phrase FROM places, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE i + k - 1 <= len(ws)),
+f AS (SELECT lang, size, phrase, count(*) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE size = 1 GROUP BY lang),
+c AS (SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE size > 1 AND f >= 30),
+inside AS (SELECT lang, a AS f, size, unnest(range(2, size)) AS k, ws FROM c WHERE size > 2),
+part AS (SELECT lang, f, k, ws, unnest(range(1, size - k + 2)) AS i FROM inside),
+longer AS (SELECT lang, array_to_string(ws[i:i + k - 1], ' ') AS phrase, max(f) AS f FROM part GROUP BY ALL),
+kept AS (SELECT c.* FROM c LEFT JOIN longer l ON l.lang = c.lang AND l.phrase = c.phrase WHERE l.f IS NULL OR 100 * l.f < 80 * a),
+cut AS (SELECT *, unnest(range(1, size)) AS k FROM kept),
+scored AS (
+  SELECT cut.*, x.f AS l, y.f AS r, (2000000::HUGEINT * a // (x.f + y.f))::BIGINT AS score FROM cut
+  JOIN f x ON x.lang = cut.lang AND x.phrase = array_to_string(ws[1:k], ' ') JOIN f y ON y.lang = cut.lang AND y.phrase = array_to_string(ws[k + 1:cut.size], ' ')),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM best JOIN n USING (lang) QUALIFY rank <= 2000""",
+    "op12_source_divergence": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents),
+w AS (SELECT id, lang, source, unnest(ws) AS term FROM d),
+t AS (SELECT lang, term FROM w GROUP BY ALL HAVING count(DISTINCT id) >= 10),
+gr AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT w.lang, source, term, count(*) AS n FROM w JOIN t USING (lang, term) GROUP BY ALL),
+v AS (SELECT lang, count(*) AS v FROM t GROUP BY lang),
+gn AS (SELECT lang, source, sum(n) AS n FROM c GROUP BY ALL),
+ln AS (SELECT lang, sum(n) AS n FROM c GROUP BY ALL),
+x AS (
+  SELECT gr.lang, gr.source, t.term, coalesce(c.n, 0) AS n, (1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 2) // (coalesce(gn.n, 0) + 2 * v)::HUGEINT)::BIGINT AS p
+  FROM gr JOIN t ON t.lang = gr.lang JOIN v ON v.lang = gr.lang LEFT JOIN gn ON gn.lang = gr.lang AND gn.source = gr.source
+  LEFT JOIN c ON c.lang = gr.lang AND c.source = gr.source AND c.term = t.term),
+lp AS (SELECT lang, term, (1 + 1000000000::HUGEINT * (sum(c.n) + 2) // (max(ln.n) + 2 * max(v))::HUGEINT)::BIGINT AS q FROM c JOIN ln USING (lang) JOIN v USING (lang) GROUP BY ALL),
+pv AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value FROM x a JOIN x b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pr AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(pv.value, 0)::BIGINT AS value FROM gr a JOIN gr b ON a.lang = b.lang AND a.source <> b.source
+       LEFT JOIN pv ON pv.lang = a.lang AND pv.source = a.source AND pv.item = b.source),
+tm AS (SELECT x.lang, x.source, 'term' AS part, x.term AS item, ((p - q) * (p - q) // (p + q))::BIGINT AS value FROM x JOIN lp USING (lang, term) WHERE x.n > 0 AND p > q),
+al AS (SELECT * FROM pr UNION ALL SELECT * FROM tm)
+SELECT lang, source, part, item, value, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM al QUALIFY part = 'pair' OR rank <= 10""",
 }
