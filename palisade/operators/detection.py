@@ -1,8 +1,7 @@
 """Stateful detection over history: thresholds, sequences, suppression and alert sessions, keyed and in event-time order.
 
 What a window function can say is one; the greedy rest is a fold over each key's sorted events, which stream through Python: a
-key with any number of events needs no more memory than the fold's state.  Thresholds of counts first keep only events that can
-be part of a hit.
+key with any number of events needs no more memory than the fold's state.  Thresholds deal keys of very many events to all tasks.
 """
 
 from __future__ import annotations
@@ -20,29 +19,41 @@ def _us(ts: str) -> Column:
     return F.unix_micros(F.col(ts).cast("timestamp"))
 
 
+def _sliced(rows: DataFrame, width: int) -> DataFrame:
+    """rows (with their time in ``us``) by slices ``__s`` of eight windows; a row whose window's end lies in the next slice is told there, too (``__own`` is false)."""
+    length = 8 * max(1, width)
+    at = F.floor(F.col("us") / length).cast("long")
+    late = F.col("us") >= (at + 1) * length - width
+    both = F.array_compact(F.array(F.struct(at.alias("s"), F.lit(True).alias("own")), F.when(late, F.struct((at + 1).alias("s"), F.lit(False).alias("own")))))
+    return rows.withColumn("__x", F.explode(both)).withColumns({"__s": F.col("__x.s"), "__own": F.col("__x.own")}).drop("__x")
+
+
 def rolling_count(df: DataFrame, key: str, ts: str, seconds: float) -> DataFrame:
-    w = Window.partitionBy(key).orderBy("us").rangeBetween(-int(seconds * 1_000_000), 0)
-    return df.withColumn("us", _us(ts)).withColumn("n", F.count(F.lit(1)).over(w)).drop("us")
+    """Events of the key within the window up to each event; those at the very same time count, before or after.  Slices of time are counted apart, so no key is one task's."""
+    width = int(seconds * 1_000_000)
+    w = Window.partitionBy(key, "__s").orderBy("us").rangeBetween(-width, 0)
+    return _sliced(df.withColumn("us", _us(ts)), width).withColumn("n", F.count(F.lit(1)).over(w)).where("__own").drop("us", "__s", "__own")
 
 
 def rolling_distinct(df: DataFrame, key: str, ts: str, value: str, seconds: float) -> DataFrame:
     """Different values of the key within the window up to each event; those at the very same time count, before or after.
 
-    A value is in the window from each of its times until ``seconds`` after the last one: such spells are found by (key, value), and an event
-    sees those that began but have not ended, as running sums of beginnings and ends, not as a set for each event.
+    A value is in the window from each of its times until ``seconds`` after the last one: such spells are found by (key, slice of time, value), and an
+    event sees those that began but have not ended, as running sums of beginnings and ends.  An event without a time sees none.
     """
     width = int(seconds * 1_000_000)
-    rows = df.withColumn("us", _us(ts))
-    seen = rows.where(F.col(value).isNotNull()).select(key, value, "us").distinct()
-    each = Window.partitionBy(key, value).orderBy("us")
-    opens = F.lag("us").over(each).isNull() | (F.col("us") - F.lag("us").over(each) > width)
-    closes = F.lead("us").over(each).isNull() | (F.lead("us").over(each) - F.col("us") > width)
+    rows = _sliced(df.withColumn("us", _us(ts)), width)
+    each = Window.partitionBy(key, "__s", value).orderBy("us")
+    before, after = F.lag("us").over(each), F.lead("us").over(each)
+    opens, closes = before.isNull() | (F.col("us") - before > width), after.isNull() | (after - F.col("us") > width)
+    spells = rows.where(F.col(value).isNotNull() & F.col("us").isNotNull()).select(key, "__s", "us", opens.alias("opens"), closes.alias("closes"))
     # At one time beginnings come first, then the events, then ends.
-    marks = seen.withColumn("__opens", opens).withColumn("__closes", closes).select(key, F.explode(F.array_compact(F.array(F.when(F.col("__opens"), F.struct(F.col("us").alias("at"), F.lit(0).alias("o"), F.lit(1).alias("d"))), F.when(F.col("__closes"), F.struct((F.col("us") + width).alias("at"), F.lit(2).alias("o"), F.lit(-1).alias("d")))))).alias("m")).select(key, "m.*")
-    times = rows.select(key, F.col("us").alias("at"), F.lit(1).alias("o"), F.lit(0).alias("d")).distinct()
-    running = Window.partitionBy(key).orderBy("at", "o").rowsBetween(Window.unboundedPreceding, 0)
-    counted = marks.union(times).groupBy(key, "at", "o").agg(F.sum("d").alias("d")).withColumn("n", F.sum("d").over(running)).where("o = 1").select(F.col(key).alias("__k"), F.col("at").alias("__at"), F.col("n").cast("long").alias("n"))
-    return rows.join(counted, rows[key].eqNullSafe(F.col("__k")) & rows["us"].eqNullSafe(F.col("__at")), "left").drop("__k", "__at", "us")
+    ends = F.array_compact(F.array(F.when(F.col("opens"), F.struct(F.col("us").alias("at"), F.lit(0).alias("o"), F.lit(1).alias("d"))), F.when(F.col("closes"), F.struct((F.col("us") + width).alias("at"), F.lit(2).alias("o"), F.lit(-1).alias("d")))))
+    event = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    marks = spells.select(key, "__s", F.explode(ends).alias("m")).select(key, "__s", "m.*", F.lit(None).cast(rows.select(event).schema[0].dataType).alias("event"))
+    seen = rows.where("__own").select(key, "__s", F.col("us").alias("at"), F.lit(1).alias("o"), F.lit(0).alias("d"), event.alias("event"))
+    running = Window.partitionBy(key, "__s").orderBy("at", "o").rowsBetween(Window.unboundedPreceding, 0)
+    return marks.union(seen).withColumn("n", F.sum("d").over(running).cast("long")).where("o = 1").select("event.*", "n")
 
 
 def folded(rows: DataFrame, key: str, order: list[str], keep: list[str], made: str, start: Callable[[], Callable[..., tuple | None]], uses: list[str]) -> DataFrame:
@@ -72,59 +83,55 @@ def folded(rows: DataFrame, key: str, order: list[str], keep: list[str], made: s
     return rows.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, types)
 
 
-def distinct_hits(df: DataFrame, key: str, ts: str, order: str, count: int, window: float, suppress: float, value: Column) -> DataFrame:
-    width, quiet = int(window * 1_000_000), int(suppress * 1_000_000)
-    rn = F.row_number().over(Window.partitionBy(key).orderBy(ts, order))
-    rows = df.select(key, ts, _us(ts).alias("us"), rn.alias("rn"), value.cast("string").alias("v")).where("us is not null")
-
-    def start():
-        last: dict[str | None, int] = {}  # each value's last time, the oldest first; fewer than count
-        fired = None
-
-        def step(us: int, v: str | None) -> tuple | None:
-            nonlocal fired
-            last.pop(v, None)
-            last[v] = us
-            while us - (old := next(iter(last.items())))[1] > width:
-                del last[old[0]]
-            if len(last) < count:
-                return None
-            last.clear()
-            fire = fired is None or us - fired >= quiet
-            fired = us if fire else fired
-            return (fire,)
+#: A key with more rows than this, and more than a thousandth of all rows, is dealt to all tasks by slices of time.
+HOT_ROWS = 2_000_000
 
-        return step
 
-    return folded(rows, key, ["rn"], [key, "rn", ts], "fired boolean", start, ["us", "v"])
+def hot_keys(rows: DataFrame, key: str, least: int) -> list:
+    """(key, n, nulls, lo, hi) of the keys with more than ``least`` rows and a thousandth of all: a thousand at most.  rows: (key, us)."""
+    each = rows.groupBy(key).agg(F.count("us").alias("n"), F.count(F.lit(1)).alias("rows"), F.min("us").alias("lo"), F.max("us").alias("hi"))
+    share = each.crossJoin(F.broadcast(rows.agg(F.count(F.lit(1)).alias("__all"))))  # one row
+    return share.where((F.col("n") > least) & (F.col("n") > F.col("__all") / 1000)).select(key, "n", (F.col("rows") - F.col("n")).alias("nulls"), "lo", "hi").collect()
 
 
-def threshold_hits(df: DataFrame, key: str, ts: str, order: str, count: int, window: float, suppress: float, distinct: Column | None = None) -> DataFrame:
+def threshold_hits(df: DataFrame, key: str, ts: str, order: str, count: int, window: float, suppress: float, distinct: Column | None = None, hot_rows: int | None = None) -> DataFrame:
     """(key, rn, ts, fired): hits of "count events within window" (edge included), where a hit uses its events up; a hit within suppress of the last fired one only touches it.
 
-    With ``distinct``, different values count (as strings, a missing one as a value) instead of events.
+    With ``distinct``, different values count (as strings, a missing one as a value) instead of events.  rn: the event's number within its key.
+    A key's events stream through the fold; a key of more than ``hot_rows`` goes to all tasks by slices of time (see ``sliced``).
     """
-    if distinct is not None:
-        return distinct_hits(df, key, ts, order, count, window, suppress, distinct)
+    from . import rule_pack, sliced
+
     width, quiet = int(window * 1_000_000), int(suppress * 1_000_000)
-    w = Window.partitionBy(key).orderBy(ts, order)
-    ordered = df.select(key, ts, _us(ts).alias("us"), F.row_number().over(w).alias("rn"), F.lag(_us(ts), count - 1).over(w).alias("first"))
-    ready = ordered.where((F.col("us") - F.col("first")) <= width)
+    value = F.lit(None).cast("string") if distinct is None else distinct.cast("string")
+    rows = df.select(key, ts, _us(ts).alias("us"), F.col(order).alias("__o"), value.alias("v"))
+    hot = hot_keys(rows, key, HOT_ROWS if hot_rows is None else hot_rows)
+    fold = (rule_pack.occurrences if distinct is None else rule_pack.values)(count, width, quiet)
 
     def start():
-        last = fired = None
-
-        def step(rn: int, us: int) -> tuple | None:
-            nonlocal last, fired
-            if last is not None and rn < last + count:
-                return None
-            fire = fired is None or us - fired >= quiet
-            last, fired = rn, us if fire else fired
-            return (fire,)
-
-        return step
-
-    return folded(ready, key, ["rn"], [key, "rn", ts], "fired boolean", start, ["rn", "us"])
+        step, rn = fold(), 0
+
+        def one(us: int | None, v: str | None) -> tuple | None:
+            nonlocal rn
+            rn += 1
+            hit = None if us is None else step(us, 1, v)
+            return None if hit is None else (rn, hit[2])
+
+        return one
+
+    kinds = f"`{key}` {rows.schema[key].dataType.simpleString()}, hid int, n long, nulls long, lo long, hi long"
+    if not hot:
+        return folded(rows, key, ["us", "__o"], [key, ts], "rn int, fired boolean", start, ["us", "v"]).select(key, "rn", ts, "fired")
+    known = F.broadcast(rows.sparkSession.createDataFrame([(r[0], i, *r[1:]) for i, r in enumerate(hot)], kinds).withColumnRenamed(key, "__k"))
+    same = rows[key].eqNullSafe(known["__k"])
+    cold = folded(rows.join(known, same, "left_anti"), key, ["us", "__o"], [key, ts], "rn int, fired boolean", start, ["us", "v"]).select(key, "rn", ts, "fired")
+    own = rows.where("us is not null").join(known, same).select("hid", "us", F.col("__o").alias("o"), "v", "lo", "n", "hi")
+    found = sliced.hits(own, count, width, distinct is not None)
+    spans = known.select("hid", "lo", "n", "hi")
+    flagged = sliced.fired(found.join(spans, "hid"), quiet)
+    at = F.timestamp_micros("us").cast(rows.schema[ts].dataType)
+    back = flagged.join(known, "hid").select(F.col("__k").alias(key), (F.col("rn") + F.col("nulls")).cast("int").alias("rn"), at.alias(ts), "fired")
+    return cold.unionByName(back)
 
 
 def alert_sessions(hits: DataFrame, key: str, ts: str, suppress: float, worth: Column) -> DataFrame:

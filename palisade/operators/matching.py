@@ -64,6 +64,19 @@ def one(x: Column, expected: object, mods: set[str]) -> Column:
     return _sure(left == want)
 
 
+def _together(values: list, mods: set[str]) -> Callable[[Column], Column] | None:
+    """Many plain texts looked for at once: as one set, or as one pattern of alternatives.  None where they are not all plain, or must all be there."""
+    if not all(isinstance(v, str) for v in values) or mods - {"contains", "startswith", "endswith", "cs", "not"} or (not mods & {"contains", "startswith", "endswith"} and any(re.search(r"[*?]", v) for v in values)):
+        return None
+    want = list(dict.fromkeys(v if "cs" in mods else v.lower() for v in values))
+    text = (lambda x: x.cast("string")) if "cs" in mods else (lambda x: F.lower(x.cast("string")))
+    if not mods & {"contains", "startswith", "endswith"}:
+        return lambda x: _sure(text(x).isin(*want))
+    any_of = "(?:" + "|".join(map(re.escape, want)) + ")"
+    pattern = any_of if "contains" in mods else rf"^{any_of}" if "startswith" in mods else rf"{any_of}\z"
+    return lambda x: _sure(text(x).rlike(pattern))
+
+
 def field_test(key: str, expected: object, column: Callable[[str], Column], lists: frozenset[str] = frozenset()) -> Column:
     """``name|mod|mod: value or [values]``; several values mean any of them, or all with the modifier ``all``."""
     name, *mods = key.split("|")
@@ -71,6 +84,9 @@ def field_test(key: str, expected: object, column: Callable[[str], Column], list
         raise RuleError(f"unknown modifier {sorted(unknown)[0]}")
     x, mods = column(name), set(mods)
     values = expected if isinstance(expected, list) else [expected]
+    if len(values) > 1 and (together := _together(values, mods)):
+        out = _sure(F.exists(x, together)) if name in lists else together(x)
+        return ~out if "not" in mods else out
     if name in lists:
         test = lambda v: (x.isNull() | (F.size(x) == 0)) if v is None else _sure(F.exists(x, lambda e: one(e, v, mods)))
     else:

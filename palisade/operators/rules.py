@@ -179,20 +179,12 @@ def alerts(rule: Rule, events: DataFrame, ts: str, event_id: str, column: Callab
 
 
 def all_alerts(rules: Iterable[Rule], events: DataFrame, ts: str, event_id: str, column: Callable[[str], Column], lists: frozenset[str] = frozenset()) -> DataFrame:
-    """The alerts of all enabled rules.  A rule that cannot be compiled against the events is left out and listed in ``failed`` of the result."""
-    out, failed = None, {}
-    for rule in rules:
-        if not rule.enabled:
-            continue
-        try:
-            found = alerts(rule, events, ts, event_id, column, lists)
-        except Exception as e:  # noqa: BLE001 - one rule must not stop the others
-            failed[rule.id] = str(e)
-            continue
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        out = events.sparkSession.createDataFrame([], "rule_id string, group_key string, first_seen timestamp, last_seen timestamp, count long")
-    out.failed = failed
+    """The alerts of all enabled rules, in one pass.  A rule that cannot be compiled against the events is left out and listed in ``failed`` of the result."""
+    from . import rule_pack
+
+    found = rule_pack.alerts(list(rules), events, ts, event_id, column, lists)
+    out = found.select("rule_id", "group_key", "first_seen", "last_seen", "count")
+    out.failed = found.failed
     return out
 
 
