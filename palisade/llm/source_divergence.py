@@ -1,8 +1,9 @@
 """Source divergence audit: how far apart a language's sources are in their words, and which words set each one off.
 
-Each task counts its terms in byte tries, one a language, whose leaves hold a counter for each source.  Tries are told in byte order, cut into ranges
-of prefixes over all tasks, and the tries of a range are merged; so a range is traversed in UTF-8 order, leaf after leaf.  A traversal
-streams two things: each source's candidates, and what the terms that two sources share add to the pair's divergence.
+Each task counts its terms in byte tries, one a language, with counters for each source at the leaves.  A trie branches on a term's first bytes; what lies
+below such a prefix is one container, which is told by itself.  So tries are merged prefix by prefix, each by some task, and
+traversed in UTF-8 order, leaf after leaf.  The traversal gives two things: each source's candidates, and what the terms that two sources share
+add to the pair's divergence.
 
 The divergence of a pair sums over all kept terms, though most terms are missing from most sources.  f(p, q) is split by the values p0 and q0
 of missing terms:  V f(p0, q0) + sum over a's terms of (f(p, q0) - f(p0, q0)) + the same for b's
@@ -17,6 +18,7 @@ count.  An empty table gives an empty table.  Extra columns are left aside.
 
 from __future__ import annotations
 
+import pickle
 from collections import Counter, defaultdict
 from itertools import groupby
 
@@ -29,165 +31,129 @@ from . import common
 
 SCALE = 1_000_000_000
 #: Different (language, source, term) that a task counts before its tries are told.
-TOLD = 400_000
+TOLD = 600_000
+#: Bytes of a prefix, and of one that begins with a letter beyond ASCII.
+ASCII_PREFIX, PREFIX = 3, 4
 #: Terms that are looked at together, and sources of a block of them.
 TERMS, SOURCES = 2048, 128
 # Bytes of terms, with capitals as small letters; all others are spaces.
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b > 127 else 32 for b in range(256))
 
 
-class Node:
-    __slots__ = ("children", "label", "leaf")
-
-    def __init__(self, label: bytes):
-        self.label, self.children, self.leaf = label, {}, None
-
-
 class Trie:
-    """A radix trie of byte strings; a leaf counts the documents, and the occurrences by source."""
+    """The terms of one language in a byte trie: it branches on a term's first bytes, and below each such prefix the terms are in one container,
+    with a counter of occurrences and one of documents for each source.
 
-    def __init__(self):
-        self.root = Node(b"")
-
-    def leaf(self, key: bytes) -> list:
-        """[documents, {source: occurrences}] of the key, made if there is none."""
-        node, at = self.root, 0
-        while at < len(key):
-            child = node.children.get(key[at])
-            if child is None:
-                child = node.children[key[at]] = Node(key[at:])
-                node, at = child, len(key)
-                break
-            label = child.label
-            if key.startswith(label, at):
-                node, at = child, at + len(label)
-                continue
-            same = 1
-            while at + same < len(key) and key[at + same] == label[same]:
-                same += 1
-            upper = node.children[key[at]] = Node(label[:same])
-            child.label = label[same:]
-            upper.children[child.label[0]] = child
-            node, at = upper, at + same
-        if node.leaf is None:
-            node.leaf = [0, {}]
-        return node.leaf
-
-    def merge(self, key: bytes, docs: int, sources: list, counts: list) -> None:
-        leaf = self.leaf(key)
-        leaf[0] += docs
-        for s, n in zip(sources, counts, strict=True):
-            leaf[1][s] = leaf[1].get(s, 0) + n
-
-    def walk(self):
-        """(key, documents, {source: occurrences}) in byte order."""
-        stack = [(self.root, b"")]
-        while stack:
-            node, before = stack.pop()
-            key = before + node.label
-            if node.leaf is not None:
-                yield key, *node.leaf
-            stack.extend((node.children[b], key) for b in sorted(node.children, reverse=True))
+    Tries are merged prefix by prefix, as a container is told by itself; its terms are walked in byte order.
+    """
 
-
-_LEAF = "lang string, term string, docs long, sources array<string>, counts array<long>"
-_LEAF_TYPES = pa.schema([("lang", pa.string()), ("term", pa.string()), ("docs", pa.int64()), ("sources", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
-_PAIR = "lang string, a string, b string, value long"
-_PAIR_TYPES = pa.schema([("lang", pa.string()), ("a", pa.string()), ("b", pa.string()), ("value", pa.int64())])
-
-
-def _told(rows: list[tuple], types: pa.Schema = _LEAF_TYPES) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), types, strict=True)], schema=types)
+    def __init__(self):
+        #: By source: occurrences and documents of each term.
+        self.leaves: dict[str, tuple[Counter, Counter]] = {}
+
+    def add(self, source: str, words: list[bytes]) -> None:
+        """The words of one document."""
+        if source not in self.leaves:
+            self.leaves[source] = Counter(), Counter()
+        n, docs = self.leaves[source]
+        n.update(words)
+        docs.update(set(words))
+
+    def size(self) -> int:
+        return sum(len(n) for n, _ in self.leaves.values())
+
+    def containers(self):
+        """(prefix, {source: (terms, occurrences, documents)}) of all containers."""
+        out: dict[bytes, dict] = defaultdict(dict)
+        for source, (n, docs) in self.leaves.items():
+            below: dict[bytes, list[bytes]] = defaultdict(list)
+            for w in n:
+                below[w[: ASCII_PREFIX if w[0] < 128 else PREFIX]].append(w)
+            for prefix, words in below.items():
+                k = len(words)
+                out[prefix][source] = b" ".join(words), np.fromiter(map(n.__getitem__, words), np.int64, k).tobytes(), np.fromiter(map(docs.__getitem__, words), np.int64, k).tobytes()
+        return out.items()
+
+    def merge(self, container: dict) -> None:
+        for source, (words, n, docs) in container.items():
+            if source not in self.leaves:
+                self.leaves[source] = Counter(), Counter()
+            for counter, more in zip(self.leaves[source], (n, docs), strict=True):
+                get = counter.get
+                for w, k in zip(words.split(b" "), np.frombuffer(more, np.int64).tolist(), strict=True):
+                    counter[w] = get(w, 0) + k
+
+    def walk(self, least_docs: int):
+        """(term, documents, sources, occurrences) in byte order, of terms in ``least_docs`` documents or more."""
+        total: Counter = Counter()
+        for _, docs in self.leaves.values():
+            total.update(docs)
+        for w in sorted(w for w, d in total.items() if d >= least_docs):
+            own = [(s, n[w]) for s, (n, _) in self.leaves.items() if w in n]
+            yield w.decode(), total[w], [s for s, _ in own], [k for _, k in own]
 
 
 def count_tries(docs: DataFrame) -> DataFrame:
-    """(lang, term, docs, sources, counts): the leaves of each task's tries in byte order; the term is null in a row that tells all of a language's sources."""
+    """(lang, prefix, container, sources): the containers of each task's tries; a row without a prefix tells all sources of a language."""
+    types = pa.schema([("lang", pa.string()), ("prefix", pa.binary()), ("container", pa.binary()), ("sources", pa.list_(pa.string()))])
 
     def run(batches):
-        # What a trie's leaves will hold waits in hash tables, so that a trie is gone through once for each different term.
-        counts: dict[tuple[str, str], Counter] = defaultdict(Counter)
-        docs_of: dict[str, Counter] = defaultdict(Counter)
+        tries: dict[str, Trie] = defaultdict(Trie)
 
         def flush():
-            tries: dict[str, Trie] = defaultdict(Trie)
-            for (lang, source), words in counts.items():
-                leaf = tries[lang].leaf
-                for w, n in words.items():
-                    leaf(w)[1][source] = n
-            for lang, words in docs_of.items():
-                leaf = tries[lang].leaf
-                for w, n in words.items():
-                    leaf(w)[0] = n
-            sources = defaultdict(list)
-            for lang, source in counts:
-                sources[lang].append(source)
-            yield _told([(lang, None, 0, s, [0] * len(s)) for lang, s in sources.items()])
+            yield _told([(lang, None, None, [*t.leaves]) for lang, t in tries.items()], types)
             for lang in list(tries):
-                rows = []
-                for key, n, by in tries.pop(lang).walk():
-                    rows.append((lang, key.decode(), n, [*by], [*by.values()]))
-                    if len(rows) == 5000:
-                        yield _told(rows)
-                        rows = []
-                if rows:
-                    yield _told(rows)
-            counts.clear()
-            docs_of.clear()
+                rows = [(lang, prefix, pickle.dumps(c), None) for prefix, c in tries.pop(lang).containers()]
+                for i in range(0, len(rows), 2000):
+                    yield _told(rows[i : i + 2000], types)
 
         for batch in batches:
-            texts, langs, sources = (batch.column(i).to_pylist() for i in range(3))
-            for t, lang, source in zip(texts, langs, sources, strict=True):
-                words = t.translate(_TABLE).split()
-                counts[lang, source].update(words)
-                docs_of[lang].update(set(words))
-            if sum(map(len, counts.values())) > TOLD:
+            for t, lang, source in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                tries[lang].add(source, t.translate(_TABLE).split())
+            if sum(t.size() for t in tries.values()) > TOLD:
                 yield from flush()
-        if counts:
+        if tries:
             yield from flush()
         common.released()
 
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(common.BATCH_ROWS))
-    return docs.select(text("text").cast("binary").alias("text"), text("lang").alias("lang"), text("source").alias("source")).mapInArrow(run, _LEAF)
+    return docs.select(text("text").cast("binary").alias("text"), text("lang").alias("lang"), text("source").alias("source")).mapInArrow(run, "lang string, prefix binary, container binary, sources array<string>")
+
+
+_LEAF = "lang string, term string, docs long, sources array<string>, counts array<long>"
+_LEAF_TYPES = pa.schema([("lang", pa.string()), ("term", pa.string()), ("docs", pa.int64()), ("sources", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
+_PAIR = "lang string, a string, b string, value long"
+_PAIR_TYPES = pa.schema([("lang", pa.string()), ("a", pa.string()), ("b", pa.string()), ("value", pa.int64())])
+
+
+def _told(rows: list[tuple], types: pa.Schema = _LEAF_TYPES) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), types, strict=True)], schema=types)
 
 
-def merged(leaves: DataFrame, least_docs: int) -> DataFrame:
-    """The leaves of terms in ``least_docs`` documents or more, merged by ranges of (lang, term), each range in byte order."""
+def merged(containers: DataFrame, least_docs: int) -> DataFrame:
+    """(lang, term, docs, sources, counts) of terms in ``least_docs`` documents or more: the containers of each prefix merged, and walked in byte order."""
 
     def run(batches):
-        # Rows come sorted, so a trie holds the terms of one batch and one language, and the last term may go on in the next batch.
-        lang, trie = None, Trie()
-
-        def out(upto=None):
-            # All before the term ``upto`` is whole; that one's leaf goes into a trie of its own.
-            nonlocal trie
-            done, trie_next = [], Trie()
-            for key, n, by in trie.walk():
-                if key == upto:
-                    trie_next.merge(key, n, [*by], [*by.values()])
-                elif n >= least_docs:
-                    done.append((lang, key.decode(), n, [*by], [*by.values()]))
-            trie = trie_next
-            if done:
-                yield _told(done)
+        at, trie = None, Trie()
+
+        def walked():
+            rows = [(at[0], *x) for x in trie.walk(least_docs)]
+            for i in range(0, len(rows), 5000):
+                yield _told(rows[i : i + 5000])
 
         for batch in batches:
-            cols = [batch.column(i).to_pylist() for i in range(5)]
-            key = None
-            for name, rows in groupby(zip(*cols, strict=True), key=lambda r: r[0]):
-                if name != lang:
-                    yield from out()
-                    lang = name
-                for _, term, n, sources, counts in rows:
-                    key = term.encode()
-                    trie.merge(key, n, sources, counts)
-            yield from out(key)
-        yield from out()
+            for lang, prefix, container in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if (lang, prefix) != at:
+                    yield from walked()
+                    at, trie = (lang, prefix), Trie()
+                trie.merge(pickle.loads(container))
+        yield from walked()
         common.released()
 
-    docs = leaves.where("term IS NOT NULL")
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
-    return docs.repartitionByRange("lang", "term").sortWithinPartitions("lang", "term").mapInArrow(run, _LEAF)
+    rows = containers.where("prefix IS NOT NULL").select("lang", "prefix", "container")
+    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    return rows.repartition("lang", "prefix").sortWithinPartitions("lang", "prefix").mapInArrow(run, _LEAF)
 
 
 def share(count: Column, total: Column, terms: Column) -> Column:
@@ -211,9 +177,9 @@ def _f(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 def audit(docs: DataFrame, least_docs: int = 10, most_terms: int = 10) -> DataFrame:
     """(lang, source, part, item, value, rank): part ``pair``: the divergence from each other source of the language; part ``term``: the
     ``most_terms`` terms by which a source is most above its language."""
-    leaves = common.stored(count_tries(docs), "leaves")
+    leaves = common.stored(count_tries(docs), "containers")
     kept = common.stored(merged(leaves, least_docs), "kept-terms")
-    occurring = leaves.where("term IS NULL").select("lang", F.explode("sources").alias("source")).distinct()
+    occurring = leaves.where("prefix IS NULL").select("lang", F.explode("sources").alias("source")).distinct()
     each = kept.select("lang", "term", F.explode(F.arrays_zip("sources", "counts")).alias("x")).select("lang", "term", F.col("x.sources").alias("source"), F.col("x.counts").alias("count"))
     # How many terms of a group have each count; N and V follow from that, for groups and languages.
     shape = common.stored(each.groupBy("lang", "source", "count").agg(F.count(F.lit(1)).alias("terms")), "shapes")
