@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from . import common
 from .token_stream import Numbers
 
-#: Words of a shard.
-WORDS = 2_500_000
+#: Words of a shard: an automaton takes some 150 bytes a word while it is made.
+WORDS = 1_200_000
 MOST_BUCKETS = 1 << 30
 _BLOCK = 1 << 16
 _END = b"."
