@@ -10,6 +10,7 @@ from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, MapType, StructType
 
 from ..functions.scalar import in_cidr
 from ..plans.boolean_text import folded
@@ -131,16 +132,28 @@ def condition(text: str, selections: dict[str, Column]) -> Column:
         raise RuleError(str(e)) from None
 
 
-def nested(columns: list[str]) -> Callable[[str], Column]:
-    """A field by its dotted name: the flat column of that name if there is one, else the struct fields along the name, else null."""
-    known = set(columns)
+def nested(columns: list[str] | StructType) -> Callable[[str], Column]:
+    """A field by its dotted name: the flat column of that name if there is one, else the struct fields along the name, or the entry of a map, else null.
+
+    With the schema, names that lead through a column without such fields are null; with names alone, that is an error when the plan is made.
+    """
+    known = set(columns.names if isinstance(columns, StructType) else columns)
+
+    def inside(kind: DataType, parts: list[str]) -> bool:
+        for i, p in enumerate(parts):
+            if isinstance(kind, MapType):
+                return i == len(parts) - 1
+            if not isinstance(kind, StructType) or p not in kind.names:
+                return False
+            kind = kind[p].dataType
+        return True
 
     def column(name: str) -> Column:
         if name in known:
             return F.col(f"`{name}`")
         parts = name.split(".")
         for i in range(len(parts) - 1, 0, -1):
-            if (head := ".".join(parts[:i])) in known:
+            if (head := ".".join(parts[:i])) in known and (not isinstance(columns, StructType) or inside(columns[head].dataType, parts[i:])):
                 return F.col(".".join([f"`{head}`", *[f"`{p}`" for p in parts[i:]]]))
         return F.lit(None).cast("string")
 

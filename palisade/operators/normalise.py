@@ -5,6 +5,7 @@ Events are the columns of ``sources.parsers.FIELDS``; what has no column is in `
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
 from ..functions import scalar
+from .matching import nested as nested_field
 
 # Top-level domains that are often abused.
 SUSPICIOUS = ("xyz", "top", "zip", "click", "tk", "ml", "ga", "cf", "gq", "onion", "ru", "su", "pw", "cc", "ws")
@@ -46,6 +48,20 @@ def field_of(name: str) -> Column:
     return F.col(own[name]) if name in own else F.col("extra")[name]
 
 
+def resolver(events: DataFrame) -> Callable[[str], Column]:
+    """Fields of parsed events by their dotted names: a column of that name, the event's own columns, structs, then what is in ``extra``."""
+    own, columns, look = {v: k for k, v in NAMES.items()}, set(events.columns), nested_field(events.schema)
+
+    def column(name: str) -> Column:
+        if name not in columns and own.get(name) in columns:
+            return F.col(own[name])
+        if name in columns or "extra" not in columns:
+            return look(name)
+        return F.col("extra")[name]
+
+    return column
+
+
 def canonical(kind: str, value: Column) -> Column:
     """The allowed value that a source means, or the value in lower case if there is none."""
     plain = F.translate(F.lower(F.trim(value)), "- ", "__")

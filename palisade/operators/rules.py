@@ -5,7 +5,8 @@ from __future__ import annotations
 import glob
 import os
 from collections.abc import Callable, Iterable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -61,21 +62,36 @@ def _names(value: object) -> list[str]:
     return [value] if isinstance(value, str) else [str(v) for v in value or []]
 
 
-def load(directory: str, strict: bool = False) -> list[Rule]:
-    """All rules below a directory, sorted by id; a later rule with a known id is skipped, or an error if strict."""
+def load(directory: str, strict: bool = False, renamed: dict[str, str] | None = None) -> list[Rule]:
+    """All rules below a directory, sorted by id; a later rule with a known id is skipped, or an error if strict.
+
+    ``renamed``: beginnings of field names that a pack uses, and what they are called here (a vendor's name space, ``{"vendor.": "palisade."}``).
+    """
     import yaml
 
     out: dict[str, Rule] = {}
     for path in sorted(p for ext in ("yml", "yaml") for p in glob.glob(os.path.join(directory, "**", f"*.{ext}"), recursive=True)):
         with open(path, encoding="utf-8") as f:
             for doc in filter(None, yaml.safe_load_all(f)):
-                rule = from_dict(doc)
+                rule = from_dict(_renamed(doc, renamed) if renamed else doc)
                 if rule.id in out and strict:
                     raise matching.RuleError(f"{path}: {rule.id} exists already")
                 out.setdefault(rule.id, rule)
     return [out[k] for k in sorted(out)]
 
 
+def _renamed(spec: object, names: dict[str, str]) -> object:
+    """Keys, and fields that are named as values, with their beginnings replaced; other texts stay."""
+
+    def name(text: object) -> object:
+        return next((new + text[len(old) :] for old, new in names.items() if isinstance(text, str) and text.startswith(old)), text)
+
+    if isinstance(spec, dict):
+        named = ("group_by", "by", "distinct", "dataset")
+        return {name(k): ([name(x) for x in v] if isinstance(v, list) else name(v)) if k in named else _renamed(v, names) for k, v in spec.items()}
+    return [_renamed(x, names) for x in spec] if isinstance(spec, list) else spec
+
+
 def problems(doc: dict) -> list[str]:
     """All that is wrong with a rule."""
     out = [f"a rule needs {key}" for key in ("id", "title") if not doc.get(key)]
@@ -194,6 +210,14 @@ def matches(rules: Iterable[Rule], events: DataFrame, column: Callable[[str], Co
     return events.withColumn("rules", F.array_compact(F.array(*tests)) if tests else F.array().cast("array<string>"))
 
 
+def dry_run(rule: Rule, events: DataFrame, ts: str, event_id: str, column: Callable[[str], Column], lists: frozenset[str] = frozenset()) -> tuple[DataFrame, DataFrame]:
+    """(alerts, matched events) that a rule would give, whether it is enabled or not: nothing is suppressed, nothing is written."""
+    tried = replace(rule, suppress=0.0, enabled=True)
+    stages = (rule.sequence or {}).get("stages", [])
+    fits = reduce(lambda a, b: a | b, [matching.selection(s["selection"], column, lists) for s in stages]) if stages else predicate(tried, column, lists)
+    return alerts(tried, events, ts, event_id, column, lists), events.where(fits)
+
+
 def table(spark, rules: Iterable[Rule]) -> DataFrame:
     """(id, title, severity, kind, enabled, tags) of rules, sorted by id."""
     rows = [(r.id, r.title, r.severity, r.kind, r.enabled, r.tags) for r in sorted(rules, key=lambda r: r.id)]

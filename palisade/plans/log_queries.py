@@ -46,7 +46,7 @@ _BAD = lambda: F.col("event_type") == "error"
 
 
 @_add("parse_syslog", """
-SELECT event_id, CASE event_type WHEN 'error' THEN 'logon-failed' WHEN 'signup' THEN 'user-created' WHEN 'view' THEN 'su-success' WHEN 'click' THEN 'cron-command' ELSE 'systemd-unit-started' END AS action,
+SELECT event_id, CASE event_type WHEN 'error' THEN 'ssh-login-failed' WHEN 'signup' THEN 'user-created' WHEN 'view' THEN 'su-success' WHEN 'click' THEN 'cron-command' ELSE 'systemd-unit-started' END AS action,
   CASE event_type WHEN 'error' THEN 'failure' ELSE 'success' END AS outcome, CASE WHEN event_type IN ('error', 'view', 'click') THEN 'u' || user_id END AS "user", CASE event_type WHEN 'signup' THEN 'u' || user_id WHEN 'view' THEN 'root' END AS target,
   CASE event_type WHEN 'error' THEN '10.0.0.' || user_id END AS ip, CASE event_type WHEN 'error' THEN event_id END AS port, epoch_us(ts) AS us, 'h' || event_id % 7 AS host, 'auth' AS facility, 'critical' AS severity FROM events""")
 def parse_syslog(s: SparkSession, d: str) -> DataFrame:
@@ -109,7 +109,7 @@ def _xml(channel: str, code: Column | str, data: dict[str, Column]) -> Column:
 @_add("parse_windows", """
 SELECT event_id, code, action, category, CASE WHEN code = '4625' THEN 'failure' ELSE 'success' END AS outcome, CASE WHEN code IN ('4625', '4624') THEN 't' || user_id ELSE 's' || user_id END AS "user", CASE WHEN code IN ('4625', '4624', '4720') THEN 't' || user_id END AS target,
   CASE WHEN code = '4625' THEN 'wrong password' END AS reason, CASE WHEN code IN ('4625', '4624') THEN 'remote-interactive' END AS logon, CASE WHEN code = '4688' THEN 'cmd.exe' END AS program, CASE WHEN code = '4688' THEN 'cmd /c "' || user_id || '"' END AS command, epoch_us(ts) AS us
-FROM (SELECT *, CASE event_type WHEN 'error' THEN '4625' WHEN 'signup' THEN '4720' WHEN 'view' THEN '4688' WHEN 'click' THEN '4624' ELSE '1102' END AS code, CASE event_type WHEN 'error' THEN 'logon-failed' WHEN 'signup' THEN 'user-created' WHEN 'view' THEN 'process-created' WHEN 'click' THEN 'logon-success' ELSE 'audit-log-cleared' END AS action,
+FROM (SELECT *, CASE event_type WHEN 'error' THEN '4625' WHEN 'signup' THEN '4720' WHEN 'view' THEN '4688' WHEN 'click' THEN '4624' ELSE '1102' END AS code, CASE event_type WHEN 'error' THEN 'ssh-login-failed' WHEN 'signup' THEN 'user-created' WHEN 'view' THEN 'process-created' WHEN 'click' THEN 'logon-success' ELSE 'audit-log-cleared' END AS action,
   CASE event_type WHEN 'signup' THEN 'iam' WHEN 'view' THEN 'process' WHEN 'purchase' THEN 'configuration' ELSE 'authentication' END AS category FROM events)""")
 def parse_windows(s: SparkSession, d: str) -> DataFrame:
     kind = F.col("event_type")
@@ -362,7 +362,7 @@ def scalar_text(s: SparkSession, d: str) -> DataFrame:
 
 
 _PACK = [
-    {"id": "p1", "title": "failed logon from the lab", "detection": {"a": {"action": "logon-failed"}, "b": {"source_ip|cidr": "10.0.0.0/26"}, "condition": "a and b"}},
+    {"id": "p1", "title": "failed logon from the lab", "detection": {"a": {"action": "ssh-login-failed"}, "b": {"source_ip|cidr": "10.0.0.0/26"}, "condition": "a and b"}},
     {"id": "p2", "title": "worth a look", "detection": {"a": {"severity_score|gte": 30, "host": "web1"}}},
     {"id": "p3", "title": "odd users", "detection": {"a": {"user|re": "^u[0-9]*7$"}, "quiet": {"action|contains": "fail"}, "condition": "a and not quiet"}},
 ]
@@ -376,3 +376,83 @@ def log_pipeline(s: SparkSession, d: str) -> DataFrame:
     line = F.concat(F.lit("Jan  5 10:00:00 web1 sshd[7]: "), F.when(_BAD(), "Failed").otherwise("Accepted"), F.lit(" password for "), _user(), F.lit(" from "), _ip(), F.lit(" port 22 ssh2"))
     rows = enrich.scored(enrich.directed(normalise.normalised(_parsed(_events(s, d), line, "syslog")), _LAB[:1]))
     return rules.matches(map(rules.from_dict, _PACK), rows, nested(rows.columns)).select("event_id", F.col("severity_score").alias("score"), F.array_join("rules", ",").alias("rules"))
+
+
+# Ninety-five match rules, and a threshold and a sequence whose results other queries state by themselves.
+_KINDS = ("view", "signup", "purchase", "click", "error")
+
+
+def pack_of_rules() -> list[rules.Rule]:
+    plain = [{"id": f"m{i:02}", "title": "m", "suppress": "6h", "group_by": "user", "detection": {"a": {"action": _KINDS[i // 19]}, "b": {"host|endswith": [f"-{i % 19}x", f"-{i % 19}y"]}, "condition": "a and b"}} for i in range(95)]
+    often = {"id": "t", "title": "t", "suppress": "24h", "detection": {"a": {"action|exists": True}}, "threshold": {"count": 4, "window": "12h", "group_by": "user"}}
+    steps = {"id": "s", "title": "s", "suppress": 0, "sequence": {"by": ["user"], "within": "72h", "stages": [{"selection": {"action": "error"}, "count": 2}, {"selection": {"action": "purchase"}}]}}
+    return [rules.from_dict(r) for r in (*plain, often, steps)]
+
+
+def pack_sql(hits: str, runs: str) -> str:
+    return f"""
+WITH m AS (SELECT 'm' || lpad(((list_position(['view', 'signup', 'purchase', 'click', 'error'], event_type) - 1) * 19 + user_id % 19)::VARCHAR, 2, '0') AS rule_id, user_id, ts, event_id FROM events WHERE event_id % 3 < 2),
+g AS (SELECT *, lag(ts) OVER w AS before FROM m WINDOW w AS (PARTITION BY rule_id, user_id ORDER BY ts, event_id)),
+n AS (SELECT *, sum((before IS NULL OR ts - before > INTERVAL 6 HOUR)::INT) OVER (PARTITION BY rule_id, user_id ORDER BY ts, event_id) AS k FROM g)
+SELECT rule_id, 'user=u' || user_id AS group_key, epoch_us(min(ts)) AS first_us, epoch_us(max(ts)) AS last_us, count(*) AS count FROM n GROUP BY rule_id, user_id, k
+UNION ALL SELECT 't', 'user=u' || user_id, first_us, last_us, count FROM ({hits})
+UNION ALL SELECT 's', 'user=u' || user_id, us, us, n::BIGINT FROM ({runs})"""
+
+
+@_add("rule_pack_alerts", "")
+def rule_pack_alerts(s: SparkSession, d: str) -> DataFrame:
+    """Ninety-seven rules of all kinds over all events in one scan and one shuffle."""
+    host = F.concat(F.lit("h-"), F.col("user_id") % 19, F.element_at(F.array(F.lit("x"), F.lit("y"), F.lit("z")), (F.col("event_id") % 3 + 1).cast("int")))
+    rows = _shaped(_events(s, d), host=host, action=F.col("event_type"), user=_user())
+    found = rules.all_alerts(pack_of_rules(), rows, "ts", "event_id", normalise.resolver(rows))
+    return found.select("rule_id", "group_key", F.unix_micros("first_seen").alias("first_us"), F.unix_micros("last_seen").alias("last_us"), "count")
+
+
+#: Rules that are keyed on what parsers write: module, dataset, actions, tags.
+_FORMAT = [
+    {"id": "web-env", "title": "x", "logsource": {"module": "web"}, "detection": {"a": {"url.original|contains": [".env", "passwd"]}}},
+    {"id": "web-tool", "title": "x", "logsource": {"module": "web"}, "detection": {"a": {"tags": "scanner-user-agent"}}},
+    {"id": "web-error", "title": "x", "logsource": {"module": "web"}, "detection": {"a": {"tags": "sensitive-path"}}},
+    {"id": "ssh-fail", "title": "x", "logsource": {"dataset": "linux.auth"}, "detection": {"a": {"event.action": ["ssh-login-failed", "ssh-invalid-user", "ssh-pam-auth-failure"]}}},
+    {"id": "ssh-key", "title": "x", "logsource": {"dataset": "linux.auth"}, "detection": {"a": {"event.action": "ssh-login-success", "palisade.auth.method": "publickey"}}},
+    {"id": "sudo", "title": "x", "logsource": {"module": "linux"}, "detection": {"a": {"event.action": ["sudo-failed", "sudo-auth-failure"]}}},
+    {"id": "win-logon", "title": "x", "logsource": {"module": "windows"}, "detection": {"a": {"event.code": "4625", "winlog.logon.type": "network"}}},
+    {"id": "dhcp", "title": "x", "logsource": {"dataset": "windows.dhcp"}, "detection": {"a": {"event.action|startswith": "dhcp-"}}},
+    {"id": "ban", "title": "x", "logsource": {"dataset": "linux.fail2ban"}, "detection": {"a": {"event.action": ["fail2ban-ban", "fail2ban-restore-ban"]}}},
+    {"id": "audit", "title": "x", "logsource": {"dataset": "linux.auditd"}, "detection": {"a": {"event.outcome": "failure"}}},
+    {"id": "agent", "title": "x", "logsource": {"product": "linux"}, "detection": {"a": {"agent.id": "a7", "host.name": "sender"}}},
+]
+
+
+def lines_of_ten(events: DataFrame) -> DataFrame:
+    """(event_id, raw, dataset, meta): a line of one of ten formats for each event, as senders would tell them."""
+    user, ip, bad = _user(), _ip(), _BAD()
+    at = lambda f: F.date_format("ts", f)
+    old = lambda program, message: F.concat(at("MMM dd HH:mm:ss"), F.lit(f" box {program}[7]: "), message)
+    lines = [
+        ("nginx.access", F.concat(ip, F.lit(" - - ["), at("dd/MMM/yyyy:HH:mm:ss"), F.lit(' +0000] "GET /'), F.when(bad, ".env").otherwise("index"), F.lit(' HTTP/1.1" 404 5 "-" "'), F.when(F.col("event_type") == "click", "sqlmap/1.7").otherwise("Mozilla/5.0"), F.lit('"'))),
+        ("nginx.error", F.concat(at("yyyy/MM/dd HH:mm:ss"), F.lit(' [error] 3#7: *3 open() "/srv/'), F.when(bad, ".env").otherwise("page"), F.lit('" failed, client: '), ip, F.lit(", server: s"))),
+        ("linux.auth", old("sshd", F.concat(F.when(bad, "Failed password").otherwise("Accepted publickey"), F.lit(" for "), user, F.lit(" from "), ip, F.lit(" port 22 ssh2")))),
+        ("linux.auth", old("sshd", F.concat(F.when(bad, F.concat(F.lit("Invalid user "), user, F.lit(" from "), ip)).otherwise(F.concat(F.lit("pam_unix(sshd:session): session opened for user "), user))))),
+        ("linux.auth", old("sudo", F.concat(F.lit(" "), user, F.when(bad, F.lit(" : 3 incorrect password attempts")).otherwise(F.lit(" : TTY=pts/0 ; PWD=/ ; USER=root ; COMMAND=/bin/ls"))))),
+        ("windows.security", _xml("Security", "4625", {"TargetUserName": user, "LogonType": F.when(bad, "3").otherwise("2"), "IpAddress": ip})),
+        ("windows.dhcp", F.concat(F.lit("10,"), at("MM/dd/yy,HH:mm:ss"), F.lit(",Assign,"), ip, F.lit(",host9,AABB"))),
+        ("linux.fail2ban", old("fail2ban", F.concat(F.lit("NOTICE [sshd] "), F.when(bad, "Ban").otherwise("Found"), F.lit(" "), ip))),
+        ("linux.auditd", F.concat(F.lit("type=USER_LOGIN msg=audit("), F.unix_seconds("ts"), F.lit(".000:5): pid=7 uid=0 msg='op=login acct=\"root\" addr=10.0.0.1 res="), F.when(bad, "failed").otherwise("success"), F.lit("'"))),
+        ("syslog", old("app", F.lit("nothing to see"))),
+    ]
+    kind = F.col("event_id") % len(lines)
+    pick = lambda values: F.element_at(F.array(*values), (kind + 1).cast("int"))
+    meta = F.when(kind == 9, F.create_map(F.lit("agent.id"), F.concat(F.lit("a"), F.col("user_id") % 10), F.lit("host.name"), F.lit("sender"), F.lit("host.os.type"), F.lit("linux")))
+    return events.select("event_id", pick([c for _, c in lines]).alias("raw"), pick([F.lit(n) for n, _ in lines]).alias("dataset"), meta.alias("meta"))
+
+
+@_add("parsed_rules", """
+SELECT event_id, CASE event_id % 10 WHEN 0 THEN concat_ws(',', CASE WHEN event_type = 'error' THEN 'web-env' END, CASE WHEN event_type = 'click' THEN 'web-tool' END) WHEN 1 THEN CASE WHEN event_type = 'error' THEN 'web-error' ELSE '' END
+  WHEN 2 THEN CASE WHEN event_type = 'error' THEN 'ssh-fail' ELSE 'ssh-key' END WHEN 3 THEN CASE WHEN event_type = 'error' THEN 'ssh-fail' ELSE '' END WHEN 4 THEN CASE WHEN event_type = 'error' THEN 'sudo' ELSE '' END
+  WHEN 5 THEN CASE WHEN event_type = 'error' THEN 'win-logon' ELSE '' END WHEN 6 THEN 'dhcp' WHEN 7 THEN CASE WHEN event_type = 'error' THEN 'ban' ELSE '' END WHEN 8 THEN CASE WHEN event_type = 'error' THEN 'audit' ELSE '' END
+  ELSE CASE WHEN user_id % 10 = 7 THEN 'agent' ELSE '' END END AS rules FROM events""")
+def parsed_rules(s: SparkSession, d: str) -> DataFrame:
+    """Lines of ten formats, each with the dataset and the envelope that its sender gave, to the rules that they match."""
+    got = parsers.parse(lines_of_ten(_events(s, d)).withColumnRenamed("dataset", "told"), "raw", 2024, hint="told", meta="meta").drop("raw", "meta", "told")
+    return rules.matches(map(rules.from_dict, _FORMAT), got, normalise.resolver(got), frozenset({"tags"})).select("event_id", F.array_join("rules", ",").alias("rules"))

@@ -138,6 +138,8 @@ h AS (
   FROM (SELECT k.user_id, k.rn, k.ts, h.last_fire, row_number() OVER (PARTITION BY k.user_id, h.rn ORDER BY k.rn) AS n FROM h JOIN k ON k.user_id = h.user_id AND k.rn >= h.rn + 4) WHERE n = 1)"""
 _hits = lambda s, d: detection.threshold_hits(_events(s, d), "user_id", "ts", "event_id", 4, 12 * 3600, _DAY)
 _add("threshold_hits", lambda s, d: _hits(s, d).select("user_id", F.col("rn").cast("long").alias("rn"), "fired"), _HITS + " SELECT user_id, rn, fired FROM h")
+# The same with every key dealt to all tasks by slices of time, as keys of very many events are.
+_add("threshold_hits_sliced", lambda s, d: detection.threshold_hits(_events(s, d), "user_id", "ts", "event_id", 4, 12 * 3600, _DAY, hot_rows=0).select("user_id", F.col("rn").cast("long").alias("rn"), "fired"), _HITS + " SELECT user_id, rn, fired FROM h")
 _SESSIONS = """
 , g AS (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, rn) AS before FROM h),
 n AS (SELECT *, sum((before IS NULL OR ts - before > INTERVAL 24 HOUR)::INT) OVER (PARTITION BY user_id ORDER BY ts, rn) AS s FROM g)
@@ -216,3 +218,4 @@ from . import log_queries  # noqa: E402 - it adds to the two tables
 
 QUERIES |= log_queries.QUERIES
 ORACLES |= log_queries.ORACLES
+ORACLES["rule_pack_alerts"] = log_queries.pack_sql(ORACLES["threshold_alerts"], ORACLES["sequence_alerts"])

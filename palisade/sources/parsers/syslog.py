@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ...functions.scalar import key_values, priority, to_int
+from ...functions.scalar import key_values, priority, to_int, with_tag
 from .base import Parser, at, chosen, extras, first_match, group_of, parts
 
 _TIME = r"[A-Z][a-z]{2} +\d{1,2} \d\d:\d\d:\d\d|\d{4}-\d\d-\d\dT\S+"
@@ -32,25 +32,28 @@ class Message:
     port: int | None = None
     name: int | None = None  # a group, a unit, a jail, a session
     command: int | None = None
+    method: int | None = None
 
 
 _SSH, _ACCOUNTS, _BAN = "sshd|sshd-session|login", "useradd|userdel|usermod|groupadd|passwd", r"fail2ban(?:[.-]\w+)?"
 _IP = r"([0-9a-fA-F:.]+)"
 #: Tried in this order; the first one that fits counts.
 MESSAGES = [
-    Message(_SSH, rf"^Failed \S+ for (?:invalid user )?(\S*) from {_IP}(?: port (\d+))?", "logon-failed", "failure", "authentication", "start", "low", user=1, ip=2, port=3),
-    Message(_SSH, rf"^Accepted \S+ for (\S+) from {_IP}(?: port (\d+))?", "logon-success", "success", "authentication", "start", user=1, ip=2, port=3),
-    Message(_SSH, rf"maximum authentication attempts exceeded for (?:invalid user )?(\S*) from {_IP}(?: port (\d+))?", "logon-failed", "failure", "authentication", "start", "medium", user=1, ip=2, port=3),
-    Message(_SSH, rf"^Invalid user (\S*) from {_IP}(?: port (\d+))?", "logon-invalid-user", "failure", "authentication", "info", "low", user=1, ip=2, port=3),
-    Message(_SSH, r"authentication failure;.*rhost=(\S*)(?: +user=(\S+))?", "pam-auth-failure", "failure", "authentication", "info", ip=1, user=2),
-    Message(_SSH, r"session opened for user ([^\s(]+)", "session-opened", "success", "session", "start", user=1),
-    Message(_SSH, r"session closed for user ([^\s(]+)", "session-closed", "success", "session", "end", user=1),
-    Message(_SSH, rf"^(?:Disconnected|Connection closed|Received disconnect).* {_IP} port (\d+)", "connection-closed", "success", "network", "end", ip=1, port=2),
+    Message(_SSH, rf"^Failed (\S+) for (?:invalid user )?(\S*) from {_IP}(?: port (\d+))?", "ssh-login-failed", "failure", "authentication", "start", "low", method=1, user=2, ip=3, port=4),
+    Message(_SSH, rf"^Accepted (\S+) for (\S+) from {_IP}(?: port (\d+))?", "ssh-login-success", "success", "authentication", "start", method=1, user=2, ip=3, port=4),
+    Message(_SSH, rf"maximum authentication attempts exceeded for (?:invalid user )?(\S*) from {_IP}(?: port (\d+))?", "ssh-login-failed", "failure", "authentication", "start", "low", user=1, ip=2, port=3),
+    Message(_SSH, rf"^Invalid user (\S*) from {_IP}(?: port (\d+))?", "ssh-invalid-user", "failure", "authentication", "start", "low", user=1, ip=2, port=3),
+    Message(_SSH, r"authentication failure;.*rhost=(\S*)(?: +user=(\S+))?", "ssh-pam-auth-failure", "failure", "authentication", "start", ip=1, user=2),
+    Message(_SSH, r"session opened for user ([^\s(]+)", "ssh-session-opened", "success", "session", "start", user=1),
+    Message(_SSH, r"session closed for user ([^\s(]+)", "ssh-session-closed", "success", "session", "end", user=1),
+    Message(_SSH, rf"^(?:Disconnected|Connection closed|Received disconnect).* {_IP} port (\d+)", "ssh-disconnected", "unknown", "network", "end", ip=1, port=2),
+    Message(_SSH, r"", "sshd-message", "unknown", "authentication", "info"),
     Message("sudo", r"^\s*(\S+) : .*(?:command not allowed|NOT in sudoers|incorrect password).*?(?:USER=(\S+))?.*COMMAND=(.*)$", "sudo-command", "failure", "process", "start", "medium", user=1, target=2, command=3),
     Message("sudo", r"^\s*(\S+) : .*USER=(\S+) ;.*COMMAND=(.*)$", "sudo-command", "success", "process", "start", user=1, target=2, command=3),
-    Message("sudo", r"authentication failure;.*ruser=(\S*)", "sudo-auth-failed", "failure", "authentication", "start", "low", user=1),
-    Message("sudo", r"session opened for user ([^\s(]+).* by ([^\s(]*)", "session-opened", "success", "session", "start", target=1, user=2),
-    Message("sudo", r"session closed for user ([^\s(]+)", "session-closed", "success", "session", "end", target=1),
+    Message("sudo", r"^\s*(\S+) : (?:\d+ incorrect password|command not allowed|user NOT in sudoers|a password is required)", "sudo-failed", "failure", "authentication", "start", "medium", user=1),
+    Message("sudo", r"authentication failure;.*?user=(\S+)", "sudo-auth-failure", "failure", "authentication", "start", "low", user=1),
+    Message("sudo", r"session opened for user ([^\s(]+)(?:.* by ([^\s(]*))?", "sudo-session-opened", "success", "session", "start", target=1, user=2),
+    Message("sudo", r"", "sudo-message", "unknown", "process", "info"),
     Message("su", r"FAILED (?:SU \(to |su for )(\S+?)\)? (?:by )?(\S+)", "su-failed", "failure", "authentication", "start", "medium", target=1, user=2),
     Message("su", r"Successful su for (\S+) by (\S+)", "su-success", "success", "authentication", "start", target=1, user=2),
     Message("su", r"^\s*\(to (\S+)\) (\S+) on", "su-success", "success", "authentication", "start", target=1, user=2),
@@ -110,6 +113,12 @@ def _firewall(message: Column) -> Column:
     return F.when(message.contains("SRC=") & message.contains("DST="), key_values(message))
 
 
+def _tags(ssh: Column, message: Column) -> Column:
+    none = F.lit(None).cast("array<string>")
+    odd = with_tag(none, "invalid-user", ssh & message.rlike("(?i)invalid user "))
+    return with_tag(odd, "max-auth-attempts", ssh & message.contains("maximum authentication attempts"))
+
+
 def meaning(program: Column, message: Column, which: Column, kv: Column) -> dict[str, Column]:
     """The fields of a program's message, whatever carried it."""
     pick = lambda name: group_of(message, which, _PATTERNS, [getattr(m, name) for m in MESSAGES])
@@ -127,11 +136,12 @@ def meaning(program: Column, message: Column, which: Column, kv: Column) -> dict
         "type": other(either("denied", "allowed"), F.coalesce(say("type"), F.lit("info"))),
         "severity": say("severity"),
         "user": pick("user"), "target_user": pick("target"),
+        "tags": _tags(ssh, message),
         "source_ip": F.coalesce(kv["SRC"], pick("ip")), "source_port": to_int(F.coalesce(kv["SPT"], pick("port"))),
         "destination_ip": kv["DST"], "destination_port": to_int(kv["DPT"]),
         "extra": extras(
             rule__name=F.coalesce(F.when(wall, F.trim(F.translate(F.substring_index(message, "IN=", 1), "[]", ""))), F.when(program.startswith("fail2ban"), pick("name"))), group__name=F.when(accounts, pick("name")), service__name=F.when(program == "systemd", pick("name")),
-            process__command_line=F.trim(pick("command")), network__transport=F.lower(kv["PROTO"]), network__direction=F.when(wall, F.when(F.coalesce(kv["IN"], F.lit("")) != "", "inbound").otherwise("outbound")), network__protocol=F.when(ssh, F.lit("ssh")),
+            process__command_line=F.trim(pick("command")), palisade__auth__method=pick("method"), network__transport=F.lower(kv["PROTO"]), network__direction=F.when(wall, F.when(F.coalesce(kv["IN"], F.lit("")) != "", "inbound").otherwise("outbound")), network__protocol=F.when(ssh, F.lit("ssh")),
             observer__ingress__interface__name=kv["IN"], observer__egress__interface__name=kv["OUT"],
         ),
     }

@@ -9,26 +9,40 @@ from pyspark.sql.types import MapType
 from ..functions.scalar import ip_key, network_keys
 
 
+# What a sender may say of a line, besides ``fields`` of its own.
+META = ("host.name", "host.ip", "host.os.type", "host.os.name", "agent.id", "agent.name", "agent.version", "agent.type", "log.file.path", "@timestamp")
+
+
+def _enveloped(lines: DataFrame, dataset: str | None) -> DataFrame:
+    doc = F.when(F.col("value").rlike(r"^\s*\{"), F.from_json("value", "map<string,string>"))
+    said = lines.where(F.col("value").rlike(r"\S")).withColumn("__doc", doc).withColumn("__path", F.input_file_name())
+    enveloped = F.coalesce(F.map_contains_key("__doc", F.lit("raw")), F.lit(False))
+    none = F.from_json(F.lit("{}"), "map<string,string>")
+    fields = F.coalesce(F.from_json(F.col("__doc")["fields"], "map<string,string>"), none)
+    own = F.map_filter("__doc", lambda k, _: k.isin(*META) & ~F.map_contains_key(fields, k))
+    meta = F.when(enveloped, F.map_concat(own, fields)).otherwise(none)
+    hint = F.lit(dataset) if dataset else F.col("__doc")["dataset"]
+    return said.select(F.when(enveloped, F.col("__doc")["raw"]).otherwise(F.col("value")).alias("raw"), hint.alias("dataset"), F.col("__path").alias("path"), meta.alias("meta"))
+
+
 def envelopes(spark: SparkSession, path: str, dataset: str | None = None) -> DataFrame:
-    """(raw, dataset, path): a JSON line with ``raw`` is an envelope, any other line is raw itself; blank lines are skipped."""
-    lines = spark.read.text(path).where(F.col("value").rlike(r"\S"))
-    raw = F.get_json_object("value", "$.raw")
-    hint = F.lit(dataset) if dataset else F.get_json_object("value", "$.dataset")
-    return lines.select(F.coalesce(raw, "value").alias("raw"), hint.alias("dataset"), F.input_file_name().alias("path"))
+    """(raw, dataset, path, meta): a JSON line with ``raw`` is an envelope, any other line is raw itself; blank lines are skipped.
+
+    meta: what the envelope says of the line's host, agent, file and time, and its ``fields``, under their dotted names; ``parsers.parse`` takes it up."""
+    return _enveloped(spark.read.text(path), dataset)
 
 
 def stream(spark: SparkSession, path: str, dataset: str | None = None, files_per_trigger: int = 1000) -> DataFrame:
-    """(raw, dataset, path) of lines as files land below a path (a glob, too); the checkpoint remembers what was read, and a batch takes so many files at most."""
-    lines = spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(path).where(F.col("value").rlike(r"\S"))
-    hint = F.lit(dataset) if dataset else F.get_json_object("value", "$.dataset")
-    return lines.select(F.coalesce(F.get_json_object("value", "$.raw"), "value").alias("raw"), hint.alias("dataset"), F.input_file_name().alias("path"))
+    """(raw, dataset, path, meta) of lines as files land below a path (a glob, too); the checkpoint remembers what was read, and a batch takes so many files at most."""
+    return _enveloped(spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(path), dataset)
 
 
 def ip_ranges(spark: SparkSession, path: str) -> DataFrame:
-    """(lo, hi, cc) of ``start,end,CC`` lines, plain or gzip, in any order, with addresses of either version as keys of ``ip_key``; bad lines are left out."""
+    """(lo, hi, cc) of ``start,end,CC`` lines, plain or gzip, in any order, with addresses of either version as keys of ``ip_key``; bad lines, and
+    ranges that nobody has (``ZZ``), are left out."""
     rows = spark.read.csv(path, schema="a string, b string, cc string", comment="#")
     keys = rows.select(ip_key(F.trim("a")).alias("lo"), ip_key(F.trim("b")).alias("hi"), F.upper(F.trim("cc")).alias("cc"))
-    return keys.where((F.col("lo") <= F.col("hi")) & (F.substring("lo", 1, 1) == F.substring("hi", 1, 1)) & F.col("cc").isNotNull())
+    return keys.where((F.col("lo") <= F.col("hi")) & (F.substring("lo", 1, 1) == F.substring("hi", 1, 1)) & (F.col("cc") != "ZZ"))
 
 
 def places(spark: SparkSession, path: str) -> DataFrame:
@@ -80,8 +94,22 @@ def added_up(stats: DataFrame, more: DataFrame, key: str = "id") -> DataFrame:
 
 
 def to_envelopes(events: DataFrame, path: str) -> None:
-    """Writes (raw, dataset) as JSON lines that ``envelopes`` reads."""
-    events.select("raw", "dataset").write.mode("append").json(path)
+    """Writes (raw, dataset), and what ``meta`` says if there is such a column, as JSON lines that ``envelopes`` reads."""
+    said = F.create_map(F.lit("raw"), F.col("raw"), F.lit("dataset"), F.col("dataset"))
+    if "meta" in events.columns:
+        said = F.map_concat(said, F.coalesce(F.map_filter("meta", lambda k, _: k.isin(*META)), F.from_json(F.lit("{}"), "map<string,string>")))
+        rest = F.map_filter("meta", lambda k, _: ~k.isin(*META))
+        fields = F.when(F.size(rest) > 0, F.concat(F.lit(', "fields": '), F.to_json(rest), F.lit("}"))).otherwise("}")
+        line = F.concat(F.regexp_replace(F.to_json(said), r"\}$", ""), fields)
+    else:
+        line = F.to_json(said)
+    events.select(line.alias("value")).write.mode("append").text(path)
+
+
+def by_id(spark: SparkSession, path: str, value: object, key: str = "event_id", day: str | None = None) -> DataFrame:
+    """The rows of one id.  The filter reaches the files' statistics; with the day of a table that is cut by day, only that day is read."""
+    rows = spark.read.parquet(path)
+    return rows.where(F.col(key) == value) if day is None else rows.where((F.col("day") == F.lit(day).cast("date")) & (F.col(key) == value))
 
 
 def retained(events: DataFrame, ts: str, since) -> DataFrame:

@@ -220,7 +220,7 @@ def test_parsers(spark):
     ]
     got = parsers.parse(spark.createDataFrame([(x,) for x in lines], "raw string"), "raw", 2024).collect()
     assert [r.parser for r in got] == ["syslog", "web", "auditd", "json", "windows", "web-error", "dhcp", "generic"]
-    assert (got[0].action, got[0].user, got[0].source_ip, got[0].ts) == ("logon-failed", "bob", "10.0.0.7", dt.datetime(2024, 1, 5, 10, 11, 12))
+    assert (got[0].action, got[0].user, got[0].source_ip, got[0].ts) == ("ssh-login-failed", "bob", "10.0.0.7", dt.datetime(2024, 1, 5, 10, 11, 12))
     assert (got[1].outcome, got[1].user, got[2].user, got[2].outcome, got[4].action, got[4].user) == ("failure", "alice", "root", "failure", "logon-failed", "eve")
     assert got[5].source_ip == "10.9.9.9" and got[6].source_ip == "10.0.0.9" and got[7].source_ip == "1.2.3.4"
 

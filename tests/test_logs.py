@@ -26,7 +26,7 @@ LINES = {
     "Jan  1 00:10:00 box9 whatever: plain words": dict(action="whatever-message", message="plain words", dataset="syslog"),
     "type=USER_CMD msg=audit(1709269567.089:4): pid=9 uid=1 cwd=2F686F6D65 cmd=6C73202D6C msg='res=success'": dict(parser="auditd", action="sudo-command", program="ls", ts=dt.datetime(2024, 3, 1, 5, 6, 7, 89000)),
     "node=n1 type=ANOM_ABEND msg=audit(1709269567.089:5): sig=11": dict(parser="auditd", action="auditd-anomaly", severity="medium", host="n1"),
-    '{"MESSAGE": "Failed password for root from 2001:db8::7 port 9 ssh2", "SYSLOG_IDENTIFIER": "sshd", "_HOSTNAME": "j1", "__REALTIME_TIMESTAMP": "1709269567089000"}': dict(parser="syslog", action="logon-failed", source_ip="2001:db8::7", ts=dt.datetime(2024, 3, 1, 5, 6, 7, 89000)),
+    '{"MESSAGE": "Failed password for root from 2001:db8::7 port 9 ssh2", "SYSLOG_IDENTIFIER": "sshd", "_HOSTNAME": "j1", "__REALTIME_TIMESTAMP": "1709269567089000"}': dict(parser="syslog", action="ssh-login-failed", source_ip="2001:db8::7", ts=dt.datetime(2024, 3, 1, 5, 6, 7, 89000)),
     '{"winlog": {"channel": "System", "event_id": 7045, "event_data": {"ServiceName": "svc", "ImagePath": "C:\\\\s.exe"}}}': dict(parser="windows", dataset="windows.system", action="service-installed", severity="medium"),
     "<Event><System><Provider Name='Microsoft-Windows-Sysmon'/><EventID>10</EventID><Channel>Microsoft-Windows-Sysmon/Operational</Channel></System><EventData><Data Name='SourceImage'>C:\\a\\X.exe</Data><Data Name='TargetImage'>C:\\b\\lsass.exe</Data><Data Name='GrantedAccess'>0x1FFF</Data></EventData></Event>": dict(action="process-accessed", program="x.exe"),
     "<Event><System><EventID>4104</EventID><Channel>Windows PowerShell</Channel></System><EventData><Data Name='ScriptBlockText'>a &amp; b</Data></EventData>": dict(dataset="windows.powershell", action="powershell-scriptblock"),
