@@ -263,7 +263,7 @@ def _both(valued: DataFrame) -> DataFrame:
                 p0 = np.array([zero[s] for s in names], np.int64)
                 for i in range(0, len(names), SOURCES):
                     for j in range(i, len(names), SOURCES):
-                        left, right = _dense(row, col, p, len(found), i, p0), _dense(row, col, p, len(found), j, p0)
+                        left, right = (_dense(row, col, p, len(found), b, min(b + SOURCES, len(names))) for b in (i, j))
                         for k in range(left.shape[1]):
                             have = left[:, k] > 0
                             x, y = left[have, k][:, None], right[have]
@@ -284,9 +284,9 @@ def _both(valued: DataFrame) -> DataFrame:
     return rows.sortWithinPartitions("lang").mapInArrow(run, _PAIR)
 
 
-def _dense(row: np.ndarray, col: np.ndarray, p: np.ndarray, terms: int, begin: int, p0: np.ndarray) -> np.ndarray:
-    """Terms by a block of sources; 0 where a source lacks a term."""
-    own = (col >= begin) & (col < begin + SOURCES)
-    out = np.zeros((terms, min(SOURCES, len(p0) - begin)), np.int64)
+def _dense(row: np.ndarray, col: np.ndarray, p: np.ndarray, terms: int, begin: int, end: int) -> np.ndarray:
+    """Terms by the sources from begin to end; 0 where a source lacks a term."""
+    own = (col >= begin) & (col < end)
+    out = np.zeros((terms, end - begin), np.int64)
     out[row[own], col[own] - begin] = p[own]
     return out
