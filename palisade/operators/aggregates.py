@@ -89,6 +89,6 @@ def current_alerts(actions: DataFrame) -> DataFrame:
     """(id, status, assignee, level) from actions (id, ts, action, value): ``alerts.current`` for alerts that nothing else is known of."""
     from . import alerts
 
-    log = actions.select("id", "ts", "action", F.lit(None).cast("string").alias("by"), F.create_map(F.lit("value"), F.col("value")).alias("args"))
+    log = actions.select("id", F.col("ts").cast("timestamp").alias("ts"), "action", F.lit(None).cast("string").alias("by"), F.create_map(F.lit("value"), F.col("value")).alias("args"))
     known = actions.select("id", F.lit("medium").alias("severity"), F.lit(50).alias("severity_score")).distinct()
     return alerts.current(known, log).select("id", "status", "assignee", "level")
