@@ -36,15 +36,17 @@ def positions(docs: DataFrame, min_words: int) -> DataFrame:
     # Columns that a lambda reads are used twice below it, or Spark would work them out anew for each element.
     lines = docs.select(*_key(), F.filter(F.transform(F.split(F.col("text").cast("string"), "\n", -1), lambda x, i: F.struct(i.alias("ln"), x.alias("line"))), lambda x: x["line"].rlike(_WORD)).alias("lines"))
     words = F.transform("lines.line", lambda x: F.size(F.split(F.regexp_replace(x, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", ""), r"[\x20\x09-\x0D]+")))
-    at = lines.withColumn("w", words).select("d", "t", F.col("lines.ln").alias("lns"), "w", F.posexplode(F.arrays_zip(F.col("lines"), F.col("w").alias("n"))).alias("j", "x"))
-    short = F.col("x.n") < min_words
-    upto = F.sequence(F.lit(1), F.lit(min_words))
-    after = F.when(short, F.slice("w", F.col("j") + 1, F.lit(min_words)))
-    at = at.select("d", "t", "j", "x", "lns", short.alias("short"), after.alias("after"), F.size(after).alias("n_after"))
-    enough = F.filter(upto, lambda k: (k <= F.col("n_after")) & (F.aggregate(F.slice("after", 1, k), F.lit(0), lambda a, b: a + b) >= min_words))
-    need = F.when(~F.col("short"), F.lit(1)).otherwise(F.get(enough, F.lit(0)))
-    at = at.select("d", "t", "j", F.col("x.lines.ln").alias("ln"), F.col("x.lines.line").alias("line"), "lns", need.alias("need"))
-    own = F.when(F.col("need") > 1, F.slice("lns", F.col("j") + 1, F.col("need")))
+    # A line takes its followers' numbers and words along, as many as can matter, not its document's arrays.
+    ahead = range(1, min_words)
+    shifted = lambda c, k: F.slice(c, k + 1, F.size(c)).alias(f"{c}{k}")
+    cols = lines.withColumn("w", words).select("d", "t", F.col("lines.line").alias("line"), F.col("lines.ln").alias("ln"), "w")
+    at = cols.select("d", "t", F.posexplode(F.arrays_zip("line", "ln", "w", *[shifted(c, k) for k in ahead for c in ("ln", "w")])).alias("j", "x"))
+    upto = [F.col("x.w")]
+    for k in ahead:
+        upto.append(upto[-1] + F.col(f"x.w{k}"))
+    need = F.coalesce(*[F.when(c >= min_words, F.lit(k)) for k, c in enumerate(upto, 1)])
+    at = at.select("d", "t", "j", F.col("x.ln").alias("ln"), F.col("x.line").alias("line"), need.alias("need"), F.array("x.ln", *[f"x.ln{k}" for k in ahead]).alias("next"))
+    own = F.when(F.col("need") > 1, F.slice("next", 1, F.col("need")))
     return at.select("d", "t", "j", "ln", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("second"), F.col("line")).alias("h2"), "need", own.alias("own"))
 
 
@@ -93,19 +95,23 @@ def deduplicated(docs: DataFrame, min_words: int = 5) -> DataFrame:
 
 def report(docs: DataFrame, min_words: int = 5) -> DataFrame:
     """(doc_id, n_lines, n_removed, n_runs, text): the lines with a word, how many of them went, in how many maximal runs, and the text that is left."""
-    worded = F.filter(F.transform(F.split("doc.text", "\n", -1), lambda x, i: F.when(x.rlike(_WORD), i)), lambda i: i.isNotNull())
-    both = _joined(docs, min_words).withColumn("worded", worded)
-    gone = lambda i: F.array_contains("gone", i)
-    starts = F.filter("worded", lambda x, i: gone(x) & ~F.coalesce(gone(F.get("worded", i - 1)), F.lit(False)))
+    both = _joined(docs, min_words)
+    worded = F.filter(F.transform("lines", lambda x, i: F.when(x.rlike(_WORD), i)), lambda i: i.isNotNull())
+    # Lines with a word as even numbers, and right after its own each deleted one as an odd number: a run begins where the one before is not deleted.
+    marks = F.sort_array(F.concat(F.transform("worded", lambda i: 2 * i), F.transform("gone", lambda i: 2 * i + 1)))
+    marked = both.withColumn("worded", worded).select("doc", "gone", "kept", "worded", marks.alias("marks"))
+    starts = F.filter("marks", lambda x, p: (x % 2 == 1) & F.coalesce(F.get("marks", p - 2) % 2 == 0, F.lit(True)))
     none = F.lit(0).cast("long")
     count = lambda c, a: F.when(c.isNull(), none).otherwise(F.size(a).cast("long"))
-    return both.select(F.col("doc.doc_id").alias("doc_id"), count(F.col("worded"), "worded").alias("n_lines"), count(F.col("gone"), "gone").alias("n_removed"), count(F.col("gone"), starts).alias("n_runs"), F.col("kept").alias("text"))
+    return marked.select(F.col("doc.doc_id").alias("doc_id"), count(F.col("worded"), "worded").alias("n_lines"), count(F.col("gone"), "gone").alias("n_removed"), count(F.col("marks"), starts).alias("n_runs"), F.col("kept").alias("text"))
 
 
 def _joined(docs: DataFrame, min_words: int) -> DataFrame:
-    """(doc, gone, kept): each row of docs as a struct, its lines to delete, and its text without them."""
+    """(doc, gone, lines, kept): each row of docs as a struct, its lines to delete, its lines, and its text without those."""
     gone = repeated_lines(docs, min_words)
     both = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), *_key()).join(gone, ["d", "t"], "left")
-    text = F.col("doc.text").cast("string")
-    left = F.array_join(F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains("gone", i)), "\n")
-    return both.withColumn("kept", F.when(F.col("gone").isNull(), text).otherwise(left))
+    cut = both.select("doc", "gone", F.split(F.col("doc.text").cast("string"), "\n", -1).alias("lines"))
+    left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone")
+    kept = cut.select("doc", "gone", "lines", F.when(F.col("gone").isNotNull(), left).alias("left"))
+    text = F.array_join(F.transform("left", lambda i: F.get("lines", i)), "\n")
+    return kept.select("doc", "gone", "lines", F.when(F.col("left").isNull(), F.col("doc.text").cast("string")).otherwise(text).alias("kept"))
