@@ -43,8 +43,10 @@ def dashboard(events: DataFrame, ts: str, panels: dict[str, Column], since: Colu
     step = F.floor((F.unix_seconds(F.col(ts)) - F.unix_seconds(since)) / seconds).cast("string")
     each = F.array(F.struct(F.lit("time").alias("panel"), step.alias("key")), *[F.struct(F.lit(p).alias("panel"), c.cast("string").alias("key")) for p, c in panels.items()])
     counted = events.where(F.col(ts).between(since, until)).select(F.explode(each).alias("x")).where("x.key is not null").groupBy("x.panel", "x.key").agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy("panel").orderBy(F.desc("n"), "key")
-    return counted.withColumn("__n", F.row_number().over(w)).where((F.col("panel") == "time") | (F.col("__n") <= size)).drop("__n")
+    # Steps of time are ranked by themselves, so they all stay; of other panels a task keeps the first ones before rows move.
+    w = Window.partitionBy("panel", F.when(F.col("panel") == "time", F.col("key"))).orderBy(F.desc("n"), "key")
+    out = counted.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= max(size, 1)).drop("__n")
+    return out if size > 0 else out.where("panel = 'time'")
 
 
 def extent(df: DataFrame, value: str) -> DataFrame:
