@@ -20,7 +20,7 @@ def tables(spark, tmp_path_factory):
     return path
 
 
-@pytest.mark.parametrize("name", ["parse_audit", "normalise", "enrich_place", "lookup_country_range", "enrich_direction"])
+@pytest.mark.parametrize("name", ["parse_audit", "normalise", "enrich_place", "lookup_country_range", "enrich_direction", "enrich_asset"])
 def test_same_as_sql_on_larger_ids(spark, tables, name):
     df = registry.QUERIES[name](spark, tables)
     c = duckdb.connect()
