@@ -1,10 +1,14 @@
-"""Registered queries whose lines are made of ids, on ids of larger tables, against their SQL."""
+"""Registered queries whose lines are made of ids, on ids of larger tables, against their SQL; lookups that no task does alone."""
 
 import datetime as dt
+import random
+from collections import Counter
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from palisade.operators import enrich, lookups
 from palisade.plans import registry
 
 KINDS = ("view", "signup", "purchase", "click", "error")
@@ -27,3 +31,30 @@ def test_same_as_sql_on_larger_ids(spark, tables, name):
     c.sql(f"CREATE VIEW events AS SELECT * FROM '{tables}/events.parquet/*.parquet'")
     want = c.sql(f"SELECT {', '.join(f'\"{x}\"' for x in df.columns)} FROM ({registry.ORACLES[name]})").fetchall()
     assert sorted(map(tuple, df.collect()), key=repr) == sorted(want, key=repr)
+
+
+@pytest.mark.parametrize("longest", [False, True])
+def test_ranges_are_told_to_rows_without_a_shuffle(spark, longest):
+    rng = random.Random(3)
+    ranges = [(lo, lo + rng.choice((0, 3, 500, 70_000, 5_000_000)), f"n{i}", i) for i, lo in enumerate(rng.randrange(1_000_000) for _ in range(60))] + [(9, 8, "none", -1)]
+    rows = [(i, rng.randrange(1_200_000)) for i in range(400)] + [(400, None), (401, ranges[0][0])]
+    df, table = spark.createDataFrame(rows, "id long, v long"), spark.createDataFrame(ranges, "lo long, hi long, name string, ord int")
+    for told in (10_000, 20, 0):
+        got = lookups.by_range(df, table, "v", "lo", "hi", "name", "ord", "id", 64, longest, told)
+        want = {i: min(((h - lo if longest else 0, o, n) for lo, h, n, o in ranges if v is not None and lo <= v <= h), default=(None,))[-1] for i, v in rows}
+        assert {r.id: r.name for r in got.select("id", F.col("name")).collect()} == {i: w for i, w in want.items()}, told
+        if told == 10_000:
+            plan = got._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" not in plan and "SortAggregate" not in plan
+
+
+def test_no_task_joins_all_events_of_a_value(spark):
+    events = spark.range(4000).select(F.col("id").alias("event_id"), F.when(F.col("id") % 2 == 0, "hot").alias("k"))
+    answers = spark.createDataFrame([("hot", "x"), ("cold", "y"), (None, "z")], "v string, d string")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        rows = enrich._joined(events, F.col("k"), answers, "v", "d").select("event_id", "d", F.spark_partition_id().alias("p")).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert all(r.d == ("x" if r.event_id % 2 == 0 else None) for r in rows) and len(rows) == 4000
+    assert max(Counter(r.p for r in rows).values()) < 2000
