@@ -2,7 +2,7 @@
 
 Lookups are worked out for distinct addresses, hosts and names of the events as they came in (``base``: steps do not change those), and joined
 back, so no step is worked out again for the next one; small tables of networks and assets are broadcast by Spark
-if their size is known to be small.  Events are those of ``normalise.normalised``; each needs an ``event_id``.
+if their size is known to be small.  Joins back deal a value's events, and those without a value, to several tasks.  Events are those of ``normalise.normalised``; each needs an ``event_id``.
 """
 
 from __future__ import annotations
@@ -21,6 +21,17 @@ PRIVATE_CODE, PRIVATE_NAME = "XL", "Lab (private range)"
 RESERVED = ("0.0.0.0/32", "255.255.255.255/32", "224.0.0.0/4", "::/128", "ff00::/8")
 
 
+def _joined(events: DataFrame, key: Column, answers: DataFrame, of: str, value: str, copies: int = 8) -> DataFrame:
+    """events with the ``value`` that the answers have for their key (null if none).
+
+    A key may hold most events: its answer is copied, and its events are dealt to the copies by their id; events without a key, which meet nothing, are dealt more thinly.
+    """
+    deal = lambda n: F.pmod(F.xxhash64("event_id"), F.lit(n)).cast("int")
+    told = answers.where(F.col(of).isNotNull()).select(F.col(of).alias("__v"), value, F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("__s"))
+    asked = events.withColumn("__v", key).withColumn("__s", F.when(F.col("__v").isNull(), deal(1024)).otherwise(deal(copies)))
+    return asked.join(told, ["__v", "__s"], "left").drop("__v", "__s")
+
+
 @dataclass
 class Tables:
     """What events are enriched from; each table may be missing.
@@ -92,7 +103,7 @@ def located(events: DataFrame, tables: Tables, base: DataFrame | None = None) ->
     ips = (events if base is None else base).select(F.explode(F.array("source_ip", "destination_ip")).alias("ip")).where("ip is not null").distinct()
     found = places(ips, tables)
     for side in ("source", "destination"):
-        events = events.join(found.select(F.col("ip").alias(f"{side}_ip"), F.col("place").alias("__p")), f"{side}_ip", "left")
+        events = _joined(events, F.col(f"{side}_ip"), found.withColumnRenamed("place", "__p"), "ip", "__p")
         p = F.col("__p")
         given = {f"{side}__geo__{k}": p[k] for k in ("name", "country_iso_code", "country_name", "city_name", "continent")} | {f"{side}__as__organization__name": p["organization"], f"{side}__geo__location": F.when(p["lat"].isNotNull() & p["lon"].isNotNull(), F.concat_ws(",", p["lat"], p["lon"]))}
         events = events.withColumn("extra", _put(F.col("extra"), **given)).drop("__p")
@@ -108,15 +119,14 @@ def owned(events: DataFrame, tables: Tables, base: DataFrame | None = None) -> D
         out = events
         if tables.hosts is not None:
             t = tables.hosts.groupBy(F.lower(F.substring_index("key", ".", 1)).alias("__h")).agg(F.min("asset").alias("__a"))
-            out = out.withColumn("__h", short).join(t, "__h", "left").drop("__h")
+            out = _joined(out, short, t, "__h", "__a")
         else:
             out = out.withColumn("__a", null)
         if tables.addresses is not None:
             # Addresses are asked for distinct lists of them.
-            out = out.withColumn("__ips", F.col("extra")["host.ip"])
             lists = base.select(F.col("extra")["host.ip"].alias("__ips")).where("__ips is not null").distinct()
             by = lookups.by_any_key(lists, tables.addresses, F.transform(F.split("__ips", ","), lambda x: F.trim(x)), "key", "asset", "__ips")
-            out = out.join(by, "__ips", "left").withColumn("__a", F.coalesce("__a", "asset"))
+            out = _joined(out, F.col("extra")["host.ip"], by, "__ips", "asset").withColumn("__a", F.coalesce("__a", "asset"))
         a = F.col("__a")
         given = {"host__role": a["role"], "palisade__asset__owner": a["owner"], "palisade__asset__criticality": F.when(a.isNotNull(), F.lower(F.coalesce(a["criticality"], F.lit("medium")))), "host__os__name": F.coalesce(F.col("extra")["host.os.name"], a["os"])}
         events = out.withColumn("extra", _put(F.col("extra"), **given)).select(*columns)
@@ -124,7 +134,7 @@ def owned(events: DataFrame, tables: Tables, base: DataFrame | None = None) -> D
         ips = base.select(F.explode(F.array("source_ip", "destination_ip")).alias("ip")).where("ip is not null").distinct()
         zones = lookups.by_network(ips, tables.zones, F.col("ip"), "cidr", "zone", "ip", "ord")
         for side in ("source", "destination"):
-            events = events.join(zones.select(F.col("ip").alias(f"{side}_ip"), F.col("zone").alias("__z")), f"{side}_ip", "left")
+            events = _joined(events, F.col(f"{side}_ip"), zones.withColumnRenamed("zone", "__z"), "ip", "__z")
             events = events.withColumn("extra", _put(F.col("extra"), **{f"{side}__geo__name": F.col("__z")})).drop("__z")
     return events.select(*columns)
 
@@ -148,7 +158,7 @@ def listed(events: DataFrame, tables: Tables, base: DataFrame | None = None) ->
         for i, c in enumerate(fields):
             name = f"__{kind}{i}"
             hits.append(F.when(F.col(name).isNotNull(), F.struct(F.lit(kind).alias("type"), c.alias("value"), F.col(name).alias("description"))))
-            events = events.withColumn("__v", c).join(answers.select(F.col("v").alias("__v"), F.col("description").alias(name)), "__v", "left").drop("__v")
+            events = _joined(events, c, answers.withColumnRenamed("description", name), "v", name, 64)
     hit = F.coalesce(*hits) if hits else F.lit(None).cast("struct<type:string,value:string,description:string>")
     given = {"threat__indicator__matched": F.when(hit.isNotNull(), F.lit("true")), "threat__indicator__type": hit["type"], "threat__indicator__value": hit["value"], "threat__indicator__description": hit["description"]}
     out = events.withColumn("tags", scalar.with_tag(F.col("tags"), "threat-intel-match", hit.isNotNull()))
