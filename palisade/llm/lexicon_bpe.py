@@ -35,6 +35,9 @@ from . import common
 _SPACES = re.compile(r"[\t-\r \x85\xa0  -     　]+")
 #: Characters of a word in the lexicon; a longer one is merged where it stands.
 LONGEST = 200
+#: Bits of an id where two numbers are packed into one.
+BITS = 24
+_ID, _NONE = (1 << BITS) - 1, 1 << 62
 _NOT_SPACE = re.compile("[\x1c-\x1f]")  # str.split() would split there
 
 
@@ -62,6 +65,8 @@ class Bpe:
         ids = self.vocab
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.rank = {(ids[a], ids[b]): (r, ids[a + b]) for r, (a, b) in enumerate(merges)}
+        # The same with a pair, and a rank with the id that its merge makes, as one number each: the least number is the merge that goes first.
+        self.packed = {a << BITS | b: r << BITS | new for (a, b), (r, new) in self.rank.items()}
         self.first = [ids[s] for s in self.symbol]
         self.last = [ids[s + self.suffix] for s in self.symbol]
 
@@ -82,18 +87,18 @@ class Bpe:
         raw = word.encode()
         ids = [self.first[b] for b in raw[:-1]]
         ids.append(self.last[raw[-1]])
-        rank = self.rank
         if len(ids) > 48:
             return self.merge_long(ids)
-        while len(ids) > 1:
-            at, best = -1, None
-            for i in range(len(ids) - 1):
-                r = rank.get((ids[i], ids[i + 1]))
-                if r is not None and (best is None or r[0] < best[0]):
-                    at, best = i, r
-            if best is None:
-                break
-            ids[at : at + 2] = [best[1]]
+        look = self.packed.get
+        found = [look(a << BITS | b, _NONE) for a, b in zip(ids, ids[1:])]
+        while found and (best := min(found)) != _NONE:
+            i = found.index(best)
+            new = ids[i] = best & _ID
+            del ids[i + 1], found[i]
+            if i:
+                found[i - 1] = look(ids[i - 1] << BITS | new, _NONE)
+            if i < len(found):
+                found[i] = look(new << BITS | ids[i + 1], _NONE)
         return ids
 
     def merge_long(self, ids: list[int]) -> list[int]:
@@ -225,7 +230,7 @@ class Encoder:
     """Whole texts to ids.  A worker remembers the results for chunks between white space: those of late in ``seen``, and the ones before
     in ``older``, each up to a bound on memory."""
 
-    REMEMBERED = 80_000
+    REMEMBERED = 200_000
 
     def __init__(self, bpe: Bpe, lexicon: Lexicon):
         self.bpe, self.lexicon, self.seen, self.older = bpe, lexicon, {}, {}

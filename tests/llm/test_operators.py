@@ -293,6 +293,19 @@ def test_long_words_merge_alike_and_fast():
     assert time.time() - began < 30
 
 
+def test_short_words_merge_alike():
+    with open(contract.tokenizer_path("word_bpe_49k.json"), encoding="utf-8") as f:
+        bpe = lexicon_bpe.Bpe(f.read())
+    assert len(bpe.packed) == len(bpe.rank)
+    rng = random.Random(2)
+    for n in (*range(1, 49), *range(1, 20)):
+        for letters in ("ab", "etaoinshrdlu", "é日a", "aaaaab"):
+            word = "".join(rng.choice(letters) for _ in range(n))
+            raw = word.encode()
+            ids = [*[bpe.first[b] for b in raw[:-1]], bpe.last[raw[-1]]]
+            assert bpe.merge(word) == bpe.merge_long(ids), word
+
+
 def test_the_lexicon_takes_the_most_frequent_words_only(spark):
     rows = [(f"w{i}", 1 + 1000 // (i + 1)) for i in range(3000)]
     df = spark.createDataFrame(rows, "word string, n long")
