@@ -78,49 +78,76 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.expand(x) @ self.weights - self.threshold, -30, 30)))
 
 
-def fit_pairs(x: np.ndarray, y: np.ndarray, n_pairs: int = 200_000, l2: float = 1e-3, steps: int = 25) -> Model:
-    """Newton steps on the mean of log(1 + exp(-(s(good) - s(bad)))) over pairs drawn with a fixed seed, plus l2 * |w|^2."""
-    model = Model(x.mean(0) if len(x) else np.zeros(1), x.std(0) + 1e-6 if len(x) else np.ones(1), np.zeros(0), 0.0)
-    good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
-    if not len(good) or not len(bad):
-        return model
-    z, rng = model.expand(x), np.random.default_rng(7)
-    d = z[rng.choice(good, n_pairs)] - z[rng.choice(bad, n_pairs)]
-    w = np.zeros(z.shape[1])
+def pair_sums(z: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Number of pairs of a good and a bad row, and the sums of the loss's gradient and Hessian over all of them; good rows a piece at a time."""
+    n = len(w)
+    out, bad = np.zeros(1 + n + n * n), z[y == 0]
+    for good in np.array_split(z[y == 1], max(1, (y == 1).sum() // 2000)):
+        p = 1 / (1 + np.exp(np.clip((good @ w)[:, None] - (bad @ w)[None, :], -30, 30)))
+        q = p * (1 - p)
+        cross = good.T @ q @ bad
+        hess = (good * q.sum(1)[:, None]).T @ good + (bad * q.sum(0)[:, None]).T @ bad - cross - cross.T
+        out += np.concatenate([[p.size], bad.T @ p.sum(0) - good.T @ p.sum(1), hess.ravel()])
+    return out
+
+
+def ranked(values: DataFrame, k: int, few: int = 10_000) -> float:
+    """The k-th least (from 1) of the column ``latent``: histograms narrow the range down until it holds few rows."""
+    low, high, n = values.agg(F.min("latent"), F.max("latent"), F.count("latent")).first()
+    while n > few and low < high:
+        at = F.least(F.lit(1023), F.floor((F.col("latent") - low) / (high - low) * 1024))
+        bins = values.where(F.col("latent").between(low, high)).groupBy(at.alias("b")).agg(F.count(F.lit(1)), F.min("latent"), F.max("latent")).collect()
+        for _, n, low, high in sorted(map(tuple, bins)):
+            if k <= n:
+                break
+            k -= n
+    return low if low == high else sorted(r[0] for r in values.where(F.col("latent").between(low, high)).select("latent").collect())[k - 1]
+
+
+def fit(docs: DataFrame, labels: DataFrame, l2: float = 1e-3, steps: int = 25) -> Model:
+    """Learn from all labelled documents: Newton steps on the mean of log(1 + exp(-(s(good) - s(bad)))) over pairs, plus l2 * |w|^2.
+
+    Rows are dealt by a hash of the id to blocks of about 2,000 (more where one label is rare, so that each block has some of it); all pairs of a
+    block count.  A step's sums (some 1,600 numbers) and the counts of histograms are all that reaches the driver.
+    """
+    known = labels.where("doc_id is not null and quality in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("int").alias("quality"))
+    rows = common.stored(featurised(docs.select("doc_id", "text")).join(known, "doc_id").groupBy("doc_id", "quality").agg(F.min("f").alias("f")), "features")
+    per_label = {r[0]: r[1] for r in rows.groupBy("quality").count().collect()}
+    if len(per_label) < 2:
+        return Model(np.zeros(1), np.ones(1), np.zeros(0), 0.0)
+    each = [F.col("f")[i].cast("double") for i in range(len(FEATURES))]
+    found = np.array(rows.select(*map(F.avg, each), *map(F.stddev_pop, each)).first(), float)
+    model = Model(found[: len(each)], found[len(each) :] + 1e-6, np.zeros(2 * len(each)), 0.0)
+    blocks = max(1, min(sum(per_label.values()) // 2000, min(per_label.values()) // 20))
+    dealt = rows.withColumn("b", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)))
+
+    def sums(m: Model):
+        def of(block):
+            block = block.sort_values("doc_id")
+            z = m.expand(np.array(block["f"].tolist(), float))
+            return block.head(1).assign(v=[pair_sums(z, block["quality"].to_numpy(), m.weights)])[["v"]]
+
+        return of
+
     for _ in range(steps):
-        p = 1 / (1 + np.exp(np.clip(d @ w, -30, 30)))
-        grad = -(d.T @ p) / n_pairs + 2 * l2 * w
-        hess = (d * (p * (1 - p))[:, None]).T @ d / n_pairs + 2 * l2 * np.eye(len(w))
+        parts = dealt.groupBy("b").applyInPandas(sums(model), "v array<double>").select(F.posexplode("v").alias("i", "x")).groupBy("i").agg(F.sum("x")).collect()
+        total = np.array([x for _, x in sorted(map(tuple, parts))])
+        n, w = len(model.weights), model.weights
+        if not total[0]:
+            break
+        grad, hess = total[1 : n + 1] / total[0] + 2 * l2 * w, total[n + 1 :].reshape(n, n) / total[0] + 2 * l2 * np.eye(n)
         step = np.linalg.solve(hess, grad)
-        w -= step
+        model = Model(model.mean, model.scale, w - step, 0.0)
         if np.abs(step).max() < 1e-6:
             break
-    model.weights = w
-    return model
-
 
-def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000) -> Model:
-    """Learn from at most ``fit_rows`` labelled documents, half of each label where there are so many, picked by a hash of the id.
+    def latent():
+        return lambda batch: {"latent": model.expand(np.array(batch.column(0).to_pylist(), float)) @ model.weights}
 
-    The picked ids (at most ``fit_rows`` longs) and their features (20 floats each) are all that reaches the driver.
-    """
-    known = labels.where("doc_id is not null and quality in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("int").alias("quality"))
-    rates = {r[0]: r[1] for r in known.groupBy("quality").count().collect()}
-    picked = common.bounded_labels(known, "quality", fit_rows)
-    featured = featurised(docs.select("doc_id", "text").join(F.broadcast(picked.select("doc_id")), "doc_id", "left_semi")).groupBy("doc_id").agg(F.min("f").alias("f"))
-    rows = featured.join(F.broadcast(picked), "doc_id").select("doc_id", "f", "quality").collect()
-    rows.sort(key=lambda r: r[0])
-    x, y = np.array([r[1] for r in rows], float).reshape(-1, len(FEATURES)), np.array([r[2] for r in rows], int)
-    model = fit_pairs(x, y)
-    if len(model.weights):
-        latent = model.expand(x) @ model.weights
-        share = rates.get(0, 0) / sum(rates.values())
-        # Label shares of all labelled rows, not of the balanced sample, weigh the quantile.
-        weight = np.where(y == 0, share / max(1, (y == 0).sum()), (1 - share) / max(1, (y == 1).sum()))
-        order = np.argsort(latent)
-        below = np.cumsum(weight[order])
-        k = min(int(np.searchsorted(below, share)), len(order) - 2)
-        model.threshold = float(latent[order[k : k + 2]].mean())
+    values = common.stored(common.arrow_map(rows.select("f"), "latent double", latent), "latent")
+    model.threshold = (ranked(values, per_label[0]) + ranked(values, per_label[0] + 1)) / 2
+    common.unstore(values)
+    common.unstore(rows)
     return model
 
 

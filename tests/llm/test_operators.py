@@ -485,3 +485,29 @@ def test_quality_threshold_is_a_quantile(spark, docs):
     model = quality_ranker.fit(docs, labels)
     kept = {r.doc_id for r in quality_ranker.accepted(docs, model).collect()}
     assert kept == {r.doc_id for r in quality_ranker.score(docs, model).where("score >= 0.5").collect()}
+
+
+def test_pair_sums_are_those_of_all_pairs():
+    rng = np.random.default_rng(1)
+    z, y, w = rng.normal(size=(60, 4)), np.array([0, 1, 1] * 20), rng.normal(size=4)
+    d = np.array([a - b for a in z[y == 1] for b in z[y == 0]])
+    p = 1 / (1 + np.exp(d @ w))
+    want = np.concatenate([[len(d)], -(d.T @ p), ((d * (p * (1 - p))[:, None]).T @ d).ravel()])
+    assert np.allclose(quality_ranker.pair_sums(z, y, w), want)
+
+
+def test_quality_learns_from_all_labels(spark):
+    # A label's 10,000 rows were the most that counted; all 24,000 do, and the threshold parts them at the share of bad ones.
+    docs = spark.range(24_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 4 == 0, "## $$ 1 2 3 ##").otherwise("some plain words of a good text.").alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 4 != 0).cast("int").alias("quality"))
+    model = quality_ranker.fit(docs, labels)
+    upper = quality_ranker.FEATURES.index("symbols")
+    every = np.array([quality_ranker.features("## $$ 1 2 3 ##"), quality_ranker.features("some plain words of a good text.")])
+    assert np.isclose(model.mean[upper], every[0, upper] / 4)
+    assert (model.score(every) >= 0.5).tolist() == [False, True]
+
+
+def test_ranked_values_are_exact(spark):
+    df = spark.range(5000).select((F.pmod(F.xxhash64("id"), F.lit(1009)) / 7.0).alias("latent"))
+    want = sorted(r[0] for r in df.collect())
+    assert [quality_ranker.ranked(df, k, 50) for k in (1, 777, 2500, 5000)] == [want[k - 1] for k in (1, 777, 2500, 5000)]
