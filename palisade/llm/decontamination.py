@@ -7,7 +7,7 @@ candidates.  A candidate is confirmed on words: the longest common subsequence o
 must hold ``sure_share`` of the passage's words, or ``least_share`` and the answer too (an ``answer`` column of the benchmark,
 else the passage's last quarter).  So reordered, shortened or slightly reworded copies are found as well as exact ones.
 
-Stretches of a document that lack ``least_share`` of every passage's words, in any order, are not projected: no subsequence there
+Windows around which ``least_share`` of every passage's words are lacking, in any order, are not projected: no subsequence there
 could confirm anything, so nothing is lost by that, at any size of the corpus.  An item with fewer than LEAST_WORDS words makes no passage; it is found as
 an exact phrase.
 
@@ -29,6 +29,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,15 +40,32 @@ SCALES = (16, 32)
 STEP = 8
 #: Windows that are projected together.
 PIECE = 512
-#: Words whose windows are ruled out together; and the lengths at which passages are grouped for that.
-STRETCH = 64
-GROUPS = (20, 30, 45)
+#: Places of passages' words that are looked at together to rule windows out.
+PLACES = 1 << 18
 RANK, OVERSAMPLING = 256, 16
-_WORDS = re.compile(r"\w+").findall
+_WORD, _NO_WORD = re.compile(r"\w").match, re.compile(r"[^\w\x00-\x7F]").sub
+_SPACED = bytes(c if c > 127 or _WORD(chr(c)) else 32 for c in range(256))
+_CODES = np.array([c if c < 128 or _WORD(chr(c)) else 32 for c in range(1 << 16)], "<u4")
+
+
+def spaced(text: str) -> bytes:
+    r"""The text in lower case and UTF-8, with a space for each character that ``\w`` does not match."""
+    text = text.lower()
+    if not text.isascii():
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+        text = _CODES[codes].tobytes().decode("utf-32-le") if codes.max() < len(_CODES) else _NO_WORD(" ", text)
+    return text.encode().translate(_SPACED)
 
 
 def words_of(text: str) -> list[str]:
-    return _WORDS(text.lower())
+    return spaced(text).decode().split()
+
+
+def numbered(texts: list[str], terms: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The words of all texts as places in terms, len(terms) for any other, and how many each text has; one without words has one that is no term."""
+    words = pc.ascii_split_whitespace(pa.array([spaced(t).strip() for t in texts], pa.string()))
+    ids = pc.index_in(words.values, value_set=terms).fill_null(len(terms))
+    return ids.to_numpy(zero_copy_only=False).astype(np.int64), np.diff(words.offsets.to_numpy())
 
 
 @dataclass
@@ -88,16 +106,20 @@ def passages_of(benchmark: DataFrame) -> DataFrame:
 
 def document_frequencies(docs: DataFrame, terms: dict[str, int]) -> tuple[int, np.ndarray]:
     """Number of documents, and of those that hold each term: over all rows of docs, added up in tasks first."""
-    sent = docs.sparkSession.sparkContext.broadcast(terms)
+    sent = docs.sparkSession.sparkContext.broadcast(list(terms))
 
     def run(batches):
-        column, n, df = sent.value, 0, Counter()
-        known = column.keys()
+        known = pa.array(sent.value, pa.string())
+        n, df = 0, np.zeros(len(known) + 1, np.int64)
         for batch in batches:
-            for t in common.texts(batch):
-                n += 1
-                df.update(known & set(words_of(t)))
-        yield pa.RecordBatch.from_arrays([pa.array([*(column[w] for w in df), -1], pa.int64()), pa.array([*df.values(), n], pa.int64())], ["c", "n"])
+            if batch.num_rows:
+                ids, sizes = numbered(common.texts(batch), known)
+                seen = np.zeros((len(sizes), len(df)), bool)
+                seen[np.arange(len(sizes)).repeat(sizes), ids] = True
+                n += len(sizes)
+                df += seen.sum(axis=0)
+        found = np.flatnonzero(df[:-1])
+        yield pa.RecordBatch.from_arrays([pa.array([*found.tolist(), -1], pa.int64()), pa.array([*df[found].tolist(), n], pa.int64())], ["c", "n"])
 
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(common.BATCH_ROWS))
     got = dict(docs.select(F.col("text").cast("string")).mapInArrow(run, "c long, n long").groupBy("c").agg(F.sum("n")).collect())
@@ -188,50 +210,100 @@ def bits(words: list[str]) -> dict[str, int]:
     return out
 
 
+def ranges(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The numbers from each first on, n of each."""
+    return np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+
+
+def parts(costs: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges (from, to) of neighbours that cost little more than PLACES together."""
+    cuts = np.flatnonzero(np.diff(np.cumsum(costs) // PLACES)) + 1
+    return zip([0, *cuts.tolist()], [*cuts.tolist(), len(costs)], strict=True) if len(costs) else iter(())
+
+
 class Searcher:
     def __init__(self, index: Index, least_cosine: float, least_share: float, sure_share: float):
         self.index, self.least_cosine, self.least_share, self.sure_share = index, least_cosine, least_share, sure_share
         self.bits, self.answer_bits = [bits(p) for p in index.passages], [bits(a) for a in index.answers]
         lengths = np.array([len(p) for p in index.passages], np.int64)
         self.need = least_share * lengths - 1e-9
-        # Passages of about one length look equally far around a window: the reach of each such group, the widest last.
-        groups = [(lengths > a) & (lengths <= b) for a, b in zip((0, *GROUPS), (*GROUPS, PASSAGE), strict=True)]
-        reach = [max(self.reach_of(int(n), scale) for n in set(lengths[g].tolist()) for scale in SCALES) if g.any() else 0 for g in groups]
-        self.groups = [(r, np.flatnonzero(g)) for r, g in zip(reach, groups, strict=True) if g.any()]
-        held: list[list[int]] = [[] for _ in index.column]  # the passages of each word, as often as they hold it
-        for j, p in enumerate(index.passages):
-            for w in p:
-                held[index.column[w]].append(j)
-        self.held = [np.array(x, np.int32).tobytes() for x in (*held, [])]  # the last is that of all other words
+        # No window looks at words farther before its first one, or farther after it, for a passage.
+        reach = [[self.reach_of(n, scale) for scale in SCALES] for n in lengths.tolist()]
+        self.left, self.right = np.array([max(r) for r in reach]), np.array([max(map(sum, zip(r, SCALES, strict=True))) for r in reach])
+        # The passages' distinct words one after the other, and how often each is in its passage.
+        own = [sorted(Counter(index.column[w] for w in p).items()) for p in index.passages]
+        self.n_own = np.array([len(x) for x in own], np.int64)
+        self.first_own = np.cumsum(self.n_own) - self.n_own
+        self.own, self.times = np.array([x for words in own for x in words], np.int64).reshape(-1, 2).T
+        self.terms = pa.array(list(index.column), pa.string())
+        # The passages of the first word, as often as they hold it, of the second, and so on.
+        word = self.own.repeat(self.times)
+        self.held = np.arange(len(lengths)).repeat(lengths)[np.argsort(word, kind="stable")]
+        self.n_held = np.bincount(word, minlength=len(index.column))
+        self.first_held = np.cumsum(self.n_held) - self.n_held
 
     @staticmethod
     def reach_of(n: int, scale: int) -> int:
         """Words on either side of a window among which a passage of n words is looked for."""
         return max(0, int(1.5 * n) - scale // 2) // 2 + scale // 4
 
-    def possible(self, ids: list[int]) -> np.ndarray:
-        """Of each passage, whether the words hold enough of its words, whatever their order."""
-        found = np.frombuffer(b"".join(map(self.held.__getitem__, set(ids))), np.int32)
-        return np.bincount(found, minlength=len(self.need)) >= self.need
-
     def open_steps(self, ids: np.ndarray) -> np.ndarray:
-        """For each step of STEP words, whether a window from there can be confirmed at all: by the whole, then by stretches, then by groups of passages."""
-        out, n, wide, ids = np.zeros(-(-len(ids) // STEP), bool), len(ids), max(r for r, _ in self.groups), ids.tolist()
-        around = lambda a, r: ids[max(0, a - r) : a + STRETCH + max(SCALES) + r]
-        if not self.possible(ids).any():
-            return out
-        for a in range(0, n, STRETCH):
-            found = self.possible(around(a, wide)) if n > STRETCH else np.ones(len(self.need), bool)
-            if found.any():
-                out[a // STEP : (a + STRETCH) // STEP] = any(found[g].any() and (r == wide or self.possible(around(a, r))[g].any()) for r, g in reversed(self.groups))
-        return out
-
-    def candidates(self, ids: np.ndarray) -> list[tuple[int, int, int, float]]:
+        """For each step of STEP words, whether a window from there can be confirmed at all."""
+        return self.open_steps_of(ids, np.array([len(ids)]))[0]
+
+    def open_steps_of(self, ids: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+        """The open steps of several texts: those from where the words that a window looks at for a passage hold enough of its words, whatever their order."""
+        other, width, steps = len(self.index.column), len(self.index.column) + 1, -(-sizes // STEP)
+        out, known = np.zeros(steps.sum(), bool), np.flatnonzero(ids < other)
+        text = np.arange(len(sizes)).repeat(sizes)[known]
+        key = text * width + ids[known]
+        order = np.argsort(key, kind="stable")
+        key, place = key[order], (known - (np.cumsum(sizes) - sizes)[text])[order]
+        new = np.append(True, key[1:] != key[:-1])[: len(key)]
+        before = np.where(new, -(1 << 40), np.roll(place, 1))  # the place of the same word before, or one beyond reach
+        # Each word of each text once: where its places begin, and how many they are.
+        begins = np.flatnonzero(new)
+        held, n_places, (text, word) = key[begins], np.diff(np.append(begins, len(key))), np.divmod(key[begins], width)
+        passages = len(self.need)
+        for a, b in parts(np.bincount(text, self.n_held[word], len(sizes))):
+            own = slice(*np.searchsorted(text, (a, b)))
+            n = self.n_held[word[own]]
+            found = np.bincount((text[own] - a).repeat(n) * passages + self.held[ranges(self.first_held[word[own]], n)], minlength=(b - a) * passages).reshape(b - a, passages)
+            rows = np.argwhere(found >= self.need) + (a, 0)
+            for c, d in parts(sizes[rows[:, 0]]):
+                self._open(out, rows[c:d, 0], rows[c:d, 1], (held, begins, n_places), place, before, steps)
+        return np.split(out, np.cumsum(steps)[:-1])
+
+    def _open(self, out: np.ndarray, text: np.ndarray, passage: np.ndarray, held: tuple, place: np.ndarray, before: np.ndarray, steps: np.ndarray) -> None:
+        """Marks in out the open steps of these texts by these passages, pair by pair."""
+        keys, begins, n_places = held
+        n_own, first_step, n_steps = self.n_own[passage], (np.cumsum(steps) - steps)[text], steps[text]
+        which, pair = ranges(self.first_own[passage], n_own), np.arange(len(text)).repeat(n_own)
+        wanted = text[pair] * (len(self.index.column) + 1) + self.own[which]
+        found = np.minimum(np.searchsorted(keys, wanted), max(0, len(keys) - 1))
+        there = np.flatnonzero(keys[found] == wanted) if len(keys) else found[:0]
+        found = found[there]
+        n = n_places[found]
+        at, pair, times = ranges(begins[found], n), pair[there].repeat(n), self.times[which[there]].repeat(n)
+        # A place counts for the steps that look at it, and at no earlier place of its word.
+        place, before, left, right = place[at], before[at], self.left[passage][pair], self.right[passage][pair]
+        end = np.minimum((place + left) // STEP + 1, n_steps[pair])
+        begin = np.minimum(np.maximum(np.maximum(place - right, before + left) // STEP + 1, 0), end)
+        cells = n_steps + 1
+        first = np.cumsum(cells) - cells
+        base, total = first[pair], cells.sum()
+        enough = (np.bincount(base + begin, times, total) - np.bincount(base + end, times, total)).cumsum() >= self.need[passage].repeat(cells)
+        enough[first + n_steps] = False
+        at = np.flatnonzero(enough)
+        pair = np.searchsorted(first, at, "right") - 1
+        out[first_step[pair] + at - first[pair]] = True
+
+    def candidates(self, ids: np.ndarray, open_: np.ndarray) -> list[tuple[int, int, int, float]]:
         """(first word, window, passage, latent cosine) of the windows near a passage.
 
         Words outside the benchmark's vocabulary are orthogonal to all passages, so windows without any other word are left out.
         """
-        x, out, open_ = self.index, [], self.open_steps(ids)
+        x, out = self.index, []
         if not open_.any():
             return out
         n, starts = len(ids), np.arange(0, len(ids), STEP)
@@ -240,7 +312,7 @@ class Searcher:
             k = scale // STEP
             at = np.arange(0, max(1, len(starts) - k // 2), k // 2)
             at = at[open_[at] & (known[np.minimum(at + k, len(starts))] > known[at])]
-            # Together are windows of one open stretch, so nothing between stretches is looked up; and no more than PIECE of them.
+            # Together are open windows that follow each other, so nothing between stretches is looked up; and no more than PIECE of them.
             cuts = np.flatnonzero(np.diff(at) > 2 * k) + 1
             for some in [x for run in np.split(at, cuts) for x in np.split(run, range(PIECE, len(run), PIECE))] if len(at) else ():
                 p = self.window_sums(ids, some, k)
@@ -262,8 +334,22 @@ class Searcher:
 
     def matches(self, text: str) -> dict[int, tuple[int, int, float, float, bool]]:
         """item_id -> (first word, last word + 1, share of the passage, cosine, answer found) of the best confirmed window."""
-        x, words = self.index, words_of(text)
-        out: dict[int, tuple] = {}
+        ids, _ = numbered([text], self.terms)
+        return self._confirmed(text, ids, self.open_steps(ids))
+
+    def matches_of(self, texts: list[str]) -> Iterator[dict[int, tuple[int, int, float, float, bool]]]:
+        """The matches of each text; what no window could confirm is ruled out for all of them together."""
+        if not texts:
+            return
+        ids, sizes = numbered(texts, self.terms)
+        for each in zip(texts, np.split(ids, np.cumsum(sizes)[:-1]), self.open_steps_of(ids, sizes), strict=True):
+            yield self._confirmed(*each)
+
+    def _confirmed(self, text: str, ids: np.ndarray, open_: np.ndarray) -> dict[int, tuple[int, int, float, float, bool]]:
+        x, out = self.index, {}
+        if not x.phrases and not open_.any():
+            return out
+        words = words_of(text)
         if x.phrases:
             for at, w in enumerate(words):
                 for item, phrase in x.phrases.get(w, ()):
@@ -271,10 +357,10 @@ class Searcher:
                         out.setdefault(item, (at, at + len(phrase), 1.0, 1.0, True))
         if not words or not len(x.unit):
             return out
-        get, other = x.column.get, len(x.column)
-        ids = np.array([get(w, other) for w in words], np.int64)
-        for start, scale, j, cosine in self.candidates(ids):
+        for start, scale, j, cosine in self.candidates(ids, open_):
             n = len(x.passages[j])
+            if x.items[j] in out and out[x.items[j]][2] >= 1:
+                continue
             reach = self.reach_of(n, scale)
             a, b = max(0, start - reach), start + scale + reach
             share = lcs(self.bits[j], n, words[a:b]) / n
@@ -299,7 +385,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least_cosine: float = 0.6, leas
             s = Searcher(sent.value, least_cosine, least_share, sure_share)
 
             def of(batch):
-                found = [(d, i, *m) for d, t in zip(batch.column(0).to_pylist(), common.texts(batch), strict=True) for i, m in s.matches(t).items()]
+                found = [(d, i, *m) for d, ms in zip(batch.column(0).to_pylist(), s.matches_of(common.texts(batch)), strict=True) for i, m in ms.items()]
                 return {name: [r[k] for r in found] for k, name in enumerate(names)}
 
             return of
@@ -314,7 +400,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, least_cosine: float = 0.6, leas
         def of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
             s = Searcher(sent.value, least_cosine, least_share, sure_share)
             for some in texts:
-                yield some.map(lambda t: bool(s.matches(t or ""))).astype(bool)
+                yield pd.Series([bool(m) for m in s.matches_of([t or "" for t in some])], dtype=bool)
 
         return F.pandas_udf(of, "boolean")
 

@@ -400,6 +400,45 @@ def test_decontamination_rules_out_only_what_no_window_could_confirm(spark, docs
     assert shut > 20
 
 
+def test_decontamination_projects_only_windows_that_could_be_confirmed(spark, monkeypatch):
+    rng = random.Random(21)
+    stop = [f"s{i}" for i in range(12)]
+    item = lambda n: [rng.choice(stop) if rng.random() < 0.4 else f"w{rng.randrange(900)}" for _ in range(n)]
+    items = [item(rng.randrange(6, 100)) for _ in range(40)]
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    texts = ["", "\u00c4 \u2026"]
+    for i, w in enumerate(items):
+        words = item(rng.randrange(3, 700))
+        for part in (w, w[: len(w) // 2], rng.sample(w, len(w))):  # whole, half, and in another order, far from each other
+            k = rng.randrange(len(words) + 1)
+            words[k:k] = part if i % 4 else []
+        texts.append(" \u00bb ".join([" ".join(words[:9]), *words[9:]]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    index = decontamination.build_indexes(docs, bench)[0]
+    s = decontamination.Searcher(index, 0.3, 0.6, 0.75)
+    projected = []
+    sums = s.window_sums
+    monkeypatch.setattr(s, "window_sums", lambda ids, at, k: (projected.append(len(at)), sums(ids, at, k))[1])
+    found, may = [s.matches(t) for t in texts], 0
+    for t in texts:
+        words, opened = decontamination.words_of(t), []
+        for at in range(0, len(words), decontamination.STEP):
+            looked_at = lambda n: set(words[max(0, at - s.reach_of(n, 32)) : at + 32 + s.reach_of(n, 32)])  # noqa: B023, E731
+            opened.append(any(sum(w in around for w in p) >= 0.6 * len(p) - 1e-9 for p in index.passages for around in [looked_at(len(p))]))
+        assert not words or s.open_steps(np.array([index.column.get(w, len(index.column)) for w in words])).tolist() == opened
+        may += sum(opened)
+    assert sum(map(bool, found)) >= 9 and sum(projected) <= 2 * may
+    monkeypatch.setattr(decontamination, "PLACES", 300)  # all texts together, in many parts, give the same
+    assert list(s.matches_of(texts)) == found
+
+
+def test_words_in_lower_case_are_those_of_the_pattern():
+    rng = random.Random(8)
+    for _ in range(3000):
+        t = "".join(chr(rng.choice([rng.randrange(128), rng.randrange(0x3000), rng.randrange(0x110000)])) for _ in range(20))
+        assert decontamination.words_of(t) == re.findall(r"\w+", t.lower())
+
+
 def test_short_items_are_found_as_phrases(spark):
     bench = spark.createDataFrame([(1, "Green Eggs"), (2, "ham"), (3, None), (4, "one two three four five six seven eight"), (None, "a b c")], "item_id long, text string")
     rows = [(0, "some green, eggs and ham"), (1, "green and eggs"), (2, "x one two three four five six seven eight y"), (3, "a b c"), (4, None)]
